@@ -37,18 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends at replicated files.
-
-    The files go when the driver's JVM ends; until then any lost executor's share is reread from them.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder. What is written there goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/veldspar-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def durable(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends at files that all can read."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
@@ -70,10 +71,11 @@ def byte_values(col) -> list[bytes]:
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (the splitmix finaliser)."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def offsets_of(lengths: np.ndarray) -> np.ndarray:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, pii
-from .common import load
+from . import bpe, decontaminate, fingerprint, html_extract, langid, pii, token_rollup
+from .common import load, shared_folder
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(load(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def remainder():
     """crc32 of the id as text, modulo 4; 2 marks the held-out documents."""
     return F.crc32(F.col("doc_id").cast("string")) % 4
@@ -31,6 +36,22 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert all documents under one tokenizer version, revise them to the next, delete later copies; then replay every batch."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rollup = token_rollup.Rollup(spark, shared_folder(spark, "rollup"))
+    old, new = token_rollup.TOKENIZERS
+    batches = {
+        "insert": token_rollup.deltas(docs, old, 1),
+        "revise": token_rollup.revisions(docs, docs, old, new),
+        "delete": token_rollup.deltas(token_rollup.later_copies(docs), new, -1),
+    }
+    for batch, rows in [*batches.items(), *batches.items()]:
+        rollup.commit(batch, rows)
+    rollup.compact()
+    return rollup.totals()
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(load(spark, sf_dir, "documents"))
     joined = lambda e: F.concat_ws(",", F.transform(e, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
@@ -39,6 +60,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("entities")).alias("spans"))
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(load(spark, sf_dir, "documents"))
+
+
 #: DuckDB: the words of a text, and the consecutive words of an item that make a window.
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 OP1_SQL = f"""
@@ -57,10 +82,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGIN
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
 
+OP6_SQL = r"""
+WITH f AS (SELECT text, min(doc_id) AS m FROM documents WHERE text IS NOT NULL GROUP BY text)
+SELECT source, lang, 'words-2' AS tokenizer_version, count(*) AS n_docs,
+       CAST(sum(len(regexp_extract_all(coalesce(d.text, ''), '[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]'))) AS BIGINT) AS n_tokens
+FROM documents d LEFT JOIN f ON d.text = f.text WHERE NOT coalesce(d.doc_id > f.m, false)
+GROUP BY source, lang
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op3_bpe, op5_langid, op9_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_html, op5_langid, op6_token_counts, op9_pii, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op6_token_counts": OP6_SQL}
