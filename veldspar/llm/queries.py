@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, html_extract, langid, pii, token_rollup
+from . import bpe, decontaminate, fingerprint, html_extract, langid, line_dedup, pii, token_rollup
 from .common import load, shared_folder
 
 
@@ -52,6 +52,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(load(spark, sf_dir, "documents"))
     joined = lambda e: F.concat_ws(",", F.transform(e, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
@@ -90,10 +95,29 @@ FROM documents d LEFT JOIN f ON d.text = f.text WHERE NOT coalesce(d.doc_id > f.
 GROUP BY source, lang
 """
 
+#: A line's deletions with and without their place, as in the operator; the earliest place of each.
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+o AS (SELECT r, k, ls[k] AS raw, trim(ls[k], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM (SELECT r, ls, unnest(generate_series(1, len(ls))) AS k FROM d WHERE text IS NOT NULL)),
+l AS (SELECT s, min((r, k)) AS f FROM o WHERE length(s) >= 20 GROUP BY s),
+v AS (SELECT f, length(s) AS n, i, substr(s, 1, i - 1) || substr(s, i + 1) AS v FROM (SELECT f, s, unnest(generate_series(1, length(s))) AS i FROM l)),
+h AS (SELECT f, n, i, md5_number(v) AS v FROM v),
+p AS (SELECT n, i, v, min(f) AS m FROM h GROUP BY n, i, v),
+w AS (SELECT f, md5_number(s) AS v FROM l),
+q AS (SELECT v, min(f) AS m FROM h GROUP BY v),
+near AS (SELECT h.f FROM h JOIN p USING (n, i, v) WHERE p.m < h.f
+         UNION SELECT w.f FROM w JOIN q USING (v) WHERE q.m < w.f
+         UNION SELECT h.f FROM h JOIN w USING (v) WHERE w.f < h.f),
+g AS (SELECT o.r, o.k FROM o JOIN l USING (s) WHERE (o.r, o.k) <> l.f OR l.f IN (SELECT f FROM near))
+SELECT d.doc_id, CAST(coalesce(len(d.ls), 0) AS BIGINT) AS n_lines, CAST(count(g.k) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(o.raw, chr(10) ORDER BY o.k) FILTER (g.k IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN o USING (r) LEFT JOIN g USING (r, k) GROUP BY d.r, d.doc_id, d.ls
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_html, op5_langid, op6_token_counts, op9_pii, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_html, op5_langid, op6_token_counts, op8_line_dedup, op9_pii, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op6_token_counts": OP6_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op6_token_counts": OP6_SQL, "op8_line_dedup": OP8_SQL}
