@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, html_extract, langid, line_dedup, pii, token_rollup
+from . import bpe, decontaminate, fingerprint, html_extract, langid, line_dedup, pii, substring_dedup, token_rollup
 from .common import load, shared_folder
 
 
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(load(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"))
 
@@ -114,10 +118,20 @@ SELECT d.doc_id, CAST(coalesce(len(d.ls), 0) AS BIGINT) AS n_lines, CAST(count(g
 FROM d LEFT JOIN o USING (r) LEFT JOIN g USING (r, k) GROUP BY d.r, d.doc_id, d.ls
 """
 
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+v AS (SELECT r, k, md5_number(array_to_string(w[k:k + 34], ' ')) AS h FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS k FROM d WHERE len(w) >= 35)),
+m AS (SELECT r, k FROM v WHERE h IN (SELECT h FROM v GROUP BY h HAVING count(*) > 1)),
+c AS (SELECT DISTINCT r, unnest(generate_series(k, k + 34)) AS x FROM m),
+x AS (SELECT r, x, w[x] AS t FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS x FROM d)),
+y AS (SELECT x.r, count(c.x) AS n, string_agg(x.t, ' ' ORDER BY x.x) FILTER (c.x IS NULL) AS s FROM x LEFT JOIN c USING (r, x) GROUP BY x.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN y USING (r)
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_html, op5_langid, op6_token_counts, op8_line_dedup, op9_pii, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_bpe, op4_html, op5_langid, op6_token_counts, op8_line_dedup, op9_pii, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op6_token_counts": OP6_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_token_counts": OP6_SQL, "op8_line_dedup": OP8_SQL}
