@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, html_extract, langid, line_dedup, pii, substring_dedup, token_rollup
+from . import bpe, decontaminate, fingerprint, html_extract, langid, line_dedup, near_dedup, pii, substring_dedup, token_rollup
 from .common import load, shared_folder
 
 
@@ -56,6 +56,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -130,7 +135,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_bpe, op4_html, op5_langid, op6_token_counts, op8_line_dedup, op9_pii, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_bpe, op4_html, op5_langid, op6_token_counts, op7_near_dedup, op8_line_dedup, op9_pii, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
