@@ -190,20 +190,23 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Encode and decode in one pass, and keep digests: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: doc_id, with_ids also ids, n_tokens, ids_sha256, decoded_sha256."""
     path, pattern = _where(path, pattern)
 
     def run(batches):
         c = codec(path, pattern)
         for b in batches:
-            n, one, two = [], [], []
+            lists, n, one, two = [], [], [], []
             for t in b.column(1).to_pylist():
-                ids = c.encode(t or "").tolist()
+                own = c.encode(t or "")
+                ids = own.tolist()
                 n.append(len(ids))
                 one.append(sha(",".join(map(c.names.__getitem__, ids)).encode()))
                 two.append(sha(c.decode_bytes(ids)))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": one, "decoded_sha256": two})
+                lists.append(own.astype(np.int32) if with_ids else None)
+            cols = {"doc_id": b.column(0)} | ({"ids": pa.array(lists, pa.list_(pa.int32()))} if with_ids else {})
+            yield pa.RecordBatch.from_pydict(cols | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": one, "decoded_sha256": two})
 
     src = docs.select("doc_id", "text")
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {'ids array<int>, ' * with_ids}n_tokens long, ids_sha256 string, decoded_sha256 string")

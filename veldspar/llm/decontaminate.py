@@ -161,7 +161,7 @@ def _merge(passes: DataFrame, n: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, items (sorted ids), starts and ends of the hit word spans."""
+    """One row per document row: row (see common.row_key), doc_id, n_words, n_hit, items (sorted ids), starts and ends of the hit word spans."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     src = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -171,9 +171,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         found = _pass(src, [tuple(r) for r in block.collect()], window)  # about block_bytes at most
         out = found if out is None else out.unionByName(found)
-    return (out if n == 1 else _merge(out, n)).drop("row")
+    return out if n == 1 else _merge(out, n)
 
 
-def flagged(found: DataFrame, share: float = 0.05) -> DataFrame:
-    """Adds contaminated: some words are hit, and at least that share of all."""
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")) if share != 0.05 else (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+def flagged(found: DataFrame, percent: int = 5) -> DataFrame:
+    """Adds contaminated: some words are hit, and at least so many per cent of all."""
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5, window: int = 13) -> DataFrame:
+    """docs without the contaminated ones."""
+    found = flagged(contamination(docs, benchmark, window), percent).where("contaminated").select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", row_key()).join(found, "__row", "left_anti").select(*docs.columns)

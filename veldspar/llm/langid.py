@@ -168,3 +168,14 @@ def identify(docs: DataFrame, prototypes: dict, id_col: str = "doc_id", text_col
     src = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("doc_id"), *[c for c in keep if c != "doc_id"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
     return src.mapInArrow(run, f"{fields}, lang_pred string, score double")
+
+
+def of_known_language(docs: DataFrame, prototypes: dict, min_score: float = 0.05) -> DataFrame:
+    """docs without those that have no letters or are unlike every learned language."""
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    if rest != docs.columns:  # columns of these names go around the prediction
+        renamed = docs.select(*[F.col(f"`{c}`").alias(f"__in_{c}") for c in docs.columns])
+        found = identify(renamed, prototypes, "__in_doc_id", "__in_text", keep=tuple(renamed.columns))
+        return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*[F.col(f"`__in_{c}`").alias(c) for c in docs.columns])
+    found = identify(docs, prototypes, keep=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*[f"`{c}`" for c in docs.columns])

@@ -3,17 +3,17 @@
 A document's set is its distinct shingles of ``n`` consecutive words (a text of fewer words is one
 shingle). Documents of equal sets form a class with one representative; the rest is about classes.
 
-1. A signature has CHUNKS * WIDE symbols of 14 bits, each the hash of the set's least member under one
-   of as many hash functions. Two sets of likeness J differ at a symbol with probability 1 - J, so at
-   J = 0.85 the signature distance is 12 of 80 on average and above LIMIT = 31 with probability 5e-8.
-2. Signatures are cut into CHUNKS chunks. Of two within LIMIT = 2 * CHUNKS - 1, some chunk differs in one
-   symbol at most. Each signature is indexed under every chunk with each of its symbols left out in
-   turn, so all pairs within LIMIT share a key.
+1. A signature has SYMBOLS = 80 symbols of 14 bits, each the hash of the set's least member under one of
+   as many hash functions. Two sets of likeness J differ at a symbol with probability 1 - J: at J = 0.85 the
+   distance of their signatures is above 31 with probability 5e-8, at J = 0.8 above 39 with 1e-9.
+2. Signatures are cut into 16 chunks of 5 symbols, or for likenesses from 0.8 into 20 of 4. Of two within
+   2 * chunks - 1 of each other, some chunk differs in one symbol at most. Each signature is indexed under
+   every chunk with each of its symbols left out in turn, so all pairs within that limit share a key.
 3. Classes that share a key are compared without emitting all pairs of a key. In a leader round each
-   class is paired with one leader of each of its keys: pairs within LIMIT are confirmed on the full
+   class is paired with one leader of each of its keys: pairs within the limit are confirmed on the full
    sets and components are joined. Leaders are the classes with most confirmed links, then by hash; so a
    text that many were copied from soon leads. Rounds go on while they pay. Then every pair
-   of classes that share a key, are in different components and within LIMIT is confirmed, so that no
+   of classes that share a key, are in different components and within the limit is confirmed, so that no
    link is lost: of each key, the classes outside its largest component against all.
 4. Components follow from the confirmed links, see ``components``.
 
@@ -35,8 +35,7 @@ from .common import byte_values, durable, mix64, row_key
 from .components import components
 from .substring_dedup import Words, _pieces
 
-CHUNKS, WIDE = 16, 5
-SYMBOLS, LIMIT = CHUNKS * WIDE, 2 * CHUNKS - 1
+SYMBOLS = 80
 LANES = SYMBOLS // 4
 _FACTORS = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACES = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -77,11 +76,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return (mix64(out) >> np.uint64(50)).astype(np.uint16)
 
 
-def keys_of(sig: np.ndarray) -> np.ndarray:
+def keys_of(sig: np.ndarray, chunks: int) -> np.ndarray:
     """[set, key]: for each chunk and symbol left out, a hash of the rest."""
-    terms = (mix64(sig.astype(np.uint64) + np.uint64(1)) * _PLACES).reshape(len(sig), CHUNKS, WIDE)
+    terms = (mix64(sig.astype(np.uint64) + np.uint64(1)) * _PLACES).reshape(len(sig), chunks, -1)
     rest = terms.sum(axis=2, dtype=np.uint64)[:, :, None] - terms
-    return mix64(rest + np.arange(1, SYMBOLS + 1, dtype=np.uint64).reshape(CHUNKS, WIDE) * np.uint64(0xC2B2AE3D27D4EB4F)).reshape(len(sig), SYMBOLS)
+    return mix64(rest + np.arange(1, SYMBOLS + 1, dtype=np.uint64).reshape(chunks, -1) * np.uint64(0xC2B2AE3D27D4EB4F)).reshape(len(sig), SYMBOLS)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -115,14 +114,14 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row long, n_shingles long, d1 long, d2 long, sig array<long>")
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, chunks: int) -> DataFrame:
     """key, node: the index."""
 
     def run(batches):
         for b in batches:
             if len(b):
                 flat = b.column("sig").flatten().to_numpy(zero_copy_only=False)
-                keys = keys_of(np.ascontiguousarray(flat).view(np.uint16).reshape(len(b), SYMBOLS))
+                keys = keys_of(np.ascontiguousarray(flat).view(np.uint16).reshape(len(b), SYMBOLS), chunks)
                 node = np.repeat(b.column("node").to_numpy(zero_copy_only=False), SYMBOLS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["key", "node"])
 
@@ -162,18 +161,19 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 85, small_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, row (see common.row_key), n_shingles, component_id of each document row.
 
-    The signature's LIMIT is laid out for likenesses of 0.85 and more. small_bytes: a list of classes up to
+    percent: the least likeness of a link, 80 or more. small_bytes: a list of classes up to
     this size, measured before, is broadcast to fetch their texts; a longer one is joined.
     """
-    if percent < 85:
-        raise ValueError("LIMIT guarantees links of 85 per cent and more")
+    if percent < 80:
+        raise ValueError("the index is laid out for links of 80 per cent and more")
+    chunks = 16 if percent >= 85 else 20
     src = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     sets = durable(_sets(src, n), "sets")
     some = sets.where("d1 is not null and id is not null")
     merged = some.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("sig").alias("sig"))
     classes = durable(merged.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    keys = _keys(classes)
+    keys = _keys(classes, chunks)
     shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     met = durable(keys.join(shared, "key", "left_semi"), "met")
     nodes = durable(met.select("node").distinct().join(classes, "node").select("node", "row", "sig"), "met-classes")
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = nodes.select("row", "node")
         wanted = F.broadcast(wanted) if 32 * many <= small_bytes else wanted
         texts = durable(src.select("row", "text").join(wanted, "row").groupBy("node").agg(F.first("text").alias("text")), "texts")
-        comps = _joined(met, nodes, texts, many, n, percent)
+        comps = _joined(met, nodes, texts, many, n, percent, 2 * chunks - 1)
     if comps is not None:
         ids = classes.select("d1", "d2", "node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     else:
@@ -196,10 +196,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked_rows.unionByName(rest).withColumnRenamed("id", "doc_id")
 
 
-def _joined(met: DataFrame, nodes: DataFrame, texts: DataFrame, many: int, n: int, percent: int) -> DataFrame | None:
+def _joined(met: DataFrame, nodes: DataFrame, texts: DataFrame, many: int, n: int, percent: int, limit: int) -> DataFrame | None:
     """node, comp of the classes that are linked with another."""
     sigs = nodes.select("node", "sig")
-    near = lambda pairs: pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v").where(distance("su", "sv") <= LIMIT).select("u", "v")
+    near = lambda pairs: pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v").where(distance("su", "sv") <= limit).select("u", "v")
     links, tried, comps = None, None, None
 
     def held():
@@ -255,7 +255,7 @@ def _joined(met: DataFrame, nodes: DataFrame, texts: DataFrame, many: int, n: in
     part = F.pmod(F.xxhash64("node"), F.col("parts") + 1).cast("int")
     right = open_.select("key", part.alias("part"), F.col("node").alias("v"), F.col("comp").alias("vc"), F.col("sig").alias("sv"))
     left = open_.where("comp <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), F.col("node").alias("u"), F.col("comp").alias("uc"), F.col("sig").alias("su"), "top")
-    within = left.join(right, ["key", "part"]).where((F.col("uc") != F.col("vc")) & ((F.col("vc") == F.col("top")) | (F.col("u") < F.col("v"))) & (distance("su", "sv") <= LIMIT))
+    within = left.join(right, ["key", "part"]).where((F.col("uc") != F.col("vc")) & ((F.col("vc") == F.col("top")) | (F.col("u") < F.col("v"))) & (distance("su", "sv") <= limit))
     pairs = within.select("u", "v").distinct()
     if tried is not None:
         pairs = pairs.join(tried, ["u", "v"], "left_anti").join(tried.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
