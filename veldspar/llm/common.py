@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +47,54 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends at files that all can read."""
-    path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet in the shared folder and read it back: lineage ends at files that all can read.
+
+    The shuffle files that the write needed go with its end.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    if (held := _SCRATCH.get()) is not None:
+        held.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Durable tables made within go at its end, but for what the given function is called with.
+
+    Only tables that are durable themselves may be kept; anything derived lazily from one that goes is lost.
+    """
+    held: list[str] = []
+    token = _SCRATCH.set(held)
+
+    def keep(df: DataFrame) -> DataFrame:
+        """df: the durable table made last."""
+        kept.append(held[-1])
+        return df
+
+    kept: list[str] = []
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in held:
+            if path not in kept:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+        if (outer := _SCRATCH.get()) is not None:
+            outer += kept
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text"):

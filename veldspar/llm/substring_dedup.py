@@ -9,16 +9,18 @@ removed, judged on the input.
    places at which an anchor was chosen is never below the number of places at which a window starts.
    Neighbouring windows mostly share their anchor; there are about 2 / (window - gram + 2) places a word.
 2. Each task makes a count-min sketch of the anchors it meets. The sketch is cut into blocks by the
-   anchor's hash, each with ``ROWS`` rows of ``WIDTH`` two-bit counters, and sized by the corpus, so that
-   the merged sketch overestimates few anchors. Blocks are merged by adding, saturating at 2.
+   anchor's hash, each with ``ROWS`` rows of ``WIDTH`` four-bit counters, and sized by the corpus, so that
+   the merged sketch overestimates few anchors. Blocks are merged by adding, saturating at ``TOP``.
 3. A second pass takes the windows whose anchor is estimated to be chosen twice or more and groups just
-   these exactly, by 128 bits of their words. None that repeats is lost, as estimates are never low.
-   A task first counts its own: a window that it meets twice is settled there, and one row of each
-   window leaves the task, so that a passage which many documents share is at most a row for each task.
-4. Each document's repeated windows are joined to its text and the words that they cover are removed.
+   these exactly, by the anchor and 64 bits of their words. None that repeats is lost, as estimates are
+   never low. A task first counts its own: a window that it meets twice is settled there, and one of each
+   leaves the task, so that a passage which many documents share is at most one for each task. The windows
+   of one anchor travel as one row to the anchor's partition; those of an anchor estimated at ``TOP``, as
+   every task sees alike, are dealt over ``SALTS`` partitions by their own hash.
+4. Each document's repeated windows, as runs, are joined to its text and the words they cover are removed.
 
-The merged sketch is broadcast while its measured size is up to ``sketch_bytes``. A larger one is joined:
-anchors meet their block in a shuffle, and the survivors go back to their documents.
+The merged sketch is broadcast while its size is up to ``sketch_bytes``. A larger one is joined: anchors
+meet their block in a shuffle, and the survivors go back to their documents.
 
 Defined results: null text has no words; ids may be null or repeat: equal rows repeat each other.
 """
@@ -32,12 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, durable, mix64, row_key, sha
+from .common import byte_values, durable, mix64, row_key, scratch, sha
 
 WINDOW, GRAM = 35, 8
 #: Of one block of the sketch: rows, counters in a row (a power of two), and bytes.
 ROWS, WIDTH = 4, 1 << 14
-BLOCK = ROWS * WIDTH // 4
+BLOCK = ROWS * WIDTH // 2
+TOP, SALTS = 15, 64
 #: Counters for each anchor that is expected.
 COUNTERS = 8
 #: Bytes of text handled at once, and windows kept before they leave a task.
@@ -117,14 +120,14 @@ def _block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def _packed(counters: np.ndarray) -> bytes:
-    c = counters.reshape(-1, 4)
-    return (c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).astype(np.uint8).tobytes()
+    c = counters.astype(np.uint8).reshape(-1, 2)
+    return (c[:, 0] | c[:, 1] << 4).tobytes()
 
 
 def estimates(table: np.ndarray, slot: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Estimated counts, up to 2; table: blocks of packed counters one after another, slot: each anchor's block."""
+    """Estimated counts, up to TOP; table: blocks of packed counters one after another, slot: each anchor's block."""
     cell = _cells(hashes) + (slot * (ROWS * WIDTH))[:, None]
-    return ((table[cell >> 2] >> ((cell & 3) * 2).astype(np.uint8)) & 3).min(axis=1, initial=3)
+    return ((table[cell >> 1] >> ((cell & 1) * 4).astype(np.uint8)) & 15).min(axis=1, initial=TOP)
 
 
 def _pieces(texts: list[bytes]):
@@ -140,7 +143,7 @@ def _pieces(texts: list[bytes]):
 
 
 def _sketches(src: DataFrame, blocks: int, window: int, gram: int) -> DataFrame:
-    """block, cells: each task's sketch, as the touched counters of each block (twice where it counted 2 or more)."""
+    """block, cells: each task's sketch, as the touched counters of each block (as often as it counted, TOP times at most)."""
 
     def run(batches):
         held, n = [], 0
@@ -150,7 +153,7 @@ def _sketches(src: DataFrame, blocks: int, window: int, gram: int) -> DataFrame:
             block = _block_of(h, blocks)
             flat = np.sort((_cells(h) + (block * (ROWS * WIDTH))[:, None]).ravel())
             keep = np.ones(len(flat), bool)
-            keep[2:] = flat[2:] != flat[:-2]  # a third time says no more
+            keep[TOP:] = flat[TOP:] != flat[:-TOP]
             flat = flat[keep]
             own = flat // (ROWS * WIDTH)
             cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -185,7 +188,7 @@ def _merged(parts: DataFrame) -> DataFrame:
             block = b.column("block")[0].as_py()
             for x in b.column("cells").to_pylist():
                 c = np.bincount(np.frombuffer(x, np.uint16), minlength=ROWS * WIDTH)
-                total = np.minimum(total + np.minimum(c, 2), 2).astype(np.uint8)
+                total = np.minimum(total + np.minimum(c, TOP), TOP).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(total)], pa.binary())], ["block", "data"])
 
     return parts.groupBy("block").applyInArrow(add, "block long, data binary")
@@ -195,10 +198,38 @@ _TABLES: dict = {}
 _SERIAL = itertools.count()
 
 
+def _lists(values: np.ndarray, cut: np.ndarray) -> pa.ListArray:
+    """values as lists that begin at cut."""
+    return pa.ListArray.from_arrays(pa.array(np.append(cut, len(values)).astype(np.int32)), pa.array(values))
+
+
+def _cuts(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the sorted columns changes."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
+    """row, begins, ends: windows that start next to each other as one run."""
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)
+    begin, end = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True)) if len(row) else np.zeros(0, np.int64)
+    cut = _cuts(row[begin])
+    return row[begin][cut], _lists(start[begin].astype(np.int32), cut), _lists(start[end].astype(np.int32), cut)
+
+
 def _candidates(src: DataFrame, window: int, gram: int, blocks: int, sketch: list | None) -> DataFrame:
-    """Windows that may repeat: row, start, h1, h2 of one place of each in a task, and starts settled there.
+    """Windows that may repeat. Rows with part: one anchor's windows of one row of src, one of each in a task, as
+    starts (below zero, -1 - start, if settled already) and digests. Rows without: runs of settled windows.
 
-    src: row, text, and, where sketch is None, places: the anchors' places that are estimated to repeat.
+    src: row, text, and, where sketch is None, places: those of anchors estimated to repeat, doubled, plus 1 if at TOP.
     """
     sc = src.sparkSession.sparkContext
     sent, serial = (sc.broadcast(sketch), (sc.applicationId, next(_SERIAL))) if sketch is not None else (None, None)
@@ -213,21 +244,28 @@ def _candidates(src: DataFrame, window: int, gram: int, blocks: int, sketch: lis
                     full[k] = np.frombuffer(data, np.uint8)
                 _TABLES[serial] = full.ravel()
             table = _TABLES[serial]
-        rows, starts, digests, n = [], [], [], 0
+        held, n = [], 0
 
         def flush():
-            row, start = np.concatenate(rows), np.concatenate(starts)
-            d = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-            order = np.lexsort((d[:, 1], d[:, 0]))
-            row, start, d = row[order], start[order], d[order]
-            same = (d[1:] == d[:-1]).all(axis=1)
-            new = np.concatenate([[True], ~same])
-            twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            # settled rows that need not meet others keep no digest
-            settled = pa.array(twice)
-            out = pa.RecordBatch.from_arrays([pa.array(row), pa.array(start.astype(np.int32)), pa.array(d[:, 0], mask=~new), pa.array(d[:, 1], mask=~new), settled], ["row", "start", "h1", "h2", "settled"])
-            return out
-
+            row, start, place, anchor, hot, digest = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = mix64(anchor + np.where(hot, digest % np.uint64(SALTS) + np.uint64(1), np.uint64(0))).view(np.int64)
+            order = np.lexsort((digest, part))
+            row, start, place, part, digest = row[order], start[order], place[order], part[order], digest[order]
+            new = np.zeros(len(row), bool)
+            new[_cuts(part, digest.view(np.int64))] = True
+            twice = ~new | np.append(~new[1:], False)
+            r, begins, ends = _runs(row[twice], start[twice])
+            none = pa.nulls(len(r), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(r), pa.nulls(len(r), pa.list_(pa.int32())), pa.nulls(len(r), pa.list_(pa.int64())), begins, ends], names)
+            sign = np.where(twice, -1 - start, start)[new]
+            row, place, part, digest = row[new], place[new], part[new], digest[new]
+            order = np.lexsort((place, row, part))
+            row, place, part, digest, sign = row[order], place[order], part[order], digest[order], sign[order]
+            cut = _cuts(part, row, place)
+            none = pa.nulls(len(cut), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(row[cut]), _lists(sign.astype(np.int32), cut), _lists(digest.view(np.int64), cut), none, none], names)
+
+        names = ["part", "row", "starts", "digests", "begins", "ends"]
         for b in batches:
             texts, ids = byte_values(b.column("text")), np.array(b.column("row").to_pylist(), np.int64)
             listed = b.column("places").to_pylist() if table is None else None
@@ -236,30 +274,68 @@ def _candidates(src: DataFrame, window: int, gram: int, blocks: int, sketch: lis
                 at, place, g = anchors(w, window, gram)
                 if not len(at):
                     continue
-                chosen = np.unique(place)
                 if table is not None:
-                    hit = chosen[estimates(table, _block_of(g[chosen], blocks), g[chosen]) >= 2]
+                    hit = np.unique(place)
+                    count = estimates(table, _block_of(g[hit], blocks), g[hit])
+                    hit, top = hit[count >= 2], hit[count == TOP]
                 else:
-                    hit = np.concatenate([np.array(p or [], np.int64) + w.first[k] for k, p in enumerate(listed[i:j])])
-                at = at[np.isin(place, hit)]
+                    both = np.concatenate([np.array(p or [], np.int64) + 2 * w.first[k] for k, p in enumerate(listed[i:j])])
+                    hit, top = both >> 1, both[both & 1 == 1] >> 1
+                take = np.isin(place, hit)
+                at, place = at[take], place[take]
                 if not len(at):
                     continue
                 text = np.searchsorted(w.first, at, "right") - 1
-                lengths = w.end - w.begin
                 joined = b" ".join([w.data[x:y] for x, y in zip(w.begin.tolist(), w.end.tolist(), strict=True)])
-                offset = np.cumsum(np.concatenate([[0], lengths + 1]))
+                offset = np.cumsum(np.concatenate([[0], w.end - w.begin + 1]))
                 a, z = offset[at].tolist(), (offset[at + window] - 1).tolist()
-                digests += [xxhash.xxh3_128_digest(joined[x:y]) for x, y in zip(a, z, strict=True)]
-                rows.append(ids[i + text])
-                starts.append(at - w.first[text])
+                digest = np.array([xxhash.xxh3_64_intdigest(joined[x:y]) for x, y in zip(a, z, strict=True)], np.uint64)
+                held.append((ids[i + text], at - w.first[text], place - w.first[text], g[place], np.isin(place, top), digest))
                 n += len(at)
                 if n > HELD:
-                    yield flush()
-                    rows, starts, digests, n = [], [], [], 0
+                    yield from flush()
+                    held, n = [], 0
         if n:
-            yield flush()
+            yield from flush()
+
+    return src.mapInArrow(run, "part long, row long, starts array<int>, digests array<long>, begins array<int>, ends array<int>")
+
+
+def _meeting(found: DataFrame) -> DataFrame:
+    """row, begins, ends: the windows, not settled in their task, that two tasks sent."""
 
-    return src.mapInArrow(run, "row long, start int, h1 long, h2 long, settled boolean")
+    def run(batches):
+        held: list[tuple] = []
+
+        def settle(parts):
+            part, row, start, digest = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((digest, part))
+            part, row, start, digest = part[order], row[order], start[order], digest[order]
+            new = np.zeros(len(part), bool)
+            new[_cuts(part, digest)] = True
+            take = (~new | np.append(~new[1:], False)) & (start >= 0)
+            r, begins, ends = _runs(row[take], start[take])
+            return pa.RecordBatch.from_arrays([pa.array(r), begins, ends], ["row", "begins", "ends"])
+
+        for b in batches:
+            if not len(b):
+                continue
+            starts = b.column("starts")
+            n = np.diff(starts.offsets.to_numpy())
+            part = np.repeat(b.column("part").to_numpy(zero_copy_only=False), n)
+            row = np.repeat(b.column("row").to_numpy(zero_copy_only=False), n)
+            cols = (part, row, starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64), b.column("digests").flatten().to_numpy(zero_copy_only=False))
+            edge = int(np.searchsorted(part, part[-1]))  # the last part may go on
+            if edge or held and held[-1][0][-1] != part[0]:
+                yield settle([*held, tuple(c[:edge] for c in cols)])
+                held = []
+            held.append(tuple(c[edge:] for c in cols))
+        if held:
+            yield settle(held)
+
+    rows = found.where("part is not null").select("part", "row", "starts", "digests")
+    dealt = rows.repartition(F.col("part")).sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "row long, begins array<int>, ends array<int>")
 
 
 def _by_join(src: DataFrame, sketch: DataFrame, window: int, gram: int, blocks: int) -> DataFrame:
@@ -283,12 +359,13 @@ def _by_join(src: DataFrame, sketch: DataFrame, window: int, gram: int, blocks:
             if not len(row):
                 continue
             cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            keep = np.zeros(len(row), bool)
+            count = np.zeros(len(row), np.int64)
             for x, y in itertools.pairwise([*cut.tolist(), len(row)]):
                 if block[x] != at:
                     at, table = block[x], np.frombuffer(b.column("data")[x].as_py(), np.uint8)
-                keep[x:y] = estimates(table, np.zeros(y - x, np.int64), h[x:y].view(np.uint64)) >= 2
-            yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(place[keep])], ["row", "place"])
+                count[x:y] = estimates(table, np.zeros(y - x, np.int64), h[x:y].view(np.uint64))
+            keep = count >= 2
+            yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array((2 * place + (count == TOP))[keep].astype(np.int32))], ["row", "place"])
 
     found = src.mapInArrow(each, "row long, place int, hash long, block long").join(sketch, "block").sortWithinPartitions("block")
     hit = found.select("row", "place", "hash", "block", "data").mapInArrow(look, "row long, place int")
@@ -296,29 +373,28 @@ def _by_join(src: DataFrame, sketch: DataFrame, window: int, gram: int, blocks:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, sketch_bytes: int = 64 << 20) -> DataFrame:
-    """row (see common.row_key), starts array<int>: the repeated windows of each document that has some."""
+    """row (see common.row_key), begins, ends array<int>: runs of the starts of each document's repeated windows."""
     src = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where("text is not null")
     size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     expected = size / 6 * 2 / (window - gram + 2)  # six bytes a word
     blocks = max(1, int(expected * COUNTERS / (ROWS * WIDTH)))
-    sketch = durable(_merged(_sketches(src, blocks, window, gram)), "sketch")
-    if blocks * BLOCK <= sketch_bytes:
-        found = _candidates(src, window, gram, blocks, [tuple(r) for r in sketch.collect()])
-    else:
-        found = _candidates(_by_join(src, sketch, window, gram, blocks), window, gram, blocks, None)
-    found = durable(found, "windows")
-    meeting = found.where("h1 is not null")
-    counts = meeting.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    others = meeting.where("not settled").join(counts, ["h1", "h2"], "left_semi").select("row", "start")
-    return found.where("settled").select("row", "start").unionByName(others).groupBy("row").agg(F.collect_set("start").alias("starts"))
-
-
-def covered(n: int, starts: list[int], window: int) -> np.ndarray:
-    """Which of n words the windows cover."""
-    change = np.zeros(n + 1, np.int32)
-    at = np.unique(np.array(starts, np.int64))
-    np.add.at(change, at, 1)
-    np.add.at(change, at + window, -1)
+    with scratch(docs.sparkSession) as keep:
+        sketch = durable(_merged(_sketches(src, blocks, window, gram)), "sketch")
+        if blocks * BLOCK <= sketch_bytes:
+            found = _candidates(src, window, gram, blocks, [tuple(r) for r in sketch.collect()])
+        else:
+            found = _candidates(_by_join(src, sketch, window, gram, blocks), window, gram, blocks, None)
+        found = durable(found, "windows")
+        settled = found.where("part is null").select("row", "begins", "ends")
+        runs = settled.unionByName(_meeting(found)).groupBy("row").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
+        return keep(durable(runs, "runs"))
+
+
+def covered(n: int, begins: list[int], ends: list[int], window: int) -> np.ndarray:
+    """Which of n words the windows of the runs cover."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, np.array(begins, np.int64), 1)
+    np.add.at(change, np.array(ends, np.int64) + window, -1)
     return np.cumsum(change[:n]) > 0
 
 
@@ -326,16 +402,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_words, n_removed, and the kept words joined by one space as text, or with digest as kept_sha256."""
     windows = repeated_windows(docs, id_col, text_col, window, gram, sketch_bytes)
     src = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = src.join(windows, "row", "left").select("doc_id", "text", "starts")
+    rows = src.join(windows, "row", "left").select("doc_id", "text", "begins", "ends")
 
     def run(batches):
         for b in batches:
             n, gone, out = [], [], []
-            for data, starts in zip(byte_values(b.column("text")), b.column("starts").to_pylist(), strict=True):
+            for data, begins, ends in zip(byte_values(b.column("text")), b.column("begins").to_pylist(), b.column("ends").to_pylist(), strict=True):
                 words = data.split()
                 n.append(len(words))
-                if starts:
-                    hit = covered(len(words), starts, window)
+                if begins:
+                    hit = covered(len(words), begins, ends, window)
                     words = [w for w, h in zip(words, hit.tolist(), strict=True) if not h]
                 gone.append(n[-1] - len(words))
                 kept = b" ".join(words)
