@@ -13,9 +13,10 @@ key needs no pairs: the earliest line of each key is an aggregate with partial s
 thousands share is one row for each task.
 
 To emit variants only where they can meet, each distinct line first emits the hashes of its halves: of
-two lines within one edit, the first or the second halves are equal. Only lines that share a half
-with a different line emit variants. Each line that may go is then verified against the text of its
-earlier partner with the edit distance itself.
+two lines within one edit, the first or the second halves are equal. Lines that share a half with a
+different line emit the hashes of the line without each of SEGMENTS segments, which two lines within one
+edit share for the segment of the edit. Only deletions in a shared segment are emitted as variants. Each
+line that may go is then verified against the text of its earlier partner with the edit distance itself.
 
 Defined results: null text stays null; an empty text stays empty; null ids come first in the order;
 repeated rows are later lines of the same id and lose their lines to the first; all input columns are
@@ -30,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, mix64, row_key
+from .common import durable, mix64, row_key, scratch
 
-MIN_CHARS = 20
+MIN_CHARS, SEGMENTS = 20, 8
 
 
 def trimmed(line: str) -> str:
@@ -55,22 +56,45 @@ _INVERSE = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
 _POWERS = np.cumprod(np.full(1 << 14, _BASE, np.uint64))
 
 
-def variants(line: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys of the line's deletions with their places, of the distinct deletions, and of the line itself.
+def segments(n: int):
+    """(role, segment, begin, end) of a line of n code points as the shorter or equal (0) and as the longer (1) of a pair.
 
-    The hash of a string is the sum of a number for each code point times a power for its place, so
-    that of a deletion follows from sums to the left and right of it.
+    As the longer its layout is that of the shorter, the segment itself one longer.
+    """
+    for role in (0, 1):
+        base = n - role
+        for q in range(SEGMENTS):
+            yield role, q, base * q // SEGMENTS, base * (q + 1) // SEGMENTS + role
+
+
+def masks(line: str) -> list[int]:
+    """For each of ``segments`` the hash of the line without it."""
+    n = len(line)
+    return [digest(f"{n - role}:{q}:{line[:a]}\0{line[b:]}") for role, q, a, b in segments(n)]
+
+
+def variants(line: str, shared: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the line's deletions with their places, of the deletions, and of the line itself, as far as shared asks.
+
+    shared: indices into ``segments``. The hash of a string is the sum of a number for each code point times
+    a power for its place, so that of a deletion follows from sums to the left and right of it.
     """
     points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(points)
+    n, ways = len(points), list(segments(len(points)))
     power = _POWERS[:n] if n <= len(_POWERS) else np.cumprod(np.full(n, _BASE, np.uint64))
     left = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(points + np.uint64(1)) * power)])
-    whole = left[-1]
-    gone = left[:n] + (whole - left[1:]) * _INVERSE  # what stands right of a deletion moves one place
-    placed = mix64(gone + mix64(np.arange(n, dtype=np.uint64) + (np.uint64(n) << np.uint64(32))))
-    plain = np.unique(mix64(gone + np.uint64(n - 1)))
-    own = mix64(np.array([whole]) + np.uint64(n))
-    return placed.view(np.int64), plain.view(np.int64), int(own.view(np.int64)[0])
+    whole = left[-1:]
+
+    def gone(role: int):
+        places = [np.arange(a, b) for r, _, a, b in (ways[k] for k in shared) if r == role]
+        at = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
+        return at, left[at] + (whole - left[at + 1]) * _INVERSE  # what stands right of a deletion moves one place
+
+    at, same = gone(0)
+    placed = mix64(same + mix64(at.astype(np.uint64) + (np.uint64(n) << np.uint64(32))))
+    plain = np.unique(mix64(gone(1)[1] + np.uint64(n - 1)))
+    own = mix64(whole + np.uint64(n))[: int(any(ways[k][0] == 0 for k in shared))]
+    return placed.view(np.int64), plain.view(np.int64), own.view(np.int64)
 
 
 def _occurrences(src: DataFrame, min_chars: int) -> DataFrame:
@@ -111,18 +135,32 @@ def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
     return src.join(wanted, "row").select("row", "id", "text", "lines").mapInArrow(run, f"row long, id {src.schema['id'].dataType.simpleString()}, line int, text string")
 
 
+def _masks(lines: DataFrame) -> DataFrame:
+    """id, row, line, k (index into ``segments``), mask."""
+
+    def run(batches):
+        for b in batches:
+            all_ = [masks(t) for t in b.column("text").to_pylist()]
+            own = pa.array(np.repeat(np.arange(len(all_)), 2 * SEGMENTS))
+            cols = [b.column(c).take(own) for c in ("id", "row", "line")]
+            k = pa.array(np.tile(np.arange(2 * SEGMENTS, dtype=np.int32), len(all_)))
+            yield pa.RecordBatch.from_arrays([*cols, k, pa.array([x for m in all_ for x in m], pa.int64())], ["id", "row", "line", "k", "mask"])
+
+    return lines.mapInArrow(run, f"id {lines.schema['id'].dataType.simpleString()}, row long, line int, k int, mask long")
+
+
 def _variants(lines: DataFrame) -> DataFrame:
-    """place, kind (0: deletion with its place, 1: deletion, 2: the line itself), key."""
+    """place, kind (0: deletion with its place, 1: deletion, 2: the line itself), key. lines have shared."""
 
     def run(batches):
         for b in batches:
-            for k, text in enumerate(b.column(1).to_pylist()):
-                placed, plain, own = variants(text)
-                keys = np.concatenate([placed, plain, [own]])
-                kind = np.repeat(np.array([0, 1, 2], np.int8), [len(placed), len(plain), 1])
+            for k, (text, shared) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                parts = variants(text, shared)
+                keys = np.concatenate(parts)
+                kind = np.repeat(np.array([0, 1, 2], np.int8), [len(p) for p in parts])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(keys), k))), pa.array(kind), pa.array(keys)], ["place", "kind", "key"])
 
-    place = lines.select(F.struct("id", "row", "line").alias("place"), "text")
+    place = lines.select(F.struct("id", "row", "line").alias("place"), "text", "shared")
     return place.mapInArrow(run, f"place {place.schema['place'].dataType.simpleString()}, kind byte, key long")
 
 
@@ -135,7 +173,11 @@ def _near(src: DataFrame, firsts: DataFrame, small: int) -> DataFrame:
     n = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
     wanted = F.broadcast(wanted) if 32 * n[0] + 4 * n[1] <= small else wanted
     lines = durable(_texts(src, wanted).dropDuplicates(["row", "line"]), "lines-text")
-    keys = _variants(lines)
+    each = _masks(lines)
+    shared = each.groupBy("mask").agg(F.min(F.struct("row", "line")).alias("a"), F.max(F.struct("row", "line")).alias("b")).where("a <> b").select("mask")
+    shared = each.join(shared, "mask", "left_semi").groupBy("row", "line").agg(F.collect_set("k").alias("shared"))
+    lines = durable(lines.join(shared, ["row", "line"]), "lines-close")
+    keys = durable(_variants(lines), "line-variants")
     least = lambda k: F.min(F.when(F.col("kind") == k, F.col("place"))).alias(f"m{k}")
     met = keys.groupBy("key").agg(least(0), least(1), least(2), F.count(F.lit(1)).alias("n")).where("n > 1")
     partner = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
@@ -145,17 +187,23 @@ def _near(src: DataFrame, firsts: DataFrame, small: int) -> DataFrame:
     return checked.where(F.levenshtein("text", "other", 1).between(0, 1)).select("place.row", "place.line").distinct()
 
 
+def _removed(src: DataFrame, min_chars: int, small: int) -> DataFrame:
+    """row, __removed: the numbers of each document's lines that go."""
+    occurrences = durable(_occurrences(src.where("text is not null"), min_chars), "line-occurrences")
+    firsts = durable(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("half").alias("half")).select("h1", "h2", "first.*", "n", "half"), "line-firsts")
+    near = _near(src, firsts, small)
+    again = occurrences.join(firsts.where("n > 1").select("h1", "h2", F.struct("id", "row", "line").alias("first")), ["h1", "h2"]).where(F.struct("id", "row", "line") != F.col("first")).select("row", "line")
+    return again.unionByName(near).groupBy("row").agg(F.collect_set("line").alias("__removed"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, small_bytes: int = 32 << 20, counts: bool = False) -> DataFrame:
     """docs with duplicate lines gone. With counts, only id, n_lines, n_removed and text.
 
     small_bytes: a list of lines up to this size, measured before, is broadcast; a longer one is joined.
     """
     src = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    occurrences = durable(_occurrences(src.where("text is not null"), min_chars), "line-occurrences")
-    firsts = durable(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("half").alias("half")).select("h1", "h2", "first.*", "n", "half"), "line-firsts")
-    near = _near(src, firsts, small_bytes)
-    again = occurrences.join(firsts.where("n > 1").select("h1", "h2", F.struct("id", "row", "line").alias("first")), ["h1", "h2"]).where(F.struct("id", "row", "line") != F.col("first")).select("row", "line")
-    removed = again.unionByName(near).groupBy("row").agg(F.collect_set("line").alias("__removed"))
+    with scratch(docs.sparkSession) as keep:
+        removed = keep(durable(_removed(src, min_chars, small_bytes), "lines-removed"))
     copy = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0)))
     rows = docs.withColumn("__row", row_key(id_col, text_col)).withColumn("__copy", copy)
     rows = rows.join(removed.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
