@@ -461,10 +461,14 @@ def generate_labelled(spark, sf_dir):
 
 
 def _folder(spark: SparkSession, label: str) -> str:
+    """A new path that all executors share; it goes when the driver's JVM ends."""
     import uuid
 
     root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    return f"{root}/veldspar-{label}-{uuid.uuid4().hex}"
+    path = f"{root}/veldspar-{label}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 @register(f"WITH {_vectors('tx', 'i16')} SELECT ref_id, is_fraud FROM r")
