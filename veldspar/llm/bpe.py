@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sha
+from .common import cache, enter, sha
 
 #: Units kept in a worker's table, and characters given to the library at once.
-UNITS, CHUNK = 700_000, 200_000
+UNITS, CHUNK = 500_000, 200_000
 #: A single space between two visible characters; a match of the pattern begins at it.
 CUT = re.compile(r" (?<=\S )(?=\S)")
 #: Present where a space is not of that kind.
@@ -142,7 +142,7 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str], Codec] = cache("bpe")
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -163,6 +163,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     path, pattern = _where(path, pattern)
 
     def run(batches):
+        enter("bpe")
         c = codec(path, pattern)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -182,6 +183,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     path, pattern = _where(path, pattern)
 
     def run(batches):
+        enter("bpe")
         c = codec(path, pattern)
         for b in batches:
             texts = [None if ids is None else c.decode(ids) for ids in b.column(1).to_pylist()]
@@ -195,6 +197,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     path, pattern = _where(path, pattern)
 
     def run(batches):
+        enter("bpe")
         c = codec(path, pattern)
         for b in batches:
             lists, n, one, two = [], [], [], []

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
 import numpy as np
@@ -97,6 +99,29 @@ def scratch(spark: SparkSession):
             outer += kept
 
 
+_CACHES: dict[str, dict] = {}
+_ENTERED = [""]
+
+
+def cache(name: str) -> dict:
+    """What a Python worker keeps between tasks for one operator."""
+    return _CACHES.setdefault(name, {})
+
+
+def enter(name: str) -> None:
+    """To be called where a task of an operator begins: a worker that served another gives its memory back."""
+    if _ENTERED[0] == name:
+        return
+    _ENTERED[0] = name
+    for other, kept in _CACHES.items():
+        if other != name:
+            kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     """64 bits that tell rows apart even where ids repeat or are null; equal rows share it."""
     return F.xxhash64(F.col(id_col), F.col(text_col))

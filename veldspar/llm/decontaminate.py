@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, row_key
+from .common import byte_values, enter, row_key
 
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -129,6 +129,7 @@ def _pass(src: DataFrame, items: list[tuple[str | None, str]], window: int) -> D
     sent, serial = sc.broadcast(items), (sc.applicationId, next(_SERIAL))
 
     def run(batches):
+        enter("decontaminate")
         if serial not in _MATCHERS:
             if len(_MATCHERS) > 3:
                 _MATCHERS.clear()
@@ -152,6 +153,7 @@ def _merge(passes: DataFrame, n: int) -> DataFrame:
         F.flatten(F.collect_set(F.arrays_zip("starts", "ends"))).alias("spans"))
 
     def run(batches):
+        enter("decontaminate")
         for b in batches:
             found = [(merged([[x["starts"], x["ends"]] for x in s]), set(i)) for s, i in zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"row": b.column("row"), "doc_id": b.column("doc_id")} | _columns(b.column("n_words").to_pylist(), found))

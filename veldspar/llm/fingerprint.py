@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, sha
+from .common import enter, mix64, sha
 
 LEVELS, FIRST_LEVEL, KEEP = 6, 2, 64
 CHUNK = 250_000
@@ -139,6 +139,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, fingerprint of each row."""
 
     def run(batches):
+        enter("fingerprint")
         for b in batches:
             got = sketches([t or "" for t in b.column(1).to_pylist()], keep)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shown(x) for x in got], pa.string())], ["doc_id", "fingerprint"])
@@ -211,6 +212,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     schema = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches):
+        enter("fingerprint")
         waiting, chars, at, done = [], 0, None, False
         types = None
         for b in batches:

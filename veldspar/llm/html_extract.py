@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import enter
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
@@ -219,6 +221,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     """The columns of keep and ``text``, the page's main text, empty if none."""
 
     def run(batches):
+        enter("html_extract")
         for b in batches:
             texts = [main_text(h or "") for h in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string())], [*b.schema.names[1:], "text"])

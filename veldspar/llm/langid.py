@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cache, enter
+
 DIM, SEED, UNDETERMINED = 1024, 20, "und"
 #: N-gram vectors a worker keeps.
 KEPT = 60_000
@@ -110,7 +112,7 @@ def chunks(texts: list[str], most: int = 64, chars: int = 300_000):
         at = end
 
 
-_PROFILES: dict = {}
+_PROFILES: dict = cache("langid")
 
 
 def profiles(dim: int, seed: int) -> Profiles:
@@ -123,6 +125,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     """Prototypes {language: unit vector} from all rows of labelled that have a language and letters."""
 
     def run(batches):
+        enter("langid")
         p = profiles(dim, seed)
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -152,6 +155,7 @@ def identify(docs: DataFrame, prototypes: dict, id_col: str = "doc_id", text_col
     matrix = np.array([prototypes[n] for n in names]).reshape(len(names), dim).astype(np.float32)
 
     def run(batches):
+        enter("langid")
         p = profiles(dim, seed)
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, mix64, row_key, scratch
+from .common import durable, enter, mix64, row_key, scratch
 
 MIN_CHARS, SEGMENTS = 20, 8
 
@@ -101,6 +101,7 @@ def _occurrences(src: DataFrame, min_chars: int) -> DataFrame:
     """row, id, line number, 128-bit digest and half hashes of each line that is compared."""
 
     def run(batches):
+        enter("line_dedup")
         for b in batches:
             rows, ids, lines, h1, h2, half = [], [], [], [], [], []
             for row, i, text in zip(*(b.column(c).to_pylist() for c in ("row", "id", "text")), strict=True):
@@ -124,6 +125,7 @@ def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
     """row, id, line, text of the wanted (row, lines)."""
 
     def run(batches):
+        enter("line_dedup")
         for b in batches:
             out = []
             for row, i, text, lines in zip(*(b.column(c).to_pylist() for c in ("row", "id", "text", "lines")), strict=True):
@@ -139,6 +141,7 @@ def _masks(lines: DataFrame) -> DataFrame:
     """id, row, line, k (index into ``segments``), mask."""
 
     def run(batches):
+        enter("line_dedup")
         for b in batches:
             all_ = [masks(t) for t in b.column("text").to_pylist()]
             own = pa.array(np.repeat(np.arange(len(all_)), 2 * SEGMENTS))
@@ -153,6 +156,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     """place, kind (0: deletion with its place, 1: deletion, 2: the line itself), key. lines have shared."""
 
     def run(batches):
+        enter("line_dedup")
         for b in batches:
             for k, (text, shared) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 parts = variants(text, shared)
@@ -211,6 +215,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select(*[F.col(f"`{c}`") for c in columns], "__copy", "__removed")
 
     def run(batches):
+        enter("line_dedup")
         for b in batches:
             texts, total, gone = [], [], []
             for text, copy, removed in zip(*(b.column(c).to_pylist() for c in (text_col, "__copy", "__removed")), strict=True):

@@ -28,12 +28,12 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, durable, mix64, row_key
+from .common import byte_values, durable, enter, mix64, row_key, scratch
 from .components import components
-from .substring_dedup import Words, _pieces
+from .substring_dedup import Words, pieces
 
 SYMBOLS = 80
 LANES = SYMBOLS // 4
@@ -96,10 +96,11 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     """id, row, n_shingles, d1, d2 (digest of the set) and sig, null for an empty set."""
 
     def run(batches):
+        enter("near_dedup")
         for b in batches:
             size, d1, d2, sigs = [], [], [], []
             texts = byte_values(b.column("text"))
-            for i, j in _pieces(texts):
+            for i, j in pieces(texts):
                 sets = shingle_sets(texts[i:j], n)
                 full = [s for s in sets if len(s)]
                 own = iter(signatures(full).view("<i8").tolist() if full else ())
@@ -118,6 +119,7 @@ def _keys(classes: DataFrame, chunks: int) -> DataFrame:
     """key, node: the index."""
 
     def run(batches):
+        enter("near_dedup")
         for b in batches:
             if len(b):
                 flat = b.column("sig").flatten().to_numpy(zero_copy_only=False)
@@ -143,6 +145,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     """The pairs (u, v) that are linked by their full sets."""
 
     def run(batches):
+        enter("near_dedup")
         last, kept = None, None
         for b in batches:
             u, v, mine, other = (b.column(c).to_pylist() for c in ("u", "v", "mine", "other"))
@@ -166,8 +169,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if percent < 80:
         raise ValueError("the index is laid out for links of 80 per cent and more")
-    chunks = 16 if percent >= 85 else 20
     src = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        return keep(durable(_found(src, n, percent, small_bytes, 16 if percent >= 85 else 20), "near-duplicates"))
+
+
+def _found(src: DataFrame, n: int, percent: int, small_bytes: int, chunks: int) -> DataFrame:
     sets = durable(_sets(src, n), "sets")
     some = sets.where("d1 is not null and id is not null")
     merged = some.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("sig").alias("sig"))
@@ -199,7 +206,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _joined(met: DataFrame, nodes: DataFrame, texts: DataFrame, many: int, n: int, percent: int, limit: int) -> DataFrame | None:
     """node, comp of the classes that are linked with another."""
     sigs = nodes.select("node", "sig")
-    near = lambda pairs: pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v").where(distance("su", "sv") <= limit).select("u", "v")
+    of_u = sigs.select(F.col("node").alias("u"), F.col("sig").alias("su"))
+    of_v = sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv"))
     links, tried, comps = None, None, None
 
     def held():
@@ -212,7 +220,8 @@ def _joined(met: DataFrame, nodes: DataFrame, texts: DataFrame, many: int, n: in
 
     def confirm(pairs, label):
         nonlocal links, tried, comps
-        pairs = durable(near(pairs), f"{label}-pairs")
+        close = pairs.join(of_u, "u").join(of_v, "v").where(distance("su", "sv") <= limit)
+        pairs = durable(close.select("u", "v"), f"{label}-pairs")
         found = durable(_confirm(pairs, texts, n, percent), f"{label}-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
@@ -234,7 +243,7 @@ def _joined(met: DataFrame, nodes: DataFrame, texts: DataFrame, many: int, n: in
         else:
             ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
             ranked = open_.join(ends, "node", "left").withColumn("rank", F.struct((-F.coalesce("deg", F.lit(0))).alias("d"), F.xxhash64("node", F.lit(k)).alias("h"), "node"))
-        leaders = ranked.groupBy("key").agg(F.min("rank").alias("leader")).select("key", F.col("leader.node").alias("v"), )
+        leaders = ranked.groupBy("key").agg(F.min("rank").alias("leader")).select("key", F.col("leader.node").alias("v"))
         if comps is None:
             pairs = open_.join(leaders, "key").select(F.col("node").alias("u"), "v").where("u <> v")
         else:
@@ -269,8 +278,6 @@ SPLIT = 2000
 
 def kept_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the component's id, and of repeated such rows one."""
-    from pyspark.sql import Window
-
     keep = found.where("doc_id = component_id or component_id is null").select(F.col("row").alias("__row")).distinct()
     rows = docs.withColumn("__row", row_key(id_col, text_col)).join(keep, "__row", "left_semi")
     first = F.row_number().over(Window.partitionBy(id_col).orderBy("__row"))

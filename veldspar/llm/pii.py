@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import enter
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "local_phone", "ssn")
 KINDS = BASE + ADDED
@@ -160,6 +162,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """One row per document: its id as ``doc_id`` and ``entities``, see ENTITY."""
 
     def run(batches):
+        enter("pii")
         for b in batches:
             found = [find(t or "", min_score) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _ENTITY)], ["doc_id", "entities"])

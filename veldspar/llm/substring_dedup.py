@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, durable, mix64, row_key, scratch, sha
+from .common import byte_values, durable, enter, mix64, row_key, scratch, sha
 
 WINDOW, GRAM = 35, 8
 #: Of one block of the sketch: rows, counters in a row (a power of two), and bytes.
@@ -130,7 +130,7 @@ def estimates(table: np.ndarray, slot: np.ndarray, hashes: np.ndarray) -> np.nda
     return ((table[cell >> 1] >> ((cell & 1) * 4).astype(np.uint8)) & 15).min(axis=1, initial=TOP)
 
 
-def _pieces(texts: list[bytes]):
+def pieces(texts: list[bytes]):
     """Slices of texts of about CHUNK bytes, or one text."""
     at = 0
     while at < len(texts):
@@ -146,6 +146,7 @@ def _sketches(src: DataFrame, blocks: int, window: int, gram: int) -> DataFrame:
     """block, cells: each task's sketch, as the touched counters of each block (as often as it counted, TOP times at most)."""
 
     def run(batches):
+        enter("substring_dedup")
         held, n = [], 0
 
         def flush():
@@ -163,7 +164,7 @@ def _sketches(src: DataFrame, blocks: int, window: int, gram: int) -> DataFrame:
 
         for b in batches:
             texts = byte_values(b.column("text"))
-            for i, j in _pieces(texts):
+            for i, j in pieces(texts):
                 w = Words(texts[i:j])
                 _, place, g = anchors(w, window, gram)
                 if len(place):
@@ -182,6 +183,7 @@ def _merged(parts: DataFrame) -> DataFrame:
     """block, data: packed counters."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring_dedup")
         total = np.zeros(ROWS * WIDTH, np.uint8)
         block = None
         for b in batches:
@@ -235,6 +237,7 @@ def _candidates(src: DataFrame, window: int, gram: int, blocks: int, sketch: lis
     sent, serial = (sc.broadcast(sketch), (sc.applicationId, next(_SERIAL))) if sketch is not None else (None, None)
 
     def run(batches):
+        enter("substring_dedup")
         table = None
         if sent is not None:
             if serial not in _TABLES:
@@ -269,7 +272,7 @@ def _candidates(src: DataFrame, window: int, gram: int, blocks: int, sketch: lis
         for b in batches:
             texts, ids = byte_values(b.column("text")), np.array(b.column("row").to_pylist(), np.int64)
             listed = b.column("places").to_pylist() if table is None else None
-            for i, j in _pieces(texts):
+            for i, j in pieces(texts):
                 w = Words(texts[i:j])
                 at, place, g = anchors(w, window, gram)
                 if not len(at):
@@ -305,6 +308,7 @@ def _meeting(found: DataFrame) -> DataFrame:
     """row, begins, ends: the windows, not settled in their task, that two tasks sent."""
 
     def run(batches):
+        enter("substring_dedup")
         held: list[tuple] = []
 
         def settle(parts):
@@ -342,9 +346,10 @@ def _by_join(src: DataFrame, sketch: DataFrame, window: int, gram: int, blocks:
     """row, text, places of the documents with anchors estimated to repeat, for a sketch of any size."""
 
     def each(batches):
+        enter("substring_dedup")
         for b in batches:
             texts, ids = byte_values(b.column("text")), np.array(b.column("row").to_pylist(), np.int64)
-            for i, j in _pieces(texts):
+            for i, j in pieces(texts):
                 w = Words(texts[i:j])
                 _, place, g = anchors(w, window, gram)
                 place = np.unique(place)
@@ -353,6 +358,7 @@ def _by_join(src: DataFrame, sketch: DataFrame, window: int, gram: int, blocks:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i + text]), pa.array((place - w.first[text]).astype(np.int32)), pa.array(g[place].view(np.int64)), pa.array(_block_of(g[place], blocks))], ["row", "place", "hash", "block"])
 
     def look(batches):
+        enter("substring_dedup")
         at, table = None, None
         for b in batches:
             row, place, h, block = (b.column(c).to_numpy(zero_copy_only=False) for c in ("row", "place", "hash", "block"))
@@ -405,6 +411,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = src.join(windows, "row", "left").select("doc_id", "text", "begins", "ends")
 
     def run(batches):
+        enter("substring_dedup")
         for b in batches:
             n, gone, out = [], [], []
             for data, begins, ends in zip(byte_values(b.column("text")), b.column("begins").to_pylist(), b.column("ends").to_pylist(), strict=True):
