@@ -40,7 +40,7 @@ LANES = SYMBOLS // 4
 _FACTORS = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACES = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 #: Leader rounds at most, and pairs for each class above which one more is held.
-ROUNDS, ENOUGH = 6, 40
+ROUNDS, ENOUGH = 6, 200
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
