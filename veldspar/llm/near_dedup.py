@@ -77,10 +77,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def keys_of(sig: np.ndarray, chunks: int) -> np.ndarray:
-    """[set, key]: for each chunk and symbol left out, a hash of the rest."""
+    """[set, key]: for each chunk and symbol left out, a hash of the rest; the last 7 bits say which."""
     terms = (mix64(sig.astype(np.uint64) + np.uint64(1)) * _PLACES).reshape(len(sig), chunks, -1)
     rest = terms.sum(axis=2, dtype=np.uint64)[:, :, None] - terms
-    return mix64(rest + np.arange(1, SYMBOLS + 1, dtype=np.uint64).reshape(chunks, -1) * np.uint64(0xC2B2AE3D27D4EB4F)).reshape(len(sig), SYMBOLS)
+    which = np.arange(SYMBOLS, dtype=np.uint64).reshape(chunks, -1)
+    hashed = mix64(rest + (which + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (hashed >> np.uint64(7) << np.uint64(7) | which).reshape(len(sig), SYMBOLS)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -141,6 +143,23 @@ def distance(a: str, b: str) -> Column:
     return F.lit(SYMBOLS) - sum(terms[1:], terms[0])
 
 
+def at_first_key(key: str, a: str, b: str, chunks: int) -> Column:
+    """Whether key is the first that two signatures share, so that a pair is met once and not at each shared key."""
+    wide, ones = SYMBOLS // chunks, 0x4000400040004000
+    first = None
+    for c in range(chunks):
+        masks: dict[int, int] = {}
+        for symbol in range(c * wide, (c + 1) * wide):
+            masks[symbol // 4] = masks.get(symbol // 4, 0) | 1 << 14 + 16 * (symbol % 4)
+        same = [F.bit_count((F.lit(ones) - F.col(a)[i].bitwiseXOR(F.col(b)[i])).bitwiseAND(F.lit(m))) for i, m in masks.items()]
+        differ = F.lit(wide) - sum(same[1:], same[0])
+        code = 2 * c + differ  # differ is 0 or 1
+        first = F.when(differ <= 1, code) if first is None else first.when(differ <= 1, code)
+    which = F.col(key).bitwiseAND(F.lit(127)).cast("int")
+    place = F.floor(which / wide).cast("int")
+    return (first >= 2 * place) & (first <= 2 * place + 1) & ((first == 2 * place + 1) | (which == wide * place))
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (u, v) that are linked by their full sets."""
 
@@ -264,7 +283,7 @@ def _joined(met: DataFrame, nodes: DataFrame, texts: DataFrame, many: int, n: in
     part = F.pmod(F.xxhash64("node"), F.col("parts") + 1).cast("int")
     right = open_.select("key", part.alias("part"), F.col("node").alias("v"), F.col("comp").alias("vc"), F.col("sig").alias("sv"))
     left = open_.where("comp <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), F.col("node").alias("u"), F.col("comp").alias("uc"), F.col("sig").alias("su"), "top")
-    within = left.join(right, ["key", "part"]).where((F.col("uc") != F.col("vc")) & ((F.col("vc") == F.col("top")) | (F.col("u") < F.col("v"))) & (distance("su", "sv") <= limit))
+    within = left.join(right, ["key", "part"]).where((F.col("uc") != F.col("vc")) & ((F.col("vc") == F.col("top")) | (F.col("u") < F.col("v"))) & (distance("su", "sv") <= limit) & at_first_key("key", "su", "sv", (limit + 1) // 2))
     pairs = within.select("u", "v").distinct()
     if tried is not None:
         pairs = pairs.join(tried, ["u", "v"], "left_anti").join(tried.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
