@@ -486,3 +486,18 @@ def test_pipeline(spark, tmp_path):
     assert out.keys() == left.keys()
     assert all(out[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() and out[i].n_tokens == len(out[i].ids) for i, t in left.items())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontaminate", "bpe"]
+
+
+def test_pairs_are_met_at_one_key(spark):
+    r = np.random.default_rng(3)
+    for chunks in (16, 20):
+        rows = []
+        for i in range(40):
+            a = r.integers(0, 1 << 14, (1, 80)).astype(np.uint16)
+            b = a.copy()
+            b[0, r.choice(80, r.integers(0, 2 * chunks), replace=False)] ^= 5
+            shared = np.intersect1d(near_dedup.keys_of(a, chunks).view(np.int64), near_dedup.keys_of(b, chunks).view(np.int64))
+            rows += [(i, int(k), a.view("<i8")[0].tolist(), b.view("<i8")[0].tolist()) for k in shared]
+        df = spark.createDataFrame(rows, "i int, key long, a array<long>, b array<long>")
+        met = df.where(near_dedup.at_first_key("key", "a", "b", chunks)).groupBy("i").count().collect()
+        assert sorted(x.i for x in met) == list(range(40)) and {x["count"] for x in met} == {1}
