@@ -109,6 +109,20 @@ def exact(rows, q, k):
     return [i for _, i in sorted(((x - y) ** 2 if not isinstance(x, list) else sum((a - b) ** 2 for a, b in zip(x, y)), i) for i, (x, y) in enumerate((r, q) for r in rows))][:k]
 
 
+def test_probes_reach_the_recall(spark):
+    r = random.Random(6)
+    refs = spark.createDataFrame([(i, [r.uniform(-1, 1) for _ in range(6)], False) for i in range(600)], "ref_id long, vector array<float>, is_fraud boolean")
+    full = refs.select("ref_id", quantize.quantized(F.col("vector"), 6, "i8").alias("vector"), "is_fraud").persist()
+    q = full.where("ref_id % 10 = 0").select(F.col("ref_id").alias("query_id"), "vector")
+    true = {(x.query_id, x.ref_id) for x in knn.brute(full, q, 6, "i8").collect()}
+    found = index.build(refs, 6, "i8", clusters=20)
+    recall = lambda n: sum((x.query_id, x.ref_id) in true for x in knn.ivf(found, q, 5, n).collect()) / len(true)
+    nprobe, said = knn.probes_for(found, q, 5, 0.9)
+    assert 1 < nprobe < 20 and said >= 0.9
+    assert recall(nprobe) == pytest.approx(said) and recall(nprobe - 1) < 0.9
+    assert knn.probes_for(found, q.limit(0)) == (1, 1.0)
+
+
 @pytest.mark.parametrize("space", ["i8", "i16"])
 def test_pruned_equals_brute(spark, space):
     refs = table(spark, GUARD)

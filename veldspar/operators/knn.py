@@ -109,6 +109,28 @@ def ivf(index: Index, queries: DataFrame, k: int = 5, nprobe: int = 8) -> DataFr
     return _scan(index, ranked.where(F.col("rn") <= nprobe).select("query_id", "vector", "cluster_id"), k)
 
 
+def probes_for(index: Index, queries: DataFrame, k: int = 5, least: float = 0.9, sample: int = 1000) -> tuple[int, float]:
+    """The fewest clusters that ``ivf`` must read for this recall, and the recall with them, against brute force.
+
+    A true neighbour is found just if its cluster is read, so the ranks of the true neighbours' clusters give
+    the recall of every nprobe at once. Up to sample queries are measured, those with the least hashes.
+    """
+    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample).select("query_id", "vector").persist()
+    try:
+        true = brute(index.records.select("ref_id", "vector", "is_fraud"), some, index.dims, index.space, k, kernel="arrow").select("query_id", "ref_id")
+        own = true.join(index.records.select("ref_id", "cluster_id"), "ref_id")
+        ranks = own.join(rank_clusters(index, some).select("query_id", "cluster_id", "rn"), ["query_id", "cluster_id"])
+        by_rank = ranks.groupBy("rn").agg(F.count(F.lit(1)).alias("n")).orderBy("rn").collect()  # at most a row for each cluster
+    finally:
+        some.unpersist()
+    total, found = sum(r.n for r in by_rank), 0
+    for r in by_rank:
+        found += r.n
+        if found >= least * total:
+            return r.rn, found / total
+    return 1, 1.0
+
+
 def pruned(index: Index, queries: DataFrame, k: int = 5, nprobe: int = 8) -> DataFrame:
     """Exact: after nprobe clusters only those whose box may hold something nearer, or as near, are read.
 
