@@ -200,6 +200,16 @@ def test_html_is_linear():
     assert html_extract.main_text(long) == ("a & b, c. " * 50_000).strip()
 
 
+def test_html_keeps_paths_outside_articles():
+    long = [f"Paragraph {i}, " + "of the main text. " * 7 + "and so on " * 26 for i in range(10)]
+    teasers = "".join(f"<article class=teaser><p>{'Some teaser, ' + 'x' * 47}</p></article>" for _ in range(5))
+    got = html_extract.main_text("<body><div class=post>" + "".join(f"<p>{t}</p>" for t in long) + f"</div>{teasers}</body>")
+    assert [t for t in long if t.strip() not in got] == []
+    text = "A sentence of the text, long enough to stay here, and then some. " * 4
+    page = f"<body><article><p>{text}</p><p>{text}</p><span>x</span><div class=tags>a b</div></article></body>"
+    assert "a b" not in html_extract.main_text(page).split("\n\n")
+
+
 # ---- 5 -------------------------------------------------------------------------------------------
 
 SYLLABLES = {"de": ["sch", "ung", "ein", "ver", "keit"], "fr": ["eau", "tion", "é", "oi", "ment"], "es": ["ción", "ado", "ez", "ll", "rr"]}

@@ -4,8 +4,7 @@ A page is read into blocks of text, each under a path of block-level tags from t
 distinct path the text length and the punctuation of its blocks are added up and divided by the
 number of blocks; link text counts against it. The two ratios are smoothed along the page with a small
 Gaussian, fused by their product and weighed up inside an article or main element; paths above a share
-of the page's mean are content. Content found inside such elements brings in the rest of them,
-elsewhere the headings beside it.
+of the page's mean are content, wherever they lie, and bring in the headings beside them.
 
 Excluded parts never count: scripts, styles, heads, menus, headers and footers of the page, sidebars,
 forms, and elements whose class, id or role names a notice, advert, menu, sidebar or comments.
@@ -186,11 +185,7 @@ def smooth(values: list[float], radius: int = 1) -> list[float]:
 
 
 def content(blocks: list[Block], threshold: float = 0.35) -> list[Block]:
-    """The blocks under paths whose fused ratio is high, and what belongs with them.
-
-    Where such a path lies in an article or main element, all blocks of these elements belong with it;
-    elsewhere the headings beside it do.
-    """
+    """The blocks under paths whose fused ratio is high, and the headings beside them."""
     if not blocks:
         return []
     length: dict[tuple, float] = {}
@@ -207,8 +202,6 @@ def content(blocks: list[Block], threshold: float = 0.35) -> list[Block]:
     fused = {p: text[p] * mark[p] * (length[p] > 0) * (ARTICLE if p in inside else 1) for p in paths}
     mean = sum(fused[b.path] for b in blocks) / len(blocks)
     keep = {p for p in paths if fused[p] > 0 and fused[p] >= min(threshold * mean, max(fused.values()))}
-    if keep & inside:
-        return [b for b in blocks if b.article]
     tops = {p[:-1] for p in keep}
     return [b for b in blocks if b.path in keep or b.path and b.path[-1][:2] in HEADINGS and b.path[:-1] in tops]
 
