@@ -210,6 +210,15 @@ def test_html_keeps_paths_outside_articles():
     assert "a b" not in html_extract.main_text(page).split("\n\n")
 
 
+def test_html_deep():
+    text = "A sentence of the text, long enough to stay here, and then some. " * 4
+    deep = "<div>" * 450 + "<nav>Menu, of it. And more.</nav><p>" + text + "</p>" + "</div>" * 450
+    page = f"<body><div><article><p>{text}</p>{deep}<p>{text}Last.</p></article></div></body>"
+    assert html_extract.main_text(page) == "\n\n".join([text.strip()] * 2 + [text + "Last."])
+    for odd in ("</b0>" * 50_000, "<dt>" * 50_000, "<li></i>" * 50_000, "<p>x" * 20_000):
+        html_extract.main_text("<dl><dd><ul>" + "<div>" * 20_000 + odd)
+
+
 # ---- 5 -------------------------------------------------------------------------------------------
 
 SYLLABLES = {"de": ["sch", "ung", "ein", "ver", "keit"], "fr": ["eau", "tion", "é", "oi", "ment"], "es": ["ción", "ado", "ez", "ll", "rr"]}

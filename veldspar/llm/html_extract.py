@@ -52,7 +52,9 @@ SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: int
+    above: int
+    heading: bool
     text: str
     link: int
     article: bool
@@ -63,7 +65,7 @@ class Open:
     name: str
     skipped: bool
     article: bool
-    label: str = ""
+    path: int
 
 
 def excluded(name: str, tag: str, in_article: bool) -> bool:
@@ -90,6 +92,8 @@ def label_of(tag: str) -> str:
 def read(page: str) -> list[Block]:
     """The blocks of text of a page in order, without excluded parts."""
     stack: list[Open] = []
+    places: dict[str, list[int]] = {}  # of each name, where in the stack it stands
+    paths: dict[tuple[int, str], int] = {}  # a path is numbered by the path above it and its last element
     out: list[Block] = []
     words: list[str] = []
     link, in_link, at = 0, 0, 0
@@ -98,7 +102,8 @@ def read(page: str) -> list[Block]:
         nonlocal link
         text = SPACE.sub(" ", entities.unescape("".join(words))).strip()
         if text:
-            out.append(Block(tuple(o.name + o.label for o in stack), text, min(link, len(text)), bool(stack) and stack[-1].article))
+            top, above = stack[-1] if stack else None, stack[-2].path if len(stack) > 1 else 0
+            out.append(Block(top.path if top else 0, above, top is not None and top.name[:2] in HEADINGS, text, min(link, len(text)), top is not None and top.article))
         words.clear()
         link = 0
 
@@ -111,8 +116,14 @@ def read(page: str) -> list[Block]:
 
     def close(k: int):
         end_block()
+        for o in stack[k:]:
+            places[o.name].pop()
         del stack[k:]
 
+    def last(*names: str) -> int | None:
+        """Where the innermost open element of these names stands."""
+        return max((places[n][-1] for n in names if places.get(n)), default=None)
+
     while m := TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
@@ -126,7 +137,7 @@ def read(page: str) -> list[Block]:
             if name == "a":
                 in_link = 0
             elif name not in INLINE:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None)
+                k = last(name)
                 if k is not None:
                     close(k)
                 elif name == "p":
@@ -149,20 +160,21 @@ def read(page: str) -> list[Block]:
         end_block()
         in_link = 0
         if name in P_ENDERS:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == "p" or stack[k].name in ("div", "article", "td", "body")), None)
+            k = last("p", "div", "article", "td", "body")
             if k is not None and stack[k].name == "p":
                 close(k)
         for ended in ENDS.get(name, ()):
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name in (ended, "ul", "ol", "dl", "table", "select")), None)
+            k = last(ended, "ul", "ol", "dl", "table", "select")
             if k is not None and stack[k].name == ended:
                 close(k)
         if name in VOID or tag.endswith("/>"):
             continue
-        if len(stack) < MAX_DEPTH:
-            above = stack[-1] if stack else None
-            inside = above is not None and above.article or name in ("article", "main")
-            skip = above is not None and above.skipped or excluded(name, tag, above is not None and above.article)
-            stack.append(Open(name, skip, inside, label_of(tag) if "class" in tag else ""))
+        above = stack[-1] if stack else None
+        inside = above is not None and above.article or name in ("article", "main")
+        skip = above is not None and above.skipped or excluded(name, tag, above is not None and above.article)
+        step = (above.path if above else 0, name + (label_of(tag) if "class" in tag else ""))
+        places.setdefault(name, []).append(len(stack))
+        stack.append(Open(name, skip, inside, paths.setdefault(step, len(paths) + 1)))
     if at < len(page):
         add(page[at:])
     end_block()
@@ -171,8 +183,6 @@ def read(page: str) -> list[Block]:
 
 #: Weight of a path in an article or main element.
 ARTICLE = 4
-#: Deeper elements are read as part of the element at this depth.
-MAX_DEPTH = 400
 
 
 def smooth(values: list[float], radius: int = 1) -> list[float]:
@@ -188,9 +198,9 @@ def content(blocks: list[Block], threshold: float = 0.35) -> list[Block]:
     """The blocks under paths whose fused ratio is high, and the headings beside them."""
     if not blocks:
         return []
-    length: dict[tuple, float] = {}
-    marks: dict[tuple, float] = {}
-    count: dict[tuple, int] = {}
+    length: dict[int, float] = {}
+    marks: dict[int, float] = {}
+    count: dict[int, int] = {}
     for b in blocks:
         length[b.path] = length.get(b.path, 0) + len(b.text) - b.link
         marks[b.path] = marks.get(b.path, 0) + (len(PUNCTUATION.findall(b.text)) if b.link < len(b.text) else 0)
@@ -202,8 +212,8 @@ def content(blocks: list[Block], threshold: float = 0.35) -> list[Block]:
     fused = {p: text[p] * mark[p] * (length[p] > 0) * (ARTICLE if p in inside else 1) for p in paths}
     mean = sum(fused[b.path] for b in blocks) / len(blocks)
     keep = {p for p in paths if fused[p] > 0 and fused[p] >= min(threshold * mean, max(fused.values()))}
-    tops = {p[:-1] for p in keep}
-    return [b for b in blocks if b.path in keep or b.path and b.path[-1][:2] in HEADINGS and b.path[:-1] in tops]
+    tops = {b.above for b in blocks if b.path in keep}
+    return [b for b in blocks if b.path in keep or b.heading and b.above in tops]
 
 
 def main_text(page: str) -> str:
