@@ -398,6 +398,49 @@ def test_lines(spark):
     assert sorted(x.text for x in line_dedup.dedup_lines(twice).collect()) == sorted([base[0] + "\nshort", "short"])
 
 
+def within(a, b, e):
+    if abs(len(a) - len(b)) > e:
+        return False
+    row = {j: j for j in range(e + 1)}
+    for i, x in enumerate(a, 1):
+        before, row = row, {}
+        for j in range(max(0, i - e), min(len(b), i + e) + 1):
+            row[j] = min(before.get(j, e) + 1, row.get(j - 1, e) + 1, before.get(j - 1, e + 1) + (j == 0 or x != b[j - 1]))
+        if min(row.values()) > e:
+            return False
+    return row.get(len(b), e + 1) <= e
+
+
+def test_lines_within_more_edits(spark):
+    r = random.Random(7)
+    base = ["".join(r.choice("abcdé 🙂") for _ in range(n)).strip() + "xyz" for n in (19, 20, 25, 33, 60, 101, 140, 155, 170, 199, 210, 230)]
+    texts = []
+    for _ in range(40):
+        lines = []
+        for _ in range(r.randrange(4)):
+            x = list(r.choice(base))
+            for _ in range(r.choice((0, 1, 2, 2, 3, 4, 5, 6))):
+                k = r.randrange(len(x))
+                x[k : k + 1] = r.choice(([], ["q"], [x[k], "q"]))
+            lines.append("".join(x) + r.choice(("", " ", "\r")))
+        texts.append("\n".join([*lines, r.choice(("short", "ok", "", " ", "no"))]))
+    texts += [None, "", "é" * 30 + "\n" + "é" * 32 + "\n" + "é" * 35, "shorx"]
+    seen, want = [], []
+    for t in texts:
+        kept = []
+        for line in (t or "").split("\n"):
+            s = line.strip(" \t\r\n\x0b\x0c")
+            far = all(min(len(x), len(s)) < 20 or (not within(s, x, max(2, min(4, min(len(x), len(s)) // 50)))) for x in seen)
+            if len(s) < 20 or far:
+                kept.append(line)
+            if s:
+                seen.append(s)
+        want.append("\n".join(kept) if t is not None else None)
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs(spark, texts), edits=line_dedup.EDITS).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert want != brute_lines(texts)
+
+
 # ---- 9 -------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

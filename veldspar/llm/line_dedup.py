@@ -34,6 +34,10 @@ from pyspark.sql import functions as F
 from .common import durable, enter, mix64, row_key, scratch
 
 MIN_CHARS, SEGMENTS = 20, 8
+#: Edits of the pipeline's stage: one for each 50 code points of the shorter line, 2 to 4.
+EDITS = (2, 4, 50)
+#: Most bits of the filter of segment keys that is broadcast.
+FILTER_BITS = 1 << 28
 
 
 def trimmed(line: str) -> str:
@@ -97,8 +101,8 @@ def variants(line: str, shared: list[int]) -> tuple[np.ndarray, np.ndarray, np.n
     return placed.view(np.int64), plain.view(np.int64), own.view(np.int64)
 
 
-def _occurrences(src: DataFrame, min_chars: int) -> DataFrame:
-    """row, id, line number, 128-bit digest and half hashes of each line that is compared."""
+def _occurrences(src: DataFrame, min_chars: int, exact_chars: int, edits) -> DataFrame:
+    """row, id, line number, 128-bit digest and, from min_chars on, half hashes or (with edits) segment keys of each line that is compared."""
 
     def run(batches):
         enter("line_dedup")
@@ -106,14 +110,16 @@ def _occurrences(src: DataFrame, min_chars: int) -> DataFrame:
             rows, ids, lines, h1, h2, half = [], [], [], [], [], []
             for row, i, text in zip(*(b.column(c).to_pylist() for c in ("row", "id", "text")), strict=True):
                 for n, line in enumerate(text.split("\n") if text else ()):
-                    if len(line := trimmed(line)) >= min_chars:
+                    if len(line := trimmed(line)) >= exact_chars:
                         d = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
                         rows.append(row)
                         ids.append(i)
                         lines.append(n)
                         h1.append(int.from_bytes(d[:8], "big", signed=True))
                         h2.append(int.from_bytes(d[8:], "big", signed=True))
-                        half.append(halves(line))
+                        half.append(() if len(line) < min_chars else halves(line) if edits is None else line)
+            if edits is not None:
+                half = _segment_keys(half, edits)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int64()), pa.array(ids, b.schema.field("id").type), pa.array(lines, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(half, pa.list_(pa.int64()))],
                 ["row", "id", "line", "h1", "h2", "half"])
@@ -191,23 +197,164 @@ def _near(src: DataFrame, firsts: DataFrame, small: int) -> DataFrame:
     return checked.where(F.levenshtein("text", "other", 1).between(0, 1)).select("place.row", "place.line").distinct()
 
 
-def _removed(src: DataFrame, min_chars: int, small: int) -> DataFrame:
+def bound(n: int, edits: tuple[int, int, int]) -> int:
+    """Edits allowed when the shorter line has n code points."""
+    return max(edits[0], min(edits[1], n // edits[2]))
+
+
+def wide_keys(lines: list[str], min_chars: int, edits: tuple[int, int, int], probing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and the line each is of: those of its segments, or (probing) those by which it may meet a shorter or equal one.
+
+    The shorter of two lines within e edits is cut into e + 1 segments, of which one stands unchanged in the other,
+    moved by no more than the edits to its left and right allow. Equal length and place is left to the segments.
+    """
+    n = np.array([len(x) for x in lines], np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = len(points) + 1
+    power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_BASE, _INVERSE))
+    left = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(points + np.uint64(1)) * power[:-1])])
+    keys, owners = [], []
+    for gap in range(edits[1] + 1 if probing else 1):
+        base = n - gap
+        most = np.maximum(edits[0], np.minimum(edits[1], base // edits[2]))
+        for e in range(max(edits[0], gap), edits[1] + 1):
+            own = np.flatnonzero((base >= max(min_chars, 1)) & (most == e))
+            b = base[own]
+            for i in range(e + 1):
+                begin, end = b * i // (e + 1), b * (i + 1) // (e + 1)
+                low, high = (max(-i, gap - (e - i)), min(i, gap + (e - i))) if probing else (0, 0)
+                for shift in range(low, high + 1):
+                    if probing and gap == shift == 0:
+                        continue
+                    fits = (begin + shift >= 0) & (end + shift <= n[own])
+                    at, to = (first[own] + begin + shift)[fits], (first[own] + end + shift)[fits]
+                    part = (left[to] - left[at]) * back[at]
+                    keys.append(mix64(mix64(part) + mix64(b[fits].astype(np.uint64) * np.uint64(64) + np.uint64(i + 1))))
+                    owners.append(own[fits])
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
+
+
+def _segment_keys(lines: list, edits: tuple[int, int, int]) -> list[list[int]]:
+    """The keys of each line's segments; none for what is no string."""
+    out: list[list[int]] = [[] for _ in lines]
+    fuzzy = [k for k, x in enumerate(lines) if isinstance(x, str)]
+    keys, owners = wide_keys([lines[k] for k in fuzzy], 0, edits, False)
+    for key, k in zip(keys.tolist(), owners.tolist(), strict=True):
+        out[fuzzy[k]].append(key)
+    return out
+
+
+def _filter(keys: DataFrame, n: int) -> np.ndarray | None:
+    """Words of a bit set of the keys, or None if it would be too large."""
+    bits = max(1 << 16, 1 << (16 * n - 1).bit_length())
+    if bits > FILTER_BITS:
+        return None
+    at = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _probes(src: DataFrame, min_chars: int, edits: tuple[int, int, int], sent) -> DataFrame:
+    """row, line, key of what may meet a segment."""
+
+    def run(batches):
+        enter("line_dedup")
+        for b in batches:
+            rows, numbers, lines = [], [], []
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for k, line in enumerate(text.split("\n")):
+                    if len(line := trimmed(line)) >= min_chars:
+                        rows.append(row)
+                        numbers.append(k)
+                        lines.append(line)
+            rows, numbers, at = np.array(rows, np.int64), np.array(numbers, np.int32), 0
+            while at < len(lines):
+                end, size = at, 0
+                while end < len(lines) and (end == at or size + len(lines[end]) <= 200_000):
+                    size += len(lines[end])
+                    end += 1
+                keys, own = wide_keys(lines[at:end], min_chars, edits, True)
+                if sent is not None:
+                    words = sent.value
+                    low = keys.view(np.uint64) & np.uint64(64 * len(words) - 1)
+                    met = (words[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    keys, own = keys[met], own[met]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[at + own]), pa.array(numbers[at + own]), pa.array(keys)], ["row", "line", "key"])
+                at = end
+
+    return src.select("row", "text").mapInArrow(run, "row long, line int, key long")
+
+
+def _near_wide(src: DataFrame, firsts: DataFrame, min_chars: int, edits: tuple[int, int, int], small: int) -> DataFrame:
+    """As ``_near``, within ``bound`` edits. What meets at a key is compared with the key's earliest line, and only if
+    that is too far with the earlier ones; letter counts are compared before texts."""
+    place = F.struct("id", "row", "line").alias("place")
+    each = firsts.select("row", "line", place, F.explode("half").alias("key"))
+    n = firsts.agg(F.coalesce(F.sum(F.size("half")), F.lit(0))).first()[0]
+    words = _filter(each, n) if n else None
+    sent = src.sparkSession.sparkContext.broadcast(words) if words is not None else None
+    probes = _probes(src.where("text is not null"), min_chars, edits, sent)
+    probes = durable(probes.join(each.select("key").distinct(), "key", "left_semi").distinct(), "line-probes")
+    probes = probes.join(firsts.select("row", "line", place), ["row", "line"]).select("key", "place", F.lit(False).alias("segment"))
+    every = each.select("key", "place", F.lit(True).alias("segment")).unionByName(probes)
+    met = every.groupBy("key").agg(F.min("place").alias("leader"), F.max("place").alias("last")).where("leader < last").drop("last")
+    members = durable(every.join(met, "key"), "line-members")
+    wanted = durable(members.groupBy("place.row").agg(F.collect_set("place.line").alias("lines")), "lines-wanted")
+    size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
+    wanted = F.broadcast(wanted) if 32 * size[0] + 4 * size[1] <= small else wanted
+    text = durable(_texts(src, wanted).dropDuplicates(["row", "line"]).select(place, "text", _counts("text").alias("counts")), "lines-text")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The places of pairs (place, partner) whose texts are within the bound."""
+        both = pairs.join(text.select("place", "text"), "place").join(text.select(F.col("place").alias("partner"), F.col("text").alias("other")), "partner")
+        most = _bound(F.least(F.char_length("text"), F.char_length("other")), edits)
+        return both.where((F.levenshtein("text", "other", edits[1]) >= 0) & (F.levenshtein("text", "other", edits[1]) <= most)).select("place").distinct()
+
+    gone = durable(close(members.where("leader < place").select("place", F.col("leader").alias("partner")).distinct()), "lines-gone")
+    held = members.join(text.select("place", "counts"), "place")
+    rest = held.join(gone, "place", "left_anti").where("leader < place")
+    other = held.select("key", F.col("place").alias("partner"), F.col("segment").alias("s2"), F.col("counts").alias("c2"))
+    apart = F.aggregate(F.zip_with("counts", "c2", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, x: a + x)
+    pairs = rest.join(other, "key").where((F.col("partner") < F.col("place")) & (F.col("partner") != F.col("leader")) & (F.col("segment") | F.col("s2")) & (apart <= 2 * edits[1]))
+    more = close(pairs.select("place", "partner").distinct())
+    return gone.unionByName(more).select("place.row", "place.line").distinct()
+
+
+def _counts(col: str):
+    """How often each of some frequent letters stands in a text; one edit changes at most two of the counts by one."""
+    return F.array(*[F.char_length(col) - F.char_length(F.translate(F.col(col), c, "")) for c in "eaiontrsludcmpgv"])
+
+
+def _bound(n, edits: tuple[int, int, int]):
+    return F.greatest(F.lit(edits[0]), F.least(F.lit(edits[1]), F.floor(n / edits[2])))
+
+
+def _removed(src: DataFrame, min_chars: int, exact_chars: int, edits, small: int) -> DataFrame:
     """row, __removed: the numbers of each document's lines that go."""
-    occurrences = durable(_occurrences(src.where("text is not null"), min_chars), "line-occurrences")
+    occurrences = durable(_occurrences(src.where("text is not null"), min_chars, exact_chars, edits), "line-occurrences")
     firsts = durable(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("half").alias("half")).select("h1", "h2", "first.*", "n", "half"), "line-firsts")
-    near = _near(src, firsts, small)
+    near = _near(src, firsts, small) if edits is None else _near_wide(src, firsts, min_chars, edits, small)
     again = occurrences.join(firsts.where("n > 1").select("h1", "h2", F.struct("id", "row", "line").alias("first")), ["h1", "h2"]).where(F.struct("id", "row", "line") != F.col("first")).select("row", "line")
     return again.unionByName(near).groupBy("row").agg(F.collect_set("line").alias("__removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, small_bytes: int = 32 << 20, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, small_bytes: int = 32 << 20, counts: bool = False, exact_chars: int | None = None, edits: tuple[int, int, int] | None = None) -> DataFrame:
     """docs with duplicate lines gone. With counts, only id, n_lines, n_removed and text.
 
+    exact_chars: lines from this length on are compared for equality, from min_chars on for nearness too.
+    edits: (least, most, chars) lets two lines differ by one edit for each so many code points of the shorter, within
+    least and most; None is one edit.
     small_bytes: a list of lines up to this size, measured before, is broadcast; a longer one is joined.
     """
+    exact_chars = min_chars if exact_chars is None else max(1, min(exact_chars, min_chars))
     src = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     with scratch(docs.sparkSession) as keep:
-        removed = keep(durable(_removed(src, min_chars, small_bytes), "lines-removed"))
+        removed = keep(durable(_removed(src, min_chars, exact_chars, edits, small_bytes), "lines-removed"))
     copy = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0)))
     rows = docs.withColumn("__row", row_key(id_col, text_col)).withColumn("__copy", copy)
     rows = rows.join(removed.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
@@ -220,7 +367,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts, total, gone = [], [], []
             for text, copy, removed in zip(*(b.column(c).to_pylist() for c in (text_col, "__copy", "__removed")), strict=True):
                 lines = text.split("\n") if text is not None else []
-                out = {i for i, line in enumerate(lines) if len(trimmed(line)) >= min_chars} if copy > 1 else set(removed or ())
+                out = {i for i, line in enumerate(lines) if len(trimmed(line)) >= exact_chars} if copy > 1 else set(removed or ())
                 texts.append("\n".join(line for i, line in enumerate(lines) if i not in out) if text is not None else None)
                 total.append(len(lines))
                 gone.append(len(out))
