@@ -127,6 +127,17 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

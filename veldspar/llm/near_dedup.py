@@ -9,16 +9,21 @@ shingle). Documents of equal sets form a class with one representative; the rest
 2. Signatures are cut into 16 chunks of 5 symbols, or for likenesses from 0.8 into 20 of 4. Of two within
    2 * chunks - 1 of each other, some chunk differs in one symbol at most. Each signature is indexed under
    every chunk with each of its symbols left out in turn, so all pairs within that limit share a key.
-3. Classes that share a key are compared without emitting all pairs of a key. In a leader round each
-   class is paired with one leader of each of its keys: pairs within the limit are confirmed on the full
-   sets and components are joined. Leaders are the classes with most confirmed links, then by hash; so a
-   text that many were copied from soon leads. Rounds go on while they pay. Then every pair
-   of classes that share a key, are in different components and within the limit is confirmed, so that no
-   link is lost: of each key, the classes outside its largest component against all.
-4. Components follow from the confirmed links, see ``components``.
+3. Classes that share a key are compared without emitting the pairs of a key. First each class is held
+   against one leader of each of its keys, the least node (nodes are numbered at random), so a tight group
+   of any size comes together by as many comparisons as it has index rows.
+4. What is left are keys whose classes lie in several components. The classes that such keys connect make a
+   group; within it all classes outside its largest component are held against each other and against that
+   component. Both are dealt over blocks, as many as the root of their number, of ``BLOCK`` classes at least and ``BLOCK_BYTES`` of
+   sets at most. A task gets two blocks with signatures and full sets and compares them there:
+   different components, signatures within the limit, then the full sets. Only links that join components
+   leave it, so no pairs travel and none is lost.
+5. Components follow from the confirmed links, see ``components``.
 
 Defined results: null text and text without words have no shingles and are linked with nothing, as are
-documents with a null id (their component is null, and they are kept); repeated rows are linked.
+documents with a null id (their component is null, and they are kept); repeated rows are linked; an empty
+table gives an empty one; texts of any length are taken whole; the column names of ``docs`` besides id and text
+are free, and ``kept_rows`` gives them back unchanged. Ids that repeat on different texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -28,19 +33,20 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, durable, enter, mix64, row_key, scratch
+from .common import byte_values, durable, enter, mix64, row_key, scratch, unused
 from .components import components
 from .substring_dedup import Words, pieces
 
 SYMBOLS = 80
-LANES = SYMBOLS // 4
 _FACTORS = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACES = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
-#: Leader rounds at most, and pairs for each class above which one more is held.
-ROUNDS, ENOUGH = 6, 200
+#: Classes in a block at least, and bytes of sets at most (one set may be longer).
+BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Lists up to this size are broadcast.
+SMALL = 32 << 20
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -95,7 +101,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """id, row, n_shingles, d1, d2 (digest of the set) and sig, null for an empty set."""
+    """id, row, size (number of shingles), d1, d2 (digest of the set) and sig, null for an empty set."""
 
     def run(batches):
         enter("near_dedup")
@@ -105,16 +111,16 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             for i, j in pieces(texts):
                 sets = shingle_sets(texts[i:j], n)
                 full = [s for s in sets if len(s)]
-                own = iter(signatures(full).view("<i8").tolist() if full else ())
+                own = iter(signatures(full) if full else ())
                 for s in sets:
                     size.append(len(s))
                     d = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                     d1.append(d and int.from_bytes(d[:8], "big", signed=True))
                     d2.append(d and int.from_bytes(d[8:], "big", signed=True))
-                    sigs.append(next(own) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "row", "n_shingles", "d1", "d2", "sig"])
+                    sigs.append(next(own).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.binary())], ["id", "row", "size", "d1", "d2", "sig"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row long, n_shingles long, d1 long, d2 long, sig array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row long, size long, d1 long, d2 long, sig binary")
 
 
 def _keys(classes: DataFrame, chunks: int) -> DataFrame:
@@ -124,181 +130,197 @@ def _keys(classes: DataFrame, chunks: int) -> DataFrame:
         enter("near_dedup")
         for b in batches:
             if len(b):
-                flat = b.column("sig").flatten().to_numpy(zero_copy_only=False)
-                keys = keys_of(np.ascontiguousarray(flat).view(np.uint16).reshape(len(b), SYMBOLS), chunks)
+                keys = keys_of(_matrix(b.column("sig")), chunks)
                 node = np.repeat(b.column("node").to_numpy(zero_copy_only=False), SYMBOLS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["key", "node"])
 
     return classes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def distance(a: str, b: str) -> Column:
-    """Symbols at which two signatures differ.
+def _matrix(sigs) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
-    Four symbols share a word, each of 14 bits in a lane of 16. Bit 14 less the difference of two lanes
-    leaves bit 14 just if they are equal, with no carry between lanes.
-    """
-    ones = F.lit(0x4000400040004000)
-    terms = [F.bit_count((ones - F.col(a)[i].bitwiseXOR(F.col(b)[i])).bitwiseAND(ones)) for i in range(LANES)]
-    return F.lit(SYMBOLS) - sum(terms[1:], terms[0])
-
-
-def at_first_key(key: str, a: str, b: str, chunks: int) -> Column:
-    """Whether key is the first that two signatures share, so that a pair is met once and not at each shared key."""
-    wide, ones = SYMBOLS // chunks, 0x4000400040004000
-    first = None
-    for c in range(chunks):
-        masks: dict[int, int] = {}
-        for symbol in range(c * wide, (c + 1) * wide):
-            masks[symbol // 4] = masks.get(symbol // 4, 0) | 1 << 14 + 16 * (symbol % 4)
-        same = [F.bit_count((F.lit(ones) - F.col(a)[i].bitwiseXOR(F.col(b)[i])).bitwiseAND(F.lit(m))) for i, m in masks.items()]
-        differ = F.lit(wide) - sum(same[1:], same[0])
-        code = 2 * c + differ  # differ is 0 or 1
-        first = F.when(differ <= 1, code) if first is None else first.when(differ <= 1, code)
-    which = F.col(key).bitwiseAND(F.lit(127)).cast("int")
-    place = F.floor(which / wide).cast("int")
-    return (first >= 2 * place) & (first <= 2 * place + 1) & ((first == 2 * place + 1) | (which == wide * place))
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that are linked by their full sets."""
+
+def _members(texts: DataFrame, n: int) -> DataFrame:
+    """node, sig, shingles (the sorted hashes) of texts (node, text, sig)."""
 
     def run(batches):
         enter("near_dedup")
-        last, kept = None, None
         for b in batches:
-            u, v, mine, other = (b.column(c).to_pylist() for c in ("u", "v", "mine", "other"))
-            keep = np.zeros(len(u), bool)
-            for i in range(len(u)):
-                if v[i] != last:
-                    last, kept = v[i], shingle_sets([(other[i] or "").encode()], n)[0]
-                keep[i] = linked(shingle_sets([(mine[i] or "").encode()], n)[0], kept, percent)
-            yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(keep)), b.column("v").filter(pa.array(keep))], ["u", "v"])
+            values = byte_values(b.column("text"))
+            for i, j in pieces(values):
+                sets = [s.tobytes() for s in shingle_sets(values[i:j], n)]
+                yield pa.RecordBatch.from_arrays([b.column("node")[i:j], b.column("sig")[i:j], pa.array(sets, pa.binary())], ["node", "sig", "shingles"])
+
+    return texts.mapInArrow(run, "node long, sig binary, shingles binary")
+
+
+def links_between(a: list, b: list, limit: int, percent: int) -> list[tuple[int, int]]:
+    """Links between members of a and of b, (node, component, signature, set) each, that join components.
+
+    All pairs of different components whose signatures differ in up to limit symbols are held against
+    each other by their full sets; of links that join the same components one is given.
+    """
+    if not a:
+        return []
+    nodes_a, nodes_b = [x[0] for x in a], [x[0] for x in b]
+    of_a, of_b = np.array([x[1] for x in a]), np.array([x[1] for x in b])
+    sig_a, sig_b = (np.frombuffer(b"".join(x[2] for x in side), np.uint16).reshape(-1, SYMBOLS) for side in (a, b))
+    sets_a, sets_b = [np.frombuffer(x[3], np.uint64) for x in a], [np.frombuffer(x[3], np.uint64) for x in b]
+    size_a, size_b = np.array([len(x) for x in sets_a]), np.array([len(x) for x in sets_b])
+    out: list[tuple[int, int]] = []
+    flat = None
+    for i in range(len(a)):
+        able = np.flatnonzero((of_b != of_a[i]) & (100 * np.minimum(size_b, size_a[i]) >= percent * np.maximum(size_b, size_a[i])))
+        if len(able):
+            able = able[np.count_nonzero(sig_b[able] != sig_a[i], axis=1) <= limit]
+        if not len(able):
+            continue
+        if len(a) * len(b) > 16:
+            if flat is None:  # the sets of b by dense numbers, so that a set is a mask over them
+                terms, flat = np.unique(np.concatenate(sets_b), return_inverse=True)
+                starts = np.cumsum(size_b) - size_b
+                mask = np.zeros(len(terms) + 1, bool)
+            at = np.searchsorted(terms, sets_a[i])
+            at = at[terms[np.minimum(at, len(terms) - 1)] == sets_a[i]]
+            mask[at] = True
+            if len(able) > 8:
+                inter = np.add.reduceat(mask[flat], starts, dtype=np.int64)[able]
+            else:
+                inter = np.array([np.count_nonzero(mask[flat[starts[j] : starts[j] + size_b[j]]]) for j in able.tolist()])
+            mask[at] = False
+            able = able[100 * inter >= percent * (size_b[able] + size_a[i] - inter)]
+        else:
+            able = able[[linked(sets_a[i], sets_b[j], percent) for j in able.tolist()]]
+        for j in able.tolist():
+            if (old := of_b[j]) != (new := of_a[i]):
+                out.append((nodes_a[i], nodes_b[j]))
+                of_b[of_b == old] = new
+                of_a[of_a == old] = new
+    return out
 
-    own = texts.select(F.col("node").alias("u"), F.col("text").alias("mine"))
-    led = texts.select(F.col("node").alias("v"), F.col("text").alias("other"))
-    return pairs.join(own, "u").join(led, "v").select("u", "v", "mine", "other").mapInArrow(run, "u long, v long")
 
+def _compared(tasks: DataFrame, members: DataFrame, limit: int, percent: int) -> DataFrame:
+    """u, v: links between the sides 0 and 1 of each task, or within side 0 where it has no other. tasks: task, side, node, comp."""
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 85, small_bytes: int = 32 << 20) -> DataFrame:
-    """doc_id, row (see common.row_key), n_shingles, component_id of each document row.
+    def run(batches):
+        enter("near_dedup")
+        last, sides = None, ([], [])
 
-    percent: the least likeness of a link, 80 or more. small_bytes: a list of classes up to
-    this size, measured before, is broadcast to fetch their texts; a longer one is joined.
+        for b in batches:
+            u, v = [], []
+            task, side, node, comp, sig, sets = (b.column(c).to_pylist() for c in ("task", "side", "node", "comp", "sig", "shingles"))
+            for k, t in enumerate(task):
+                if t != last:
+                    for x, y in links_between(sides[0], sides[1] or sides[0], limit, percent):
+                        u.append(x)
+                        v.append(y)
+                    last, sides = t, ([], [])
+                sides[side[k]].append((node[k], comp[k], sig[k], sets[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        rest = links_between(sides[0], sides[1] or sides[0], limit, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rest], pa.int64()), pa.array([y for _, y in rest], pa.int64())], ["u", "v"])
+
+    rows = tasks.join(members, "node").select("task", "side", "node", "comp", "sig", "shingles")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 85, small_bytes: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, row (see common.row_key), n_shingles, component_id, comp of each document row.
+
+    percent: the least likeness of a link, 80 or more. small_bytes: a list of classes up to this size,
+    measured before, is broadcast to fetch their texts; a longer one is joined. block: classes in a block
+    at least. comp: a number for each component, null where there is none (see the module).
     """
     if percent < 80:
         raise ValueError("the index is laid out for links of 80 per cent and more")
     src = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     with scratch(docs.sparkSession) as keep:
-        return keep(durable(_found(src, n, percent, small_bytes, 16 if percent >= 85 else 20), "near-duplicates"))
+        return keep(durable(_found(src, n, percent, small_bytes, block, 16 if percent >= 85 else 20), "near-duplicates"))
 
 
-def _found(src: DataFrame, n: int, percent: int, small_bytes: int, chunks: int) -> DataFrame:
+def _found(src: DataFrame, n: int, percent: int, small_bytes: int, block: int, chunks: int) -> DataFrame:
     sets = durable(_sets(src, n), "sets")
     some = sets.where("d1 is not null and id is not null")
-    merged = some.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("sig").alias("sig"))
-    classes = durable(merged.withColumn("node", F.monotonically_increasing_id()), "classes")
+    merged = some.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.min(F.struct("row", "id")).alias("at"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    # xxhash64 maps the 64-bit numbers one to one, so that the least node of a key is one at random
+    classes = durable(merged.withColumn("node", F.xxhash64(F.monotonically_increasing_id())), "classes")
 
-    keys = _keys(classes, chunks)
-    shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
-    met = durable(keys.join(shared, "key", "left_semi"), "met")
-    nodes = durable(met.select("node").distinct().join(classes, "node").select("node", "row", "sig"), "met-classes")
-    many = nodes.count()
-    comps = None
-    if many:
-        wanted = nodes.select("row", "node")
-        wanted = F.broadcast(wanted) if 32 * many <= small_bytes else wanted
-        texts = durable(src.select("row", "text").join(wanted, "row").groupBy("node").agg(F.first("text").alias("text")), "texts")
-        comps = _joined(met, nodes, texts, many, n, percent, 2 * chunks - 1)
-    if comps is not None:
-        ids = classes.select("d1", "d2", "node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        ids = classes.select("d1", "d2", "least", F.col("node").alias("comp"))
-    ids = durable(ids.select("d1", "d2", "least", "comp"), "class-components")
+    with scratch(src.sparkSession) as keep:
+        comps = _components(src, classes, n, percent, small_bytes, block, chunks)
+        ids = classes.select("d1", "d2", "least", "node")
+        if comps is None:
+            ids = ids.withColumnRenamed("node", "comp")
+        else:
+            ids = ids.join(comps, "node", "left").select("d1", "d2", "least", F.coalesce("comp", "node").alias("comp"))
+        ids = keep(durable(ids, "class-components"))
     heads = ids.groupBy("comp").agg(F.min("least").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "head")
-    ids = ids.join(heads, "comp", "left").select("d1", "d2", F.coalesce("head", "least").alias("component_id"))
-    linked_rows = sets.where("d1 is not null and id is not null").join(ids, ["d1", "d2"]).select("id", "row", "n_shingles", "component_id")
-    rest = sets.where("d1 is null or id is null").select("id", "row", "n_shingles", F.col("id").alias("component_id"))
-    return linked_rows.unionByName(rest).withColumnRenamed("id", "doc_id")
-
+    ids = ids.join(heads, "comp", "left").select("d1", "d2", "comp", F.coalesce("head", "least").alias("component_id"))
+    linked_rows = some.join(ids, ["d1", "d2"]).select("id", "row", "size", "component_id", "comp")
+    rest = sets.where("d1 is null or id is null").select("id", "row", "size", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
+    return linked_rows.unionByName(rest).withColumnsRenamed({"id": "doc_id", "size": "n_shingles"})
 
-def _joined(met: DataFrame, nodes: DataFrame, texts: DataFrame, many: int, n: int, percent: int, limit: int) -> DataFrame | None:
-    """node, comp of the classes that are linked with another."""
-    sigs = nodes.select("node", "sig")
-    of_u = sigs.select(F.col("node").alias("u"), F.col("sig").alias("su"))
-    of_v = sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv"))
-    links, tried, comps = None, None, None
 
-    def held():
-        """met with each class's component, of the keys whose classes are in several."""
-        if comps is None:
-            return met.withColumn("comp", F.col("node"))
-        each = met.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        several = each.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-        return durable(each.join(several, "key", "left_semi"), "held")
-
-    def confirm(pairs, label):
-        nonlocal links, tried, comps
-        close = pairs.join(of_u, "u").join(of_v, "v").where(distance("su", "sv") <= limit)
-        pairs = durable(close.select("u", "v"), f"{label}-pairs")
-        found = durable(_confirm(pairs, texts, n, percent), f"{label}-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            return False
-        comps = durable(components(links), "components")
-        return True
-
-    for k in range(ROUNDS):
-        open_ = held()
-        if k:
-            per = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
-            work = per.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-            if work <= ENOUGH * many:
-                break
-        if links is None:
-            rank = F.struct(F.xxhash64("node").alias("h"), "node")
-            ranked = open_.withColumn("rank", rank)
-        else:
-            ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-            ranked = open_.join(ends, "node", "left").withColumn("rank", F.struct((-F.coalesce("deg", F.lit(0))).alias("d"), F.xxhash64("node", F.lit(k)).alias("h"), "node"))
-        leaders = ranked.groupBy("key").agg(F.min("rank").alias("leader")).select("key", F.col("leader.node").alias("v"))
-        if comps is None:
-            pairs = open_.join(leaders, "key").select(F.col("node").alias("u"), "v").where("u <> v")
-        else:
-            of_leader = comps.select(F.col("node").alias("v"), F.col("comp").alias("vc"))
-            leaders = leaders.join(of_leader, "v", "left").select("key", "v", F.coalesce("vc", "v").alias("vc"))
-            pairs = open_.join(leaders, "key").where("comp <> vc").select(F.col("node").alias("u"), "v")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti").join(tried.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
-        if not confirm(pairs, "leader"):
-            break
-
-    # what is left: of each key, the classes outside its largest component against all of other components
-    open_ = held().join(sigs, "node")
-    size = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = size.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n")).select("key", F.col("top.comp").alias("top"), (F.col("n") / SPLIT).cast("int").alias("parts"))
-    open_ = durable(open_.join(largest, "key"), "open")
-    part = F.pmod(F.xxhash64("node"), F.col("parts") + 1).cast("int")
-    right = open_.select("key", part.alias("part"), F.col("node").alias("v"), F.col("comp").alias("vc"), F.col("sig").alias("sv"))
-    left = open_.where("comp <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), F.col("node").alias("u"), F.col("comp").alias("uc"), F.col("sig").alias("su"), "top")
-    within = left.join(right, ["key", "part"]).where((F.col("uc") != F.col("vc")) & ((F.col("vc") == F.col("top")) | (F.col("u") < F.col("v"))) & (distance("su", "sv") <= limit) & at_first_key("key", "su", "sv", (limit + 1) // 2))
-    pairs = within.select("u", "v").distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["u", "v"], "left_anti").join(tried.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
-    confirm(pairs, "rest")
-    return comps
-
-
-#: A key with more classes is dealt over parts of about this many.
-SPLIT = 2000
-
-
-def kept_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the component's id, and of repeated such rows one."""
-    keep = found.where("doc_id = component_id or component_id is null").select(F.col("row").alias("__row")).distinct()
-    rows = docs.withColumn("__row", row_key(id_col, text_col)).join(keep, "__row", "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy("__row"))
-    alone = F.col(id_col).isNull() | F.coalesce(F.trim(F.col(text_col)) == "", F.lit(True))
-    return rows.withColumn("__n", first).where((F.col("__n") == 1) | alone).drop("__row", "__n")
+def _components(src: DataFrame, classes: DataFrame, n: int, percent: int, small_bytes: int, block: int, chunks: int) -> DataFrame | None:
+    """node, comp of the classes that are linked with another; None if no key is shared."""
+    limit = 2 * chunks - 1
+    keys = _keys(classes, chunks)
+    shared = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("b")).where("v <> b").select("key", "v")
+    met = durable(keys.join(shared, "key").select("key", "node", "v"), "met")
+    nodes = durable(met.select("node").distinct().join(classes, "node").select("node", "at", "size", "sig"), "met-classes")
+    many = nodes.count()
+    if not many:
+        return None
+    wanted = nodes.select("node", "sig", F.col("at.row").alias("row"), F.col("at.id").alias("id"))
+    wanted = F.broadcast(wanted) if 256 * many <= small_bytes else wanted
+    texts = src.join(wanted, ["row", "id"]).groupBy("node").agg(F.first("text").alias("text"), F.first("sig").alias("sig"))
+    members = durable(_members(texts, n), "members")
+
+    # each class against the leader of each of its keys
+    pairs = durable(met.where("node <> v").select("node", "v").distinct(), "leader-pairs")
+    parts = durable(pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).alias("parts")), "leader-parts")  # apart, so that the join may split a leader's pairs
+    led = pairs.join(parts, "v").select(F.xxhash64("v", F.pmod(F.xxhash64("node"), "parts")).alias("task"), F.lit(1).alias("side"), "node")
+    lead = parts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "v").select(F.xxhash64("v", "part").alias("task"), F.lit(0).alias("side"), F.col("v").alias("node"))
+    links = durable(_compared(led.unionByName(lead).withColumn("comp", F.col("node")), members, limit, percent), "leader-links")
+    comps = components(links)
+
+    # what is left: keys that hold several components
+    each = met.select("key", "node", "v").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = each.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    open_ = durable(each.join(several, "key", "left_semi").select("node", "comp", "v").distinct(), "open")
+    groups = components(open_.select(F.col("node").alias("u"), "v")).withColumnRenamed("comp", "grp")
+    of = durable(open_.select("node", "comp").distinct().join(groups, "node").join(nodes.select("node", "size"), "node"), "groups")
+    size = of.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    size = size.groupBy("grp").agg(F.max(F.struct("c", "s", "comp")).alias("top"), F.sum("c").alias("n"), F.sum("s").alias("s"))
+    blocks = lambda count, total: F.ceil(F.greatest(8 * total / BLOCK_BYTES, F.least(count / F.lit(block), F.sqrt(count)))).cast("int")
+    size = size.select("grp", F.col("top.comp").alias("top"), blocks(F.col("n") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("few"), blocks(F.col("top.c"), F.col("top.s")).alias("more"))
+    dealt = of.join(size, "grp").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("comp") == F.col("top"), F.col("more")).otherwise(F.col("few"))))
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)
+    place = lambda i, j, kind, side: F.struct(F.xxhash64("grp", i, j, F.lit(kind)).alias("task"), side.alias("side"))
+    each_other = F.transform(up_to("few"), lambda j: place(F.least("i", j), F.greatest("i", j), 0, (F.col("i") > j).cast("int")))
+    with_top = F.transform(up_to("more"), lambda j: place(F.col("i"), j, 1, F.lit(0)))
+    of_top = F.transform(up_to("few"), lambda j: place(j, F.col("i"), 1, F.lit(1)))
+    places = F.when(F.col("comp") == F.col("top"), of_top).otherwise(F.concat(each_other, with_top))
+    tasks = dealt.select(F.explode(places).alias("at"), "node", "comp").select("at.task", "at.side", "node", "comp")
+    more = durable(_compared(tasks, members, limit, percent), "more-links")
+    return components(links.unionByName(more))
+
+
+def kept_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_bytes: int = SMALL) -> DataFrame:
+    """docs with one row of each component: one with the component's id. found: of near_duplicates.
+
+    Rows without a component stay. What goes is few against what stays, so it is listed, and the list
+    broadcast up to small_bytes; rows that repeat a kept one (id and text) are reduced apart, if there are any.
+    """
+    row, same = unused(docs, "row", "id")
+    listed = found.where("comp is not null")
+    heads = listed.where("doc_id = component_id").groupBy("comp").agg(F.min("row").alias("head"))
+    gone = durable(listed.join(heads, "comp").where("doc_id <> component_id or row <> head").select(F.col("row").alias(row), F.col("doc_id").alias(same)).distinct(), "gone")
+    repeated = durable(listed.where("doc_id = component_id").groupBy("row", "doc_id", "comp").count().where("count > 1").select(F.col("row").alias(row), F.col("doc_id").alias(same)), "repeated")
+    few = lambda df: F.broadcast(df) if 64 * df.count() <= small_bytes else df
+    columns = docs.columns
+    rows = docs.withColumn(row, row_key(id_col, text_col)).withColumn(same, F.col(id_col)).join(few(gone), [row, same], "left_anti")
+    if not repeated.isEmpty():
+        again = few(repeated)
+        rows = rows.join(again, [row, same], "left_anti").unionByName(rows.join(again, [row, same], "left_semi").dropDuplicates([row, same]))
+    return rows.select(*[F.col(f"`{c}`") for c in columns])
