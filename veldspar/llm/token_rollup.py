@@ -2,20 +2,28 @@
 
 A delta row says by how much a document changes a total: an insert adds its count, a delete takes it
 away, a revision does both. A batch of deltas is summed per key (partial sums before the shuffle, so a
-source with a third of all rows is one row for each task) and committed under its batch id: written to
-a staging folder and renamed into place. A batch id that is already there is not written again, so a
-batch replayed after a failure changes nothing; a staging folder without its rename is never read.
-Totals are the sum over committed batches; ``compact`` folds them into one without losing their ids.
-
-Defined results: null sources and languages are keys of their own; null texts count as documents of no
-tokens; repeated rows count each; keys whose documents and tokens are all gone are left out.
+source with a third of all rows is one row for each task) and committed under its batch id.
+
+What is committed is what the newest manifest lists: a small numbered file that names the fold (summed
+totals and a table of the batch ids in them) and the batches committed since. A commit writes its sums,
+then publishes the next manifest by a rename that fails if that number exists; ``compact`` does the same
+with a new fold. So a crash between any two steps leaves the manifest before or the one after, a batch id
+that is listed is not committed again (a batch replayed after a failure changes nothing), and of two
+writers one finds the number taken, reads the newer manifest and tries again. What no manifest lists is
+never read; ``compact`` removes what is older than its manifest.
+
+Defined results: null sources and languages are keys of their own; null and empty texts count as documents
+of no tokens, texts of any length are counted whole; repeated rows count each; keys whose documents and
+tokens are all gone are left out; no batches or empty ones give an empty table; columns of docs besides the
+four that are read are free.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = ("source", "lang", "tokenizer_version")
@@ -46,64 +54,117 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.jvm = spark.sparkContext._jvm
-        self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._at("").getFileSystem(self.conf)
 
     def _at(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def batches(self) -> list[str]:
-        """Ids that are committed, whether still apart or folded."""
-        if not self.fs.exists(self._at("batches")):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(self._at("batches"))]
-        return sorted(b for n in names for b in n.split("+"))
-
-    def _publish(self, df: DataFrame, name: str) -> bool:
-        staged = f"staging/{uuid.uuid4().hex}"
-        df.coalesce(1).write.parquet(f"{self.path}/{staged}")  # a row for each key
-        self.fs.mkdirs(self._at("batches"))
-        target = self._at(f"batches/{name}")
-        if self.fs.exists(target) or not self.fs.rename(self._at(staged), target):
-            self.fs.delete(self._at(staged), True)
+    def _listed(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self._at(folder))] if self.fs.exists(self._at(folder)) else []
+
+    def _newest(self) -> tuple[int, dict]:
+        """Number and content of the newest manifest; 0 and an empty one if there is none."""
+        number = max((int(n) for n in self._listed("manifests") if n.isdigit()), default=0)
+        if not number:
+            return 0, {"fold": None, "since": {}}
+        stream = self.fs.open(self._at(f"manifests/{number:010d}"))
+        try:
+            return number, json.loads(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def _publish(self, number: int, manifest: dict) -> bool:
+        """Make manifest the one of this number; False if there is one."""
+        staged = self._at(f"staging/{uuid.uuid4().hex}")
+        out = self.fs.create(staged, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        self.fs.mkdirs(self._at("manifests"))
+        files = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri(), self.conf)
+        options = self.spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(self.fs.makeQualified(staged), self.fs.makeQualified(self._at(f"manifests/{number:010d}")), options)
+        except Exception as e:
+            if not self.fs.exists(self._at(f"manifests/{number:010d}")):
+                raise
+            if "exist" not in str(e).lower():
+                raise
+            self.fs.delete(staged, False)
             return False
         return True
 
+    def _folded(self, manifest: dict) -> DataFrame:
+        """Ids of the batches in the fold: batch."""
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/{manifest['fold']}/ids")
+
+    def _has(self, manifest: dict, batch: str) -> bool:
+        return batch in manifest["since"] or manifest["fold"] is not None and not self._folded(manifest).where(F.col("batch") == batch).isEmpty()
+
+    def batches(self) -> DataFrame:
+        """batch: the ids that are committed."""
+        _, manifest = self._newest()
+        apart = self.spark.createDataFrame([(b,) for b in sorted(manifest["since"])], "batch string")
+        return apart if manifest["fold"] is None else apart.unionByName(self._folded(manifest))
+
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Commit a batch; False if its id was committed before, and nothing changes."""
-        if not batch.replace("-", "").replace("_", "").isalnum():
-            raise ValueError(f"batch ids are letters, digits, - and _: {batch!r}")
-        if batch in self.batches():
+        number, manifest = self._newest()
+        if self._has(manifest, batch):
             return False
-        return self._publish(_summed(rows), batch)
+        folder = f"data/{uuid.uuid4().hex}"
+        _summed(rows).coalesce(1).write.parquet(f"{self.path}/{folder}")  # a row for each key
+        while not self._publish(number + 1, {**manifest, "since": {**manifest["since"], batch: folder}}):
+            number, manifest = self._newest()
+            if self._has(manifest, batch):
+                self.fs.delete(self._at(folder), True)
+                return False
+        return True
 
-    def _read(self) -> DataFrame:
-        if not self.batches():
+    def _read(self, manifest: dict) -> DataFrame:
+        folders = [*manifest["since"].values(), *([f"{manifest['fold']}/totals"] if manifest["fold"] else [])]
+        if not folders:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/batches/{s.getPath().getName()}" for s in self.fs.listStatus(self._at("batches"))])
+        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def totals(self) -> DataFrame:
-        return _summed(self._read()).where("n_docs <> 0 or n_tokens <> 0")
+        return _summed(self._read(self._newest()[1])).where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all batches into one. One writer at a time; a crash leaves the batches or their fold, by the rename."""
-        names = [s.getPath().getName() for s in self.fs.listStatus(self._at("batches"))] if self.batches() else []
-        if len(names) < 2:
-            return
-        staged, old = f"staging/{uuid.uuid4().hex}", f"staging/{uuid.uuid4().hex}"
-        _summed(self._read()).coalesce(1).write.parquet(f"{self.path}/{staged}/{'+'.join(sorted(b for n in names for b in n.split('+')))}")
-        self.fs.rename(self._at("batches"), self._at(old))
-        self.fs.rename(self._at(staged), self._at("batches"))
-        self.fs.delete(self._at(old), True)
+        """Fold all batches into one, and remove manifests and sums that are no longer listed."""
+        while True:
+            number, manifest = self._newest()
+            if not manifest["since"]:
+                return
+            fold = f"data/{uuid.uuid4().hex}"
+            _summed(self._read(manifest)).coalesce(1).write.parquet(f"{self.path}/{fold}/totals")
+            ids = self.spark.createDataFrame([(b,) for b in sorted(manifest["since"])], "batch string").coalesce(1)
+            (ids if manifest["fold"] is None else ids.unionByName(self._folded(manifest))).write.parquet(f"{self.path}/{fold}/ids")
+            if self._publish(number + 1, {"fold": fold, "since": {}}):
+                break
+            self.fs.delete(self._at(fold), True)
+        for n in self._listed("manifests"):
+            if n.isdigit() and int(n) <= number:
+                self.fs.delete(self._at(f"manifests/{n}"), False)
+        for f in [*manifest["since"].values(), *([manifest["fold"]] if manifest["fold"] else [])]:
+            self.fs.delete(self._at(f), True)
 
 
 def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text occurs with a smaller id too. Only ids and digests are shuffled to find them."""
-    digest = F.sha2(text_col, 256)
-    first = docs.where(F.col(text_col).isNotNull()).groupBy(digest.alias("__digest")).agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    rows = docs.withColumn("__digest", digest).join(first, "__digest")
-    return rows.where(F.col(id_col) > F.col("__first")).select(*docs.columns)
+def copy_deltas(docs: DataFrame, version: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Deletes of the documents whose text occurs with a smaller id too; those with a null id or text stay.
+
+    Digests, keys, ids and counts are shuffled, no texts. Copies of one text are dealt by their ids first and
+    then summed by source and language, so that a text that a third of all documents share is no one task's.
+    """
+    digest = F.unhex(F.sha2(F.col(text_col), 256)).alias("digest")
+    key = [F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")]
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(digest, *key, F.col(id_col).alias("id"), n_tokens(version, text_col).alias("t"))
+    each = rows.groupBy("digest", "source", "lang", "id").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t"))
+    own = each.groupBy("digest", "source", "lang").agg(F.sum("n").alias("n"), F.min(F.struct("id", "n")).alias("first"), F.max("t").alias("t"))
+    least = F.min("first.id").over(Window.partitionBy("digest"))  # a row for each source and language
+    gone = own.withColumn("least", least).withColumn("gone", F.col("n") - F.when(F.col("first.id") == F.col("least"), F.col("first.n")).otherwise(0)).where("gone > 0")
+    return gone.select("source", "lang", F.lit(version).alias("tokenizer_version"), (-F.col("gone")).alias("n_docs"), (-F.col("gone") * F.col("t")).alias("n_tokens"))
