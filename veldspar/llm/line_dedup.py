@@ -1,26 +1,29 @@
 """Line dedup within one edit, by a deletion-neighbourhood join.
 
-A text is cut at line feeds; a line is compared without white space around it, if it then has
-``min_chars`` code points or more. A line goes when an earlier line, in the order of (id, line
-number), equals it or is one insertion, deletion or substitution of a code point away, whether that
-line itself stays or goes. The first of such lines stays; shorter lines always stay.
-
-Two lines are within one edit just if they share a variant: the line itself, or the line with one code
-point deleted. Variants are keyed by hash. To know from the key alone that two lines are within one
-edit, a deletion's key holds its place: equal keys of that kind are a substitution at that place. An
-insertion shows as the longer line's deletion without its place against the shorter line itself. So a
-key needs no pairs: the earliest line of each key is an aggregate with partial sums, and a line that
-thousands share is one row for each task.
+A text is cut at line feeds; a line is compared without white space around it. A line goes when an earlier
+line, in the order of (id, line number), equals it or is near it, whether that line itself stays or goes.
+Near are two lines of ``min_chars`` code points or more that are one insertion, deletion or substitution of a
+code point apart, and two lines of ``min_words`` words or more that are one such edit of a whole word apart
+(words are what stands between white space, so these lines may differ by many code points). The first of such
+lines stays. Lines of fewer than ``exact_chars`` code points always stay; those between are compared for equality.
+
+Below, symbols are a line's code points, or its words by hash. Two lines are within one edit just if they
+share a variant: the line itself, or the line with one symbol deleted. Variants are keyed by hash. To know
+from the key alone that two lines are within one edit, a deletion's key holds its place: equal keys of that
+kind are a substitution at that place. An insertion shows as the longer line's deletion without its place
+against the shorter line itself. So a key needs no pairs: the earliest line of each key is an aggregate with
+partial sums, and a line that thousands share is one row for each task.
 
 To emit variants only where they can meet, each distinct line first emits the hashes of its halves: of
 two lines within one edit, the first or the second halves are equal. Lines that share a half with a
 different line emit the hashes of the line without each of SEGMENTS segments, which two lines within one
 edit share for the segment of the edit. Only deletions in a shared segment are emitted as variants. Each
-line that may go is then verified against the text of its earlier partner with the edit distance itself.
+line that may go is then verified against the text of its earlier partner symbol by symbol.
 
-Defined results: null text stays null; an empty text stays empty; null ids come first in the order;
-repeated rows are later lines of the same id and lose their lines to the first; all input columns are
-kept, ``text`` is replaced and, where the table has it, ``n_chars`` counts what is left.
+Defined results: null text stays null; an empty text stays empty; lines and texts of any length are taken
+whole; null ids come first in the order; repeated rows (equal id and text) are later lines of the same id and
+lose their lines to the first; an empty table gives an empty one; all input columns are kept under their
+names, whatever these are, ``text`` is replaced and, where the table has it, ``n_chars`` counts what is left.
 """
 
 from __future__ import annotations
@@ -28,16 +31,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, enter, mix64, row_key, scratch
+from .common import durable, enter, mix64, row_key, scratch, unused
 
-MIN_CHARS, SEGMENTS = 20, 8
-#: Edits of the pipeline's stage: one for each 50 code points of the shorter line, 2 to 4.
-EDITS = (2, 4, 50)
-#: Most bits of the filter of segment keys that is broadcast.
-FILTER_BITS = 1 << 28
+MIN_CHARS, MIN_WORDS, SEGMENTS = 20, 12, 8
+#: The two kinds of symbols.
+POINTS, WORDS = 0, 1
+#: Repeated rows are numbered over so many partitions for each.
+SALTS = 64
 
 
 def trimmed(line: str) -> str:
@@ -48,20 +51,40 @@ def digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def halves(line: str) -> set[int]:
-    """Hashes of which two different lines within one edit share one. Each counts as the shorter and as the longer of a pair."""
-    n = len(line)
-    a, b = n // 2, (n - 1) // 2
-    return {digest("<" + line[:a]), digest("<" + line[:b]), digest(">" + line[a:]), digest(">" + line[b + 1 :])}
+def words(line: str) -> list[bytes]:
+    return line.encode("utf-8", "surrogatepass").split()
+
+
+def symbols(line: str, unit: int) -> np.ndarray:
+    if unit == WORDS:
+        return np.array([xxhash.xxh3_64_intdigest(w) for w in words(line)], np.uint64)
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def units(line: str, min_chars: int, min_words: int) -> list[int]:
+    """The kinds of symbols by which a line is compared for nearness."""
+    return [POINTS] * (len(line) >= min_chars) + [WORDS] * (len(line) >= 2 * min_words - 1 and len(words(line)) >= min_words)
+
+
+def halves(line: str, min_chars: int, min_words: int) -> set[int]:
+    """Hashes of which two different lines within one edit share one. Each line counts as the shorter and as the longer of a pair."""
+    out = set()
+    if (n := len(line)) >= min_chars:
+        a, b = n // 2, (n - 1) // 2
+        out |= {digest("<" + line[:a]), digest("<" + line[:b]), digest(">" + line[a:]), digest(">" + line[b + 1 :])}
+    if n >= 2 * min_words - 1 and (n := len(w := words(line))) >= min_words:
+        a, b = n // 2, (n - 1) // 2
+        out |= {xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in (b"[ " + b" ".join(w[:a]), b"[ " + b" ".join(w[:b]), b"] " + b" ".join(w[a:]), b"] " + b" ".join(w[b + 1 :]))}
+    return out
 
 
 _BASE = np.uint64(0xA0761D6478BD642F)
 _INVERSE = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
-_POWERS = np.cumprod(np.full(1 << 14, _BASE, np.uint64))
+_POWERS, _BACK = (np.cumprod(np.full(1 << 14, x, np.uint64)) for x in (_BASE, _INVERSE))
 
 
 def segments(n: int):
-    """(role, segment, begin, end) of a line of n code points as the shorter or equal (0) and as the longer (1) of a pair.
+    """(role, segment, begin, end) of a line of n symbols as the shorter or equal (0) and as the longer (1) of a pair.
 
     As the longer its layout is that of the shorter, the segment itself one longer.
     """
@@ -71,22 +94,26 @@ def segments(n: int):
             yield role, q, base * q // SEGMENTS, base * (q + 1) // SEGMENTS + role
 
 
-def masks(line: str) -> list[int]:
-    """For each of ``segments`` the hash of the line without it."""
-    n = len(line)
-    return [digest(f"{n - role}:{q}:{line[:a]}\0{line[b:]}") for role, q, a, b in segments(n)]
+def _sums(points: np.ndarray) -> np.ndarray:
+    """The hash of a sequence is the sum of a number for each symbol times a power for its place, so that of a part
+    follows from sums to the left and right of it."""
+    n = len(points)
+    power = _POWERS[:n] if n <= len(_POWERS) else np.cumprod(np.full(n, _BASE, np.uint64))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(points + np.uint64(1)) * power)])
 
 
-def variants(line: str, shared: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the line's deletions with their places, of the deletions, and of the line itself, as far as shared asks.
+def masks(points: np.ndarray) -> np.ndarray:
+    """For each of ``segments`` the hash of the sequence without it."""
+    n, left = len(points), _sums(points)
+    role, q, a, b = (np.array(x) for x in zip(*segments(n), strict=True))
+    back = _BACK if n <= len(_BACK) else np.cumprod(np.full(n, _INVERSE, np.uint64))
+    rest = left[a] + (left[n] - left[b]) * np.where(b > a, back[np.maximum(b - a, 1) - 1], np.uint64(1))
+    return mix64(mix64(rest) + mix64(((n - role) * SEGMENTS + q).astype(np.uint64)))
 
-    shared: indices into ``segments``. The hash of a string is the sum of a number for each code point times
-    a power for its place, so that of a deletion follows from sums to the left and right of it.
-    """
-    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n, ways = len(points), list(segments(len(points)))
-    power = _POWERS[:n] if n <= len(_POWERS) else np.cumprod(np.full(n, _BASE, np.uint64))
-    left = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(points + np.uint64(1)) * power)])
+
+def variants(points: np.ndarray, shared: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the deletions with their places, of the deletions, and of the sequence itself, as far as shared (indices into ``segments``) asks."""
+    n, ways, left = len(points), list(segments(len(points))), _sums(points)
     whole = left[-1:]
 
     def gone(role: int):
@@ -98,11 +125,21 @@ def variants(line: str, shared: list[int]) -> tuple[np.ndarray, np.ndarray, np.n
     placed = mix64(same + mix64(at.astype(np.uint64) + (np.uint64(n) << np.uint64(32))))
     plain = np.unique(mix64(gone(1)[1] + np.uint64(n - 1)))
     own = mix64(whole + np.uint64(n))[: int(any(ways[k][0] == 0 for k in shared))]
-    return placed.view(np.int64), plain.view(np.int64), own.view(np.int64)
+    return placed, plain, own
+
+
+def within_one(a, b) -> bool:
+    """Whether two sequences are one insertion, deletion or substitution apart, or equal."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
-def _occurrences(src: DataFrame, min_chars: int, exact_chars: int, edits) -> DataFrame:
-    """row, id, line number, 128-bit digest and, from min_chars on, half hashes or (with edits) segment keys of each line that is compared."""
+def _occurrences(src: DataFrame, min_chars: int, min_words: int, exact_chars: int) -> DataFrame:
+    """row, id, line number, 128-bit digest and half hashes of each line that is compared."""
 
     def run(batches):
         enter("line_dedup")
@@ -117,9 +154,7 @@ def _occurrences(src: DataFrame, min_chars: int, exact_chars: int, edits) -> Dat
                         lines.append(n)
                         h1.append(int.from_bytes(d[:8], "big", signed=True))
                         h2.append(int.from_bytes(d[8:], "big", signed=True))
-                        half.append(() if len(line) < min_chars else halves(line) if edits is None else line)
-            if edits is not None:
-                half = _segment_keys(half, edits)
+                        half.append(halves(line, min_chars, min_words))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int64()), pa.array(ids, b.schema.field("id").type), pa.array(lines, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(half, pa.list_(pa.int64()))],
                 ["row", "id", "line", "h1", "h2", "half"])
@@ -127,8 +162,15 @@ def _occurrences(src: DataFrame, min_chars: int, exact_chars: int, edits) -> Dat
     return src.mapInArrow(run, f"row long, id {src.schema['id'].dataType.simpleString()}, line int, h1 long, h2 long, half array<long>")
 
 
+def _same_row(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """a joined with b, of which row and id are dropped, by row and id; null ids are equal."""
+    row, same = unused(a, "row_of_b", "id_of_b")
+    b = b.withColumnsRenamed({"row": row, "id": same})
+    return a.join(b, (a["row"] == b[row]) & a["id"].eqNullSafe(b[same]), how).drop(row, same)
+
+
 def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """row, id, line, text of the wanted (row, lines)."""
+    """row, id, line, text of the wanted (row, id, lines)."""
 
     def run(batches):
         enter("line_dedup")
@@ -140,243 +182,150 @@ def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], b.schema.field("id").type), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.string())], ["row", "id", "line", "text"])
 
-    return src.join(wanted, "row").select("row", "id", "text", "lines").mapInArrow(run, f"row long, id {src.schema['id'].dataType.simpleString()}, line int, text string")
+    return _same_row(src, wanted).select("row", "id", "text", "lines").mapInArrow(run, f"row long, id {src.schema['id'].dataType.simpleString()}, line int, text string")
 
 
-def _masks(lines: DataFrame) -> DataFrame:
-    """id, row, line, k (index into ``segments``), mask."""
+def _masks(lines: DataFrame, min_chars: int, min_words: int) -> DataFrame:
+    """place, k (unit, and index into ``segments``), mask."""
 
     def run(batches):
         enter("line_dedup")
         for b in batches:
-            all_ = [masks(t) for t in b.column("text").to_pylist()]
-            own = pa.array(np.repeat(np.arange(len(all_)), 2 * SEGMENTS))
-            cols = [b.column(c).take(own) for c in ("id", "row", "line")]
-            k = pa.array(np.tile(np.arange(2 * SEGMENTS, dtype=np.int32), len(all_)))
-            yield pa.RecordBatch.from_arrays([*cols, k, pa.array([x for m in all_ for x in m], pa.int64())], ["id", "row", "line", "k", "mask"])
+            own, ks, found = [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                for unit in units(text, min_chars, min_words):
+                    own.append(np.full(2 * SEGMENTS, i))
+                    ks.append(np.arange(2 * SEGMENTS, dtype=np.int32) + unit * 2 * SEGMENTS)
+                    found.append(mix64(masks(symbols(text, unit)) + np.uint64(unit)))
+            if own:
+                yield pa.RecordBatch.from_arrays([b.column("place").take(pa.array(np.concatenate(own))), pa.array(np.concatenate(ks)), pa.array(np.concatenate(found).view(np.int64))], ["place", "k", "mask"])
 
-    return lines.mapInArrow(run, f"id {lines.schema['id'].dataType.simpleString()}, row long, line int, k int, mask long")
+    return lines.select("place", "text").mapInArrow(run, f"place {lines.schema['place'].dataType.simpleString()}, k int, mask long")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """place, kind (0: deletion with its place, 1: deletion, 2: the line itself), key. lines have shared."""
+    """place, kind (of a unit 0: deletion with its place, 1: deletion, 2: the line itself), key. lines have shared."""
 
     def run(batches):
         enter("line_dedup")
         for b in batches:
-            for k, (text, shared) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                parts = variants(text, shared)
-                keys = np.concatenate(parts)
-                kind = np.repeat(np.array([0, 1, 2], np.int8), [len(p) for p in parts])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(keys), k))), pa.array(kind), pa.array(keys)], ["place", "kind", "key"])
+            for i, (text, shared) in enumerate(zip(b.column("text").to_pylist(), b.column("shared").to_pylist(), strict=True)):
+                for unit in (POINTS, WORDS):
+                    own = [k % (2 * SEGMENTS) for k in shared if k // (2 * SEGMENTS) == unit]
+                    if own:
+                        parts = variants(symbols(text, unit), own)
+                        keys = mix64(np.concatenate(parts) + np.uint64(unit))
+                        kind = np.repeat(np.array([0, 1, 2], np.int8), [len(p) for p in parts])
+                        yield pa.RecordBatch.from_arrays([b.column("place").take(pa.array(np.full(len(keys), i))), pa.array(kind), pa.array(keys.view(np.int64))], ["place", "kind", "key"])
 
-    place = lines.select(F.struct("id", "row", "line").alias("place"), "text", "shared")
-    return place.mapInArrow(run, f"place {place.schema['place'].dataType.simpleString()}, kind byte, key long")
+    return lines.select("place", "text", "shared").mapInArrow(run, f"place {lines.schema['place'].dataType.simpleString()}, kind byte, key long")
 
 
-def _near(src: DataFrame, firsts: DataFrame, small: int) -> DataFrame:
-    """Places (row, line) of first lines that have an earlier different line within one edit."""
-    each = firsts.select("h1", "row", "line", F.explode("half").alias("half"))
+def _verified(pairs: DataFrame, min_chars: int, min_words: int) -> DataFrame:
+    """place of the pairs (place, text, other) that are near."""
+
+    def near(a: str, b: str) -> bool:
+        for unit in set(units(a, min_chars, min_words)) & set(units(b, min_chars, min_words)):
+            if within_one(a, b) if unit == POINTS else within_one(words(a), words(b)):
+                return True
+        return False
+
+    def run(batches):
+        enter("line_dedup")
+        for b in batches:
+            keep = [near(x, y) for x, y in zip(b.column("text").to_pylist(), b.column("other").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("place").filter(pa.array(keep, pa.bool_()))], ["place"])
+
+    return pairs.select("place", "text", "other").mapInArrow(run, f"place {pairs.schema['place'].dataType.simpleString()}")
+
+
+def _near(src: DataFrame, firsts: DataFrame, min_chars: int, min_words: int, small: int) -> DataFrame:
+    """Places (row, id, line) of first lines that have an earlier different line within one edit."""
+    place = F.struct("id", "row", "line").alias("place")
+    each = firsts.select("h1", "row", "id", "line", F.explode("half").alias("half"))
     shared = each.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b")
-    meeting = each.join(shared, "half", "left_semi").select("row", "line")
-    wanted = durable(meeting.groupBy("row").agg(F.collect_set("line").alias("lines")), "lines-wanted")
+    meeting = each.join(shared, "half", "left_semi").select("row", "id", "line")
+    wanted = durable(meeting.groupBy("row", "id").agg(F.collect_set("line").alias("lines")), "lines-wanted")
     n = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
-    wanted = F.broadcast(wanted) if 32 * n[0] + 4 * n[1] <= small else wanted
-    lines = durable(_texts(src, wanted).dropDuplicates(["row", "line"]), "lines-text")
-    each = _masks(lines)
-    shared = each.groupBy("mask").agg(F.min(F.struct("row", "line")).alias("a"), F.max(F.struct("row", "line")).alias("b")).where("a <> b").select("mask")
-    shared = each.join(shared, "mask", "left_semi").groupBy("row", "line").agg(F.collect_set("k").alias("shared"))
-    lines = durable(lines.join(shared, ["row", "line"]), "lines-close")
+    wanted = F.broadcast(wanted) if 64 * n[0] + 4 * n[1] <= small else wanted
+    lines = durable(_texts(src, wanted).select(place, "text").dropDuplicates(["place"]), "lines-text")
+    each = _masks(lines, min_chars, min_words)
+    shared = each.groupBy("mask").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("mask")
+    shared = each.join(shared, "mask", "left_semi").groupBy("place").agg(F.collect_set("k").alias("shared"))
+    lines = durable(lines.join(shared, "place"), "lines-close")
     keys = durable(_variants(lines), "line-variants")
     least = lambda k: F.min(F.when(F.col("kind") == k, F.col("place"))).alias(f"m{k}")
     met = keys.groupBy("key").agg(least(0), least(1), least(2), F.count(F.lit(1)).alias("n")).where("n > 1")
     partner = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
     pairs = keys.join(met, "key").select("place", partner.alias("partner")).where("partner < place").distinct()
-    text = lines.select(F.struct("id", "row", "line").alias("place"), "text")
-    checked = pairs.join(text, "place").join(text.select(F.col("place").alias("partner"), F.col("text").alias("other")), "partner")
-    return checked.where(F.levenshtein("text", "other", 1).between(0, 1)).select("place.row", "place.line").distinct()
+    text = lines.select("place", "text")
+    both = pairs.join(text, "place").join(text.select(F.col("place").alias("partner"), F.col("text").alias("other")), "partner")
+    return _verified(both, min_chars, min_words).select("place.row", "place.id", "place.line").distinct()
 
 
-def bound(n: int, edits: tuple[int, int, int]) -> int:
-    """Edits allowed when the shorter line has n code points."""
-    return max(edits[0], min(edits[1], n // edits[2]))
+def _removed(src: DataFrame, min_chars: int, min_words: int, exact_chars: int, small: int) -> DataFrame:
+    """row, id, removed: the numbers of each document's lines that go."""
+    occurrences = durable(_occurrences(src.where("text is not null"), min_chars, min_words, exact_chars), "line-occurrences")
+    firsts = durable(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("half").alias("half")).select("h1", "h2", "first.*", "n", "half"), "line-firsts")
+    near = _near(src, firsts, min_chars, min_words, small)
+    again = occurrences.join(firsts.where("n > 1").select("h1", "h2", F.struct("id", "row", "line").alias("first")), ["h1", "h2"]).where(F.struct("id", "row", "line") != F.col("first")).select("row", "id", "line")
+    return again.unionByName(near).groupBy("row", "id").agg(F.collect_set("line").alias("removed"))
 
 
-def wide_keys(lines: list[str], min_chars: int, edits: tuple[int, int, int], probing: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and the line each is of: those of its segments, or (probing) those by which it may meet a shorter or equal one.
+def _later_copy(rows: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """rows (row, id) without and with the repeated ones, and of the latter whether one is not the first of its copies.
 
-    The shorter of two lines within e edits is cut into e + 1 segments, of which one stands unchanged in the other,
-    moved by no more than the edits to its left and right allow. Equal length and place is left to the segments.
+    Copies are numbered in SALTS parts and the firsts of the parts then, so that many copies are no one task's.
     """
-    n = np.array([len(x) for x in lines], np.int64)
-    first = np.concatenate([[0], np.cumsum(n)])
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = len(points) + 1
-    power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_BASE, _INVERSE))
-    left = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(points + np.uint64(1)) * power[:-1])])
-    keys, owners = [], []
-    for gap in range(edits[1] + 1 if probing else 1):
-        base = n - gap
-        most = np.maximum(edits[0], np.minimum(edits[1], base // edits[2]))
-        for e in range(max(edits[0], gap), edits[1] + 1):
-            own = np.flatnonzero((base >= max(min_chars, 1)) & (most == e))
-            b = base[own]
-            for i in range(e + 1):
-                begin, end = b * i // (e + 1), b * (i + 1) // (e + 1)
-                low, high = (max(-i, gap - (e - i)), min(i, gap + (e - i))) if probing else (0, 0)
-                for shift in range(low, high + 1):
-                    if probing and gap == shift == 0:
-                        continue
-                    fits = (begin + shift >= 0) & (end + shift <= n[own])
-                    at, to = (first[own] + begin + shift)[fits], (first[own] + end + shift)[fits]
-                    part = (left[to] - left[at]) * back[at]
-                    keys.append(mix64(mix64(part) + mix64(b[fits].astype(np.uint64) * np.uint64(64) + np.uint64(i + 1))))
-                    owners.append(own[fits])
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
-
-
-def _segment_keys(lines: list, edits: tuple[int, int, int]) -> list[list[int]]:
-    """The keys of each line's segments; none for what is no string."""
-    out: list[list[int]] = [[] for _ in lines]
-    fuzzy = [k for k, x in enumerate(lines) if isinstance(x, str)]
-    keys, owners = wide_keys([lines[k] for k in fuzzy], 0, edits, False)
-    for key, k in zip(keys.tolist(), owners.tolist(), strict=True):
-        out[fuzzy[k]].append(key)
-    return out
-
-
-def _filter(keys: DataFrame, n: int) -> np.ndarray | None:
-    """Words of a bit set of the keys, or None if it would be too large."""
-    bits = max(1 << 16, 1 << (16 * n - 1).bit_length())
-    if bits > FILTER_BITS:
-        return None
-    at = F.col("key").bitwiseAND(F.lit(bits - 1))
-    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(bits >> 6, np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _probes(src: DataFrame, min_chars: int, edits: tuple[int, int, int], sent) -> DataFrame:
-    """row, line, key of what may meet a segment."""
-
-    def run(batches):
-        enter("line_dedup")
-        for b in batches:
-            rows, numbers, lines = [], [], []
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, line in enumerate(text.split("\n")):
-                    if len(line := trimmed(line)) >= min_chars:
-                        rows.append(row)
-                        numbers.append(k)
-                        lines.append(line)
-            rows, numbers, at = np.array(rows, np.int64), np.array(numbers, np.int32), 0
-            while at < len(lines):
-                end, size = at, 0
-                while end < len(lines) and (end == at or size + len(lines[end]) <= 200_000):
-                    size += len(lines[end])
-                    end += 1
-                keys, own = wide_keys(lines[at:end], min_chars, edits, True)
-                if sent is not None:
-                    words = sent.value
-                    low = keys.view(np.uint64) & np.uint64(64 * len(words) - 1)
-                    met = (words[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
-                    keys, own = keys[met], own[met]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[at + own]), pa.array(numbers[at + own]), pa.array(keys)], ["row", "line", "key"])
-                at = end
-
-    return src.select("row", "text").mapInArrow(run, "row long, line int, key long")
-
-
-def _near_wide(src: DataFrame, firsts: DataFrame, min_chars: int, edits: tuple[int, int, int], small: int) -> DataFrame:
-    """As ``_near``, within ``bound`` edits. What meets at a key is compared with the key's earliest line, and only if
-    that is too far with the earlier ones; letter counts are compared before texts."""
-    place = F.struct("id", "row", "line").alias("place")
-    each = firsts.select("row", "line", place, F.explode("half").alias("key"))
-    n = firsts.agg(F.coalesce(F.sum(F.size("half")), F.lit(0))).first()[0]
-    words = _filter(each, n) if n else None
-    sent = src.sparkSession.sparkContext.broadcast(words) if words is not None else None
-    probes = _probes(src.where("text is not null"), min_chars, edits, sent)
-    probes = durable(probes.join(each.select("key").distinct(), "key", "left_semi").distinct(), "line-probes")
-    probes = probes.join(firsts.select("row", "line", place), ["row", "line"]).select("key", "place", F.lit(False).alias("segment"))
-    every = each.select("key", "place", F.lit(True).alias("segment")).unionByName(probes)
-    met = every.groupBy("key").agg(F.min("place").alias("leader"), F.max("place").alias("last")).where("leader < last").drop("last")
-    members = durable(every.join(met, "key"), "line-members")
-    wanted = durable(members.groupBy("place.row").agg(F.collect_set("place.line").alias("lines")), "lines-wanted")
-    size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
-    wanted = F.broadcast(wanted) if 32 * size[0] + 4 * size[1] <= small else wanted
-    text = durable(_texts(src, wanted).dropDuplicates(["row", "line"]).select(place, "text", _counts("text").alias("counts")), "lines-text")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """The places of pairs (place, partner) whose texts are within the bound."""
-        both = pairs.join(text.select("place", "text"), "place").join(text.select(F.col("place").alias("partner"), F.col("text").alias("other")), "partner")
-        most = _bound(F.least(F.char_length("text"), F.char_length("other")), edits)
-        return both.where((F.levenshtein("text", "other", edits[1]) >= 0) & (F.levenshtein("text", "other", edits[1]) <= most)).select("place").distinct()
-
-    gone = durable(close(members.where("leader < place").select("place", F.col("leader").alias("partner")).distinct()), "lines-gone")
-    held = members.join(text.select("place", "counts"), "place")
-    rest = held.join(gone, "place", "left_anti").where("leader < place")
-    other = held.select("key", F.col("place").alias("partner"), F.col("segment").alias("s2"), F.col("counts").alias("c2"))
-    apart = F.aggregate(F.zip_with("counts", "c2", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, x: a + x)
-    pairs = rest.join(other, "key").where((F.col("partner") < F.col("place")) & (F.col("partner") != F.col("leader")) & (F.col("segment") | F.col("s2")) & (apart <= 2 * edits[1]))
-    more = close(pairs.select("place", "partner").distinct())
-    return gone.unionByName(more).select("place.row", "place.line").distinct()
-
-
-def _counts(col: str):
-    """How often each of some frequent letters stands in a text; one edit changes at most two of the counts by one."""
-    return F.array(*[F.char_length(col) - F.char_length(F.translate(F.col(col), c, "")) for c in "eaiontrsludcmpgv"])
-
-
-def _bound(n, edits: tuple[int, int, int]):
-    return F.greatest(F.lit(edits[0]), F.least(F.lit(edits[1]), F.floor(n / edits[2])))
-
-
-def _removed(src: DataFrame, min_chars: int, exact_chars: int, edits, small: int) -> DataFrame:
-    """row, __removed: the numbers of each document's lines that go."""
-    occurrences = durable(_occurrences(src.where("text is not null"), min_chars, exact_chars, edits), "line-occurrences")
-    firsts = durable(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("half").alias("half")).select("h1", "h2", "first.*", "n", "half"), "line-firsts")
-    near = _near(src, firsts, small) if edits is None else _near_wide(src, firsts, min_chars, edits, small)
-    again = occurrences.join(firsts.where("n > 1").select("h1", "h2", F.struct("id", "row", "line").alias("first")), ["h1", "h2"]).where(F.struct("id", "row", "line") != F.col("first")).select("row", "line")
-    return again.unionByName(near).groupBy("row").agg(F.collect_set("line").alias("__removed"))
+    salt, nth = unused(rows, "salt", "nth")
+    again = _same_row(rows, repeated, "left_semi").withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    again = again.withColumn(nth, F.row_number().over(Window.partitionBy("row", "id", salt).orderBy(F.lit(0))))
+    part = F.when(F.col(nth) == 1, -1).otherwise(F.col(salt))
+    first = F.row_number().over(Window.partitionBy("row", "id", part).orderBy(salt))
+    return _same_row(rows, repeated, "left_anti"), again, (F.col(nth) > 1) | (first > 1)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, small_bytes: int = 32 << 20, counts: bool = False, exact_chars: int | None = None, edits: tuple[int, int, int] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, exact_chars: int = 1, small_bytes: int = 32 << 20, counts: bool = False) -> DataFrame:
     """docs with duplicate lines gone. With counts, only id, n_lines, n_removed and text.
 
-    exact_chars: lines from this length on are compared for equality, from min_chars on for nearness too.
-    edits: (least, most, chars) lets two lines differ by one edit for each so many code points of the shorter, within
-    least and most; None is one edit.
+    min_chars, min_words: code points and words from which lines are compared for nearness, 2 and more; exact_chars:
+    code points from which they are compared for equality.
     small_bytes: a list of lines up to this size, measured before, is broadcast; a longer one is joined.
     """
-    exact_chars = min_chars if exact_chars is None else max(1, min(exact_chars, min_chars))
+    if min_chars < 2 or min_words < 2:
+        raise ValueError("lines of one symbol are all within one edit")
+    exact_chars = max(1, min(exact_chars, min_chars))
     src = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     with scratch(docs.sparkSession) as keep:
-        removed = keep(durable(_removed(src, min_chars, exact_chars, edits, small_bytes), "lines-removed"))
-    copy = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0)))
-    rows = docs.withColumn("__row", row_key(id_col, text_col)).withColumn("__copy", copy)
-    rows = rows.join(removed.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
+        removed = keep(durable(_removed(src, min_chars, min_words, exact_chars, small_bytes), "lines-removed"))
+    repeated = src.groupBy("row", "id").count().where("count > 1").select("row", "id")
     columns = [id_col, text_col] if counts else docs.columns
-    rows = rows.select(*[F.col(f"`{c}`") for c in columns], "__copy", "__removed")
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"))
+    if repeated.isEmpty():
+        rows = own.withColumn("later", F.lit(False))
+    else:
+        once, again, later = _later_copy(own, repeated)
+        rows = once.withColumn("later", F.lit(False)).unionByName(again.select(*own.columns, later.alias("later")))
+    rows = _same_row(rows, removed, "left")
+    text_at, size_at = columns.index(text_col), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches):
         enter("line_dedup")
         for b in batches:
             texts, total, gone = [], [], []
-            for text, copy, removed in zip(*(b.column(c).to_pylist() for c in (text_col, "__copy", "__removed")), strict=True):
+            for text, later, removed in zip(*(b.column(c).to_pylist() for c in (f"c{text_at}", "later", "removed")), strict=True):
                 lines = text.split("\n") if text is not None else []
-                out = {i for i, line in enumerate(lines) if len(trimmed(line)) >= exact_chars} if copy > 1 else set(removed or ())
+                out = {i for i, line in enumerate(lines) if len(trimmed(line)) >= exact_chars} if later else set(removed or ())
                 texts.append("\n".join(line for i, line in enumerate(lines) if i not in out) if text is not None else None)
                 total.append(len(lines))
                 gone.append(len(out))
-            cols = {c: b.column(c) for c in columns} | {text_col: pa.array(texts, pa.string())}
-            if counts:
-                cols |= {"n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
-            elif "n_chars" in cols:
-                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_pydict(cols)
-
-    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns] + ["n_lines long", "n_removed long"] * counts
-    return rows.mapInArrow(run, ", ".join(fields))
+            cols = [b.column(f"c{k}") for k in range(len(columns))]
+            cols[text_at] = pa.array(texts, pa.string())
+            if size_at is not None:
+                cols[size_at] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(f"c{size_at}").type)
+            more = [pa.array(total, pa.int64()), pa.array(gone, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays([*cols, *more], [*columns, *(["n_lines", "n_removed"] if counts else [])])
+
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + ["n_lines long", "n_removed long"] * counts
+    picked = rows.select(*[f"c{k}" for k in range(len(columns))], "later", "removed")
+    return picked.mapInArrow(run, ", ".join(fields))

@@ -48,7 +48,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = {
         "insert": token_rollup.deltas(docs, old, 1),
         "revise": token_rollup.revisions(docs, docs, old, new),
-        "delete": token_rollup.deltas(token_rollup.later_copies(docs), new, -1),
+        "delete": token_rollup.copy_deltas(docs, new),
     }
     for batch, rows in [*batches.items(), *batches.items()]:
         rollup.commit(batch, rows)
@@ -104,19 +104,18 @@ FROM documents d LEFT JOIN f ON d.text = f.text WHERE NOT coalesce(d.doc_id > f.
 GROUP BY source, lang
 """
 
-#: A line's deletions with and without their place, as in the operator; the earliest place of each.
-OP8_SQL = """
+#: Nearness as it is defined: one edit of a code point, or of a word, at some place k. One edit leaves one half of the shorter line whole, so these choose what is looked at.
+OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 o AS (SELECT r, k, ls[k] AS raw, trim(ls[k], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM (SELECT r, ls, unnest(generate_series(1, len(ls))) AS k FROM d WHERE text IS NOT NULL)),
-l AS (SELECT s, min((r, k)) AS f FROM o WHERE length(s) >= 20 GROUP BY s),
-v AS (SELECT f, length(s) AS n, i, substr(s, 1, i - 1) || substr(s, i + 1) AS v FROM (SELECT f, s, unnest(generate_series(1, length(s))) AS i FROM l)),
-h AS (SELECT f, n, i, md5_number(v) AS v FROM v),
-p AS (SELECT n, i, v, min(f) AS m FROM h GROUP BY n, i, v),
-w AS (SELECT f, md5_number(s) AS v FROM l),
-q AS (SELECT v, min(f) AS m FROM h GROUP BY v),
-near AS (SELECT h.f FROM h JOIN p USING (n, i, v) WHERE p.m < h.f
-         UNION SELECT w.f FROM w JOIN q USING (v) WHERE q.m < w.f
-         UNION SELECT h.f FROM h JOIN w USING (v) WHERE w.f < h.f),
+l AS (SELECT s, min((r, k)) AS f, length(s) AS n, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS w FROM o WHERE length(s) >= 1 GROUP BY s),
+x AS (SELECT f, n, s, w, len(w) AS m FROM l WHERE n >= 20),
+h AS (SELECT DISTINCT f, n, s, h, e, CASE WHEN e THEN substr(s, 1, h) ELSE substr(s, n - h + 1) END AS c FROM (SELECT f, n, s, unnest([n // 2, (n - 1) // 2]) AS h FROM x), (VALUES (true), (false)) t(e)),
+q AS (SELECT DISTINCT f, m, w, h, e, CASE WHEN e THEN w[1:h] ELSE w[m - h + 1:] END AS c FROM (SELECT f, m, w, unnest([m // 2, (m - 1) // 2]) AS h FROM x WHERE m >= 12), (VALUES (true), (false)) t(e)),
+p AS (SELECT f, s, t, unnest(generate_series(0, least(length(s), length(t)))) AS k FROM (SELECT DISTINCT b.f AS f, a.s AS s, b.s AS t FROM h a JOIN h b USING (e, h, c) WHERE a.f < b.f AND abs(a.n - b.n) <= 1)),
+v AS (SELECT f, s, t, unnest(generate_series(0, least(len(s), len(t)))) AS k FROM (SELECT DISTINCT b.f AS f, a.w AS s, b.w AS t FROM q a JOIN q b USING (e, h, c) WHERE a.f < b.f AND abs(a.m - b.m) <= 1)),
+near AS (SELECT f FROM p WHERE substr(s, 1, k) = substr(t, 1, k) AND (substr(s, k + 2) = substr(t, k + 2) OR substr(s, k + 2) = substr(t, k + 1) OR substr(s, k + 1) = substr(t, k + 2))
+         UNION SELECT f FROM v WHERE s[1:k] = t[1:k] AND (s[k + 2:] = t[k + 2:] OR s[k + 2:] = t[k + 1:] OR s[k + 1:] = t[k + 2:])),
 g AS (SELECT o.r, o.k FROM o JOIN l USING (s) WHERE (o.r, o.k) <> l.f OR l.f IN (SELECT f FROM near))
 SELECT d.doc_id, CAST(coalesce(len(d.ls), 0) AS BIGINT) AS n_lines, CAST(count(g.k) AS BIGINT) AS n_removed,
        sha256(coalesce(string_agg(o.raw, chr(10) ORDER BY o.k) FILTER (g.k IS NULL), '')) AS kept_sha256
