@@ -11,18 +11,20 @@ removed, judged on the input.
 2. Each task makes a count-min sketch of the anchors it meets. The sketch is cut into blocks by the
    anchor's hash, each with ``ROWS`` rows of ``WIDTH`` four-bit counters, and sized by the corpus, so that
    the merged sketch overestimates few anchors. Blocks are merged by adding, saturating at ``TOP``.
-3. A second pass takes the windows whose anchor is estimated to be chosen twice or more and groups just
-   these exactly, by the anchor and 64 bits of their words. None that repeats is lost, as estimates are
-   never low. A task first counts its own: a window that it meets twice is settled there, and one of each
+3. Anchors meet their block of the sketch: each block travels once to each of its PARTS, ahead of the anchors
+   dealt there, which come packed. Those that are estimated to be chosen twice or more go back to their documents.
+4. A second pass takes the windows of these anchors and groups just these exactly, by the anchor and 64 bits
+   of their words. None that repeats is lost, as estimates are never low. A task first counts its own: a window that it meets twice is settled there, and one of each
    leaves the task, so that a passage which many documents share is at most one for each task. The windows
    of one anchor travel as one row to the anchor's partition; those of an anchor estimated at ``TOP``, as
    every task sees alike, are dealt over ``SALTS`` partitions by their own hash.
-4. Each document's repeated windows, as runs, are joined to its text and the words they cover are removed.
+5. Each document's repeated windows, as runs, are joined to its text and the words they cover are removed.
 
-The merged sketch is broadcast while its size is up to ``sketch_bytes``. A larger one is joined: anchors
-meet their block in a shuffle, and the survivors go back to their documents.
+Nothing is broadcast or collected but the size of the corpus.
 
-Defined results: null text has no words; ids may be null or repeat: equal rows repeat each other.
+Defined results: null and empty texts have no words; texts of any length are taken whole; ids may be null or
+repeat: equal rows repeat each other; an empty table gives an empty one; columns besides id and text are free
+and not given back.
 """
 
 import itertools
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ WINDOW, GRAM = 35, 8
 ROWS, WIDTH = 4, 1 << 14
 BLOCK = ROWS * WIDTH // 2
 TOP, SALTS = 15, 64
+#: Partitions over which a block's anchors are dealt.
+PARTS = 4
 #: Counters for each anchor that is expected.
 COUNTERS = 8
 #: Bytes of text handled at once, and windows kept before they leave a task.
@@ -196,10 +201,6 @@ def _merged(parts: DataFrame) -> DataFrame:
     return parts.groupBy("block").applyInArrow(add, "block long, data binary")
 
 
-_TABLES: dict = {}
-_SERIAL = itertools.count()
-
-
 def _lists(values: np.ndarray, cut: np.ndarray) -> pa.ListArray:
     """values as lists that begin at cut."""
     return pa.ListArray.from_arrays(pa.array(np.append(cut, len(values)).astype(np.int32)), pa.array(values))
@@ -227,26 +228,15 @@ def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, pa.ListArray,
     return row[begin][cut], _lists(start[begin].astype(np.int32), cut), _lists(start[end].astype(np.int32), cut)
 
 
-def _candidates(src: DataFrame, window: int, gram: int, blocks: int, sketch: list | None) -> DataFrame:
+def _candidates(src: DataFrame, window: int, gram: int) -> DataFrame:
     """Windows that may repeat. Rows with part: one anchor's windows of one row of src, one of each in a task, as
     starts (below zero, -1 - start, if settled already) and digests. Rows without: runs of settled windows.
 
-    src: row, text, and, where sketch is None, places: those of anchors estimated to repeat, doubled, plus 1 if at TOP.
+    src: row, text, places: those of anchors estimated to repeat, doubled, plus 1 if at TOP.
     """
-    sc = src.sparkSession.sparkContext
-    sent, serial = (sc.broadcast(sketch), (sc.applicationId, next(_SERIAL))) if sketch is not None else (None, None)
 
     def run(batches):
         enter("substring_dedup")
-        table = None
-        if sent is not None:
-            if serial not in _TABLES:
-                _TABLES.clear()
-                full = np.zeros((blocks, BLOCK), np.uint8)
-                for k, data in sent.value:
-                    full[k] = np.frombuffer(data, np.uint8)
-                _TABLES[serial] = full.ravel()
-            table = _TABLES[serial]
         held, n = [], 0
 
         def flush():
@@ -271,19 +261,14 @@ def _candidates(src: DataFrame, window: int, gram: int, blocks: int, sketch: lis
         names = ["part", "row", "starts", "digests", "begins", "ends"]
         for b in batches:
             texts, ids = byte_values(b.column("text")), np.array(b.column("row").to_pylist(), np.int64)
-            listed = b.column("places").to_pylist() if table is None else None
+            listed = b.column("places").to_pylist()
             for i, j in pieces(texts):
                 w = Words(texts[i:j])
                 at, place, g = anchors(w, window, gram)
                 if not len(at):
                     continue
-                if table is not None:
-                    hit = np.unique(place)
-                    count = estimates(table, _block_of(g[hit], blocks), g[hit])
-                    hit, top = hit[count >= 2], hit[count == TOP]
-                else:
-                    both = np.concatenate([np.array(p or [], np.int64) + 2 * w.first[k] for k, p in enumerate(listed[i:j])])
-                    hit, top = both >> 1, both[both & 1 == 1] >> 1
+                both = np.concatenate([np.array(p or [], np.int64) + 2 * w.first[k] for k, p in enumerate(listed[i:j])])
+                hit, top = both >> 1, both[both & 1 == 1] >> 1
                 take = np.isin(place, hit)
                 at, place = at[take], place[take]
                 if not len(at):
@@ -342,11 +327,22 @@ def _meeting(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "row long, begins array<int>, ends array<int>")
 
 
-def _by_join(src: DataFrame, sketch: DataFrame, window: int, gram: int, blocks: int) -> DataFrame:
-    """row, text, places of the documents with anchors estimated to repeat, for a sketch of any size."""
+def _sightings(src: DataFrame, window: int, gram: int, blocks: int) -> DataFrame:
+    """block, part, and packed row, place, hash of the anchors that a task met there."""
 
-    def each(batches):
+    def run(batches):
         enter("substring_dedup")
+        held, n, turn = [], 0, TaskContext.get().partitionId()
+
+        def flush():
+            row, place, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            block = _block_of(h, blocks)
+            order = np.argsort(block, kind="stable")
+            row, place, h, block = row[order], place[order], h[order], block[order]
+            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            packs = [[x[a:b].tobytes() for a, b in itertools.pairwise([*cut.tolist(), len(x)])] for x in (row, place.astype(np.int32), h)]
+            return pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array(np.full(len(cut), turn % PARTS, np.int32)), *[pa.array(x, pa.binary()) for x in packs]], ["block", "part", "row", "place", "hash"])
+
         for b in batches:
             texts, ids = byte_values(b.column("text")), np.array(b.column("row").to_pylist(), np.int64)
             for i, j in pieces(texts):
@@ -355,30 +351,45 @@ def _by_join(src: DataFrame, sketch: DataFrame, window: int, gram: int, blocks:
                 place = np.unique(place)
                 if len(place):
                     text = np.searchsorted(w.first, place, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + text]), pa.array((place - w.first[text]).astype(np.int32)), pa.array(g[place].view(np.int64)), pa.array(_block_of(g[place], blocks))], ["row", "place", "hash", "block"])
+                    held.append((ids[i + text], place - w.first[text], g[place]))
+                    n += len(place)
+            if n > HELD:
+                yield flush()
+                held, n, turn = [], 0, turn + 1
+        if n:
+            yield flush()
+
+    return src.mapInArrow(run, "block long, part int, row binary, place binary, hash binary")
+
+
+def _repeated(src: DataFrame, sketch: DataFrame, window: int, gram: int, blocks: int) -> DataFrame:
+    """row, text, places of the documents with anchors estimated to repeat, as ``_candidates`` takes them."""
 
     def look(batches):
         enter("substring_dedup")
-        at, table = None, None
+        table = None
         for b in batches:
-            row, place, h, block = (b.column(c).to_numpy(zero_copy_only=False) for c in ("row", "place", "hash", "block"))
-            if not len(row):
-                continue
-            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            count = np.zeros(len(row), np.int64)
-            for x, y in itertools.pairwise([*cut.tolist(), len(row)]):
-                if block[x] != at:
-                    at, table = block[x], np.frombuffer(b.column("data")[x].as_py(), np.uint8)
-                count[x:y] = estimates(table, np.zeros(y - x, np.int64), h[x:y].view(np.uint64))
-            keep = count >= 2
-            yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array((2 * place + (count == TOP))[keep].astype(np.int32))], ["row", "place"])
-
-    found = src.mapInArrow(each, "row long, place int, hash long, block long").join(sketch, "block").sortWithinPartitions("block")
-    hit = found.select("row", "place", "hash", "block", "data").mapInArrow(look, "row long, place int")
+            rows, places = [], []
+            for data, row, place, h in zip(*(b.column(c).to_pylist() for c in ("data", "row", "place", "hash")), strict=True):
+                if data is not None:
+                    table = np.frombuffer(data, np.uint8)
+                    continue
+                h = np.frombuffer(h, np.uint64)
+                count = estimates(table, np.zeros(len(h), np.int64), h)
+                keep = count >= 2
+                rows.append(np.frombuffer(row, np.int64)[keep])
+                places.append((2 * np.frombuffer(place, np.int32) + (count == TOP))[keep])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(places).astype(np.int32))], ["row", "place"])
+
+    first = sketch.select("block", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "data", *[F.lit(None).cast("binary").alias(c) for c in ("row", "place", "hash")])
+    then = _sightings(src, window, gram, blocks).select("block", "part", F.lit(None).cast("binary").alias("data"), "row", "place", "hash")
+    dealt = first.unionByName(then).repartition("block", "part").sortWithinPartitions("block", "part", F.col("data").isNull())
+    hit = dealt.mapInArrow(look, "row long, place int")
     return src.join(hit.groupBy("row").agg(F.collect_set("place").alias("places")), "row")
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, sketch_bytes: int = 64 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """row (see common.row_key), begins, ends array<int>: runs of the starts of each document's repeated windows."""
     src = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where("text is not null")
     size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -386,11 +397,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocks = max(1, int(expected * COUNTERS / (ROWS * WIDTH)))
     with scratch(docs.sparkSession) as keep:
         sketch = durable(_merged(_sketches(src, blocks, window, gram)), "sketch")
-        if blocks * BLOCK <= sketch_bytes:
-            found = _candidates(src, window, gram, blocks, [tuple(r) for r in sketch.collect()])
-        else:
-            found = _candidates(_by_join(src, sketch, window, gram, blocks), window, gram, blocks, None)
-        found = durable(found, "windows")
+        found = durable(_candidates(_repeated(src, sketch, window, gram, blocks), window, gram), "windows")
         settled = found.where("part is null").select("row", "begins", "ends")
         runs = settled.unionByName(_meeting(found)).groupBy("row").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
         return keep(durable(runs, "runs"))
@@ -404,9 +411,9 @@ def covered(n: int, begins: list[int], ends: list[int], window: int) -> np.ndarr
     return np.cumsum(change[:n]) > 0
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, sketch_bytes: int = 64 << 20, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, and the kept words joined by one space as text, or with digest as kept_sha256."""
-    windows = repeated_windows(docs, id_col, text_col, window, gram, sketch_bytes)
+    windows = repeated_windows(docs, id_col, text_col, window, gram)
     src = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = src.join(windows, "row", "left").select("doc_id", "text", "begins", "ends")
 
