@@ -1,12 +1,14 @@
 """Personal data: expressions propose spans, checksums confirm them, nearby words adjust a score.
 
 Base kinds (email, ip, card, phone) are always reported when their expression matches and their
-validator holds. Added kinds (iban, local_phone, ssn) are reported when the score reaches
-``min_score`` and the span overlaps no base span. Each scan is linear in the text: nothing here
+validator holds. Added kinds (iban, local_phone, ssn, secret, account) are reported when the score reaches
+``min_score`` and the span overlaps no base span. A key or password (secret) and an account number look like
+any other run of characters, so only the words near by lift them over it. Each scan is linear in the text: nothing here
 backtracks over more than one match, so a text of many megabytes takes time in proportion.
 
-Defined results: null text is empty and has no spans; ids may be null or repeat, each input row
-gives one output row; extra input columns are ignored.
+Defined results: null and empty texts have no spans; texts of any length are read whole; ids may be null or
+repeat, each input row gives one output row; an empty table gives an empty one; extra input columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import enter
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "local_phone", "ssn")
+ADDED = ("iban", "local_phone", "ssn", "secret", "account")
 KINDS = BASE + ADDED
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,9 +34,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+])\([0-9]{3}\)\x20?[0-9]{3}[-.\x20][0-9]{4}(?![0-9])")
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}={0,2}")
+ACCOUNT = re.compile(r"(?<![A-Za-z0-9.-])[0-9]{8,17}(?![A-Za-z0-9-]|\.[0-9])")
 
 #: Score of a confirmed span before its context is read.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.55, "ssn": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.55, "ssn": 0.4, "secret": 0.35, "account": 0.35}
 CONTEXT = {
     "email": ("mail", "contact", "write", "kontakt", "correo", "courriel"),
     "ip": ("ip", "address", "server", "host", "login"),
@@ -43,8 +47,10 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "local_phone": ("phone", "tel", "call", "mobile", "fax"),
     "ssn": ("ssn", "social", "security"),
+    "secret": ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "api key", "access key", "private key", "bearer", "credential"),
+    "account": ("account", "acct", "konto", "compte", "cuenta", "routing"),
 }
-AGAINST = {"ip": ("version", "release", "section"), "card": ("isbn", "order", "serial"), "ssn": ("order", "part", "serial")}
+AGAINST = {"ip": ("version", "release", "section"), "card": ("isbn", "order", "serial"), "ssn": ("order", "part", "serial"), "account": ("order", "part", "serial", "isbn")}
 STEP, WINDOW = 0.2, 48
 
 ENTITY = "array<struct<kind:string,start:int,end:int,score:double,base:boolean,value:string>>"
@@ -131,7 +137,19 @@ def ssns(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-FINDERS = {"email": emails, "ip": ips, "card": cards, "phone": phones, "iban": ibans, "local_phone": local_phones, "ssn": ssns}
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Runs that mix letters with four digits or more."""
+    for m in SECRET.finditer(text):
+        digits = sum(c.isdigit() for c in m[0])
+        if digits >= 4 and any(c.isalpha() for c in m[0]):
+            yield m.span()
+
+
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in ACCOUNT.finditer(text))
+
+
+FINDERS = {"email": emails, "ip": ips, "card": cards, "phone": phones, "iban": ibans, "local_phone": local_phones, "ssn": ssns, "secret": secrets, "account": accounts}
 
 
 def score(kind: str, text: str, start: int, end: int) -> float:
