@@ -21,9 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Earlier lines win, equal at any length and from MIN_CHARS on within EDITS; a document of which nothing visible is left goes."""
+    """Earlier lines win, equal or within one edit (see line_dedup); a document of which nothing visible is left goes."""
     prepare(spark)
-    return line_dedup.dedup_lines(docs, exact_chars=1, edits=line_dedup.EDITS).where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    return line_dedup.dedup_lines(docs).where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
