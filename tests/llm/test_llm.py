@@ -245,6 +245,41 @@ def test_html_deep():
         html_extract.main_text("<dl><dd><ul>" + "<div>" * 20_000 + odd)
 
 
+def test_html_keeps_what_only_sounds_like_boilerplate():
+    text = "A sentence of the text, long enough to stay here, and then some. " * 4
+    page = (
+        f"<body><article><div class='entry-header'><h1>The Real Title</h1></div><p>{text}</p><div class='share-of-market'><p>{text}One.</p></div><p>With <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <svg><path d='M0'/><text>drawn</text></svg>, {text}</p>"
+        f"<p data-x='a hidden b'>{text}Seen.</p><p class=x hidden>{text}Unseen.</p><div class='share-buttons'>Tell, all. Your, friends.</div><div class=comment-list><p>{text}Said.</p></div></article></body>")
+    got = html_extract.main_text(page).split("\n\n")
+    assert got == ["The Real Title", text.strip(), text + "One.", f"With x = 2 and drawn, {text}".strip(), text + "Seen."]
+
+
+def test_html_paths_are_found_without_articles(spark):
+    for name in ("sf0.001", "sf0.01"):
+        for page in spark.read.parquet(f"/root/testdata/{name}/pages.parquet").select("html").toLocalIterator():
+            bare = re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", page.html or "")
+            assert html_extract.main_text(bare) == html_extract.main_text(page.html or "")
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.text(alphabet="ab ,.", min_size=1, max_size=40).filter(str.strip), st.booleans()), min_size=1, max_size=12))
+def test_ratios_by_hand(rows):
+    blocks = [html_extract.Block(p, 0, False, t, 0, inside) for p, t, inside in rows]
+    paths = list(dict.fromkeys(p for p, _, _ in rows))
+    mean = lambda f: [sum(f(t) for q, t, _ in rows if q == p) / sum(q == p for q, _, _ in rows) for p in paths]
+    w = np.exp(-0.5)
+
+    def smooth(x):
+        return [sum(k * x[j] for k, j in near) / sum(k for k, _ in near) for i in range(len(x)) for near in [[(1 if j == i else w, j) for j in (i - 1, i, i + 1) if 0 <= j < len(x)]]]
+
+    fused = [a * b * (4 if any(q == p and inside for q, _, inside in rows) else 1) for p, a, b in zip(paths, smooth(mean(len)), smooth(mean(lambda t: 1 + sum(c in ",." for c in t))), strict=True)]
+    at = dict(zip(paths, fused, strict=True))
+    least = min(0.35 * sum(at[p] for p, _, _ in rows) / len(rows), max(fused))
+    clear = [b for b in blocks if abs(at[b.path] - least) > 1e-9 * least]
+    got = html_extract.content(blocks)
+    assert [b in got for b in clear] == [at[b.path] >= least for b in clear]
+
+
 # ---- 5 -------------------------------------------------------------------------------------------
 
 SYLLABLES = {"de": ["sch", "ung", "ein", "ver", "keit"], "fr": ["eau", "tion", "é", "oi", "ment"], "es": ["ción", "ado", "ez", "ll", "rr"]}
@@ -576,6 +611,61 @@ def test_pii(spark, tmp_path):
 
 # ---- 10 ------------------------------------------------------------------------------------------
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & M64
+    return x ^ x >> 31
+
+
+def plain_fingerprint(text):
+    """The definition, one name after another."""
+    if not text:
+        return []
+    names, bag = [ord(c) for c in text], []
+    for level in range(1, 7):
+        runs = [(n, len(list(g))) for n, g in itertools.groupby(names)]
+        names = [plain_mix(n + k * 0xD1342543DE82EF95 & M64) if k > 1 else n for n, k in runs]
+        labels = list(names)
+        for _ in range(4):
+            bits = [0] + [((a ^ b) & -(a ^ b)).bit_length() - 1 for a, b in itertools.pairwise(labels)]
+            labels = [2 * k + (x >> k & 1) for k, x in zip(bits, labels, strict=True)]
+        cuts = [i for i in range(len(names)) if i == 0 or 1 < i < len(names) - 1 and labels[i - 1] < labels[i] >= labels[i + 1]]
+        names = []
+        for a, b in itertools.pairwise([*cuts, len(labels)]):
+            own = [n if k == 1 else plain_mix(n + k * 0xD1342543DE82EF95 & M64) for n, k in runs[a:b]]
+            names.append(plain_mix(sum(plain_mix(n) * pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i, n in enumerate(own)) & M64))
+        if level >= 2:
+            bag += names
+    seen, out = Counter(), []
+    for n in bag:
+        out.append(plain_mix(n + seen[n] * 0xC2B2AE3D27D4EB4F & M64) if seen[n] else n)
+        seen[n] += 1
+    return sorted({n >> 32 for n in sorted(out)[:64]})
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    both = sorted({*a, *b})
+    return len({*both[:64]} & {*a} & {*b}) / min(64, len(both))
+
+
+def test_fingerprints_equal_plain_parsing(spark, tmp_path):
+    texts = [*corpus(5, 12)[:40], "a" * 500, "ab" * 300, "x", "xy", "🙂 é" * 40]
+    texts = [t if t is None or len(t) < 3000 else t[:3000] for t in texts]
+    rows = {x.doc_id: x for x in queries.op10_fingerprint(spark, table_dir(tmp_path, spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        e = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        one, two, three = map(plain_fingerprint, (t, e, after))
+        shown = lambda f: "".join(f"{n:08x}" for n in f)
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (shown(one), shown(two))
+        assert (rows[i].near_edited, rows[i].near_next) == (plain_likeness(one, two), plain_likeness(one, three))
+
+
 def test_fingerprints(spark, tmp_path):
     texts = corpus(5, 30)
     rows = {x.doc_id: x for x in queries.op10_fingerprint(spark, table_dir(tmp_path, spark, texts)).collect()}
@@ -606,19 +696,39 @@ def test_equal_substrings_share_their_inside(text, before):
     assert len(inside - names(before + text)) <= 20
 
 
-def brute_language(texts, least=0.05):
-    """Whether each text is like the language of the training documents, all labelled alike."""
+def bundle(text):
+    """A document's vector from letters' vectors, one n-gram at a time."""
     letters = langid.Profiles(langid.DIM, langid.SEED)
+    marked = "_" + re.sub(r"[\W\d_]+", "_", (text or "").lower()) + "_"
+    out = np.zeros(langid.DIM, np.int64)
+    for g, n in Counter(marked[i : i + 3] for i in range(len(marked) - 2)).items():
+        if g[1] != "_":
+            a, b, c = (letters.letter(0 if x == "_" else ord(x)).astype(int) for x in g)
+            out += n * np.roll(a, 2) * np.roll(b, 1) * c
+    return out
+
 
-    def bundle(text):
-        marked = "_" + re.sub("[^a-z]+", "_", (text or "").lower()) + "_"
-        out = np.zeros(langid.DIM)
-        for g, n in Counter(marked[i : i + 3] for i in range(len(marked) - 2)).items():
-            if g[1] != "_":
-                a, b, c = (letters.letter(0 if x == "_" else ord(x)).astype(int) for x in g)
-                out += n * np.roll(a, 2) * np.roll(b, 1) * c
-        return out
+def test_language_equals_plain_bundles(spark, tmp_path):
+    r = random.Random(19)
+    say = lambda lang, n: " ".join("".join(r.choice(SYLLABLES[lang]) for _ in range(r.randrange(1, 4))) for _ in range(n))
+    rows = [(i, say(lang, r.randrange(1, 40)), r.choice((lang, lang, None, "fr")), "s", 0) for i, lang in enumerate(list(SYLLABLES) * 12)]
+    rows += [(60, "1 2", "de", "s", 0), (61, None, "de", "s", 0), (62, "xyz qqq", "xx", "s", 0)]
+    spark.createDataFrame(rows, DOCS).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in queries.op5_langid(spark, str(tmp_path)).collect()}
+    vectors = {i: bundle(t) for i, t, *_ in rows}
+    protos = {}
+    for i, _, lang, *_ in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2 and vectors[i].any():
+            protos[lang] = protos.get(lang, 0) + vectors[i]
+    for i, v in vectors.items():
+        cosines = {k: round(float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)), 6) for k, p in sorted(protos.items())} if v.any() else {}
+        best = max(cosines, key=cosines.get, default="und")
+        assert abs(got[i].score - max(0, cosines.get(best, 0))) < 1e-5
+        assert got[i].lang_pred == best or abs(cosines[got[i].lang_pred] - cosines[best]) < 1e-5
 
+
+def brute_language(texts, least=0.05):
+    """Whether each text is like the language of the training documents, all labelled alike."""
     vectors = [bundle(t) for t in texts]
     proto = sum(v for i, v in enumerate(vectors) if zlib.crc32(str(i).encode()) % 4 != 2)
     return [bool(v.any()) and v @ proto / np.linalg.norm(v) / np.linalg.norm(proto) >= least for v in vectors]
@@ -646,3 +756,24 @@ def test_pipeline(spark, tmp_path):
     assert out.keys() == left.keys()
     assert all(out[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() and out[i].n_tokens == len(out[i].ids) for i, t in left.items())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontaminate", "bpe"]
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    item, long = sentence(r, 40), sentence(r, 20_000)
+    texts = [sentence(r, 30), None, "", "!!", sentence(r, 30) + "\n" + sentence(r, 20), item, long, "kept", "kept", sentence(r, 40)]
+    ids = [1, 2, 3, None, 4, 5, 6, 7, 7, None]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["row", "id", "comp", "score", "lang_pred", "removed", "later", "__row", "__n", "size", "_row", "c0", "items"]
+    rows = docs(spark, texts, ids).withColumns({c: F.lit(c) for c in names})
+    kept = {"language_id": 7, "line_dedup": 6, "near_dedup": 9, "decontaminate": 9}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, str(tmp_path))
+        got = out.collect()
+        assert out.columns == rows.columns and all(x[c] == c for x in got for c in names), name
+        assert len(got) == kept[name], (name, [(x.doc_id, (x.text or "")[:20]) for x in got])
+        assert stage(spark, rows.limit(0), str(tmp_path)).count() == 0
+    out = corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).collect()
+    assert len(out) == len(texts) and sum(x.n_tokens == 0 for x in out) == 2
+    assert corpus_pipeline.STAGES[-1][1](spark, rows.limit(0), str(tmp_path)).count() == 0

@@ -9,7 +9,9 @@ new ones are split by the pattern and go through the library. Memory stays bound
 Decoding reverses the byte table. A character split over several tokens decodes whole, as bytes are
 joined before UTF-8 is read; ids that stop inside a character give a replacement character there.
 
-Defined results: null text is empty and gives no ids; ids and rows may repeat or be null.
+Defined results: null and empty texts give no ids; texts of any length are encoded whole; ids may be null or
+repeat, and repeated rows each give a row; merges are by rank, and no two have one, so there are no ties; an empty
+table gives an empty one; columns besides id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cache, enter, sha
 
 #: Units kept in a worker's table, and characters given to the library at once.
-UNITS, CHUNK = 500_000, 200_000
+UNITS, CHUNK = 250_000, 200_000
 #: A single space between two visible characters; a match of the pattern begins at it.
 CUT = re.compile(r" (?<=\S )(?=\S)")
 #: Present where a space is not of that kind.

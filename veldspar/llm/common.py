@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
-import uuid
 from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
@@ -14,14 +13,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts may be long, so batches are smaller than Spark's default of 10,000 rows.
-BATCH_ROWS = 2000
+from ..storage import shared_folder
+
+#: Rows and bytes in one Arrow batch. Texts may be long, so both are smaller than Spark's defaults of 10,000 and 64 MB.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings that the Python stages rely on for bounded memory."""
+    """Smaller Arrow batches for the session, whose queries and pipeline stages run in a few gigabytes.
+
+    Operators used on their own take batches of any size; Spark bounds their bytes too.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,26 +34,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the one set on the context.
-
-    Only where neither is set (local tests) a folder under the warehouse is used.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder. What is written there goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/veldspar-{label}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
 
@@ -56,7 +41,7 @@ _SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends at files that all can read.
 
-    The shuffle files that the write needed go with its end.
+    The shuffle files that the write needed go with its end. The path is kept as ``durable_path``, for ``discard``.
     """
     spark = df.sparkSession
     path = shared_folder(spark, label)
@@ -68,7 +53,19 @@ def durable(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(_CLEAN_UP, before)
     if (held := _SCRATCH.get()) is not None:
         held.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a durable table that nothing will read again."""
+    _remove(df.sparkSession, df.durable_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
@@ -90,11 +87,9 @@ def scratch(spark: SparkSession):
         yield keep
     finally:
         _SCRATCH.reset(token)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in held:
             if path not in kept:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(conf).delete(at, True)
+                _remove(spark, path)
         if (outer := _SCRATCH.get()) is not None:
             outer += kept
 
@@ -123,7 +118,8 @@ def enter(name: str) -> None:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """64 bits that tell rows apart even where ids repeat or are null; equal rows share it."""
+    """64 bits that tell rows apart even where ids repeat or are null; equal rows share it. Joins of operators that
+    can carry the id use both."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 

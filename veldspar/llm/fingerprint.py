@@ -13,7 +13,10 @@ numbered. The likeness of two fingerprints estimates the Jaccard likeness of the
 from their ``keep`` smallest.
 
 Defined results: null text is empty; an empty text has an empty fingerprint; two empty fingerprints
-are alike (1.0), an empty and another not (0.0); equal texts have equal fingerprints.
+are alike (1.0), an empty and another not (0.0); equal texts have equal fingerprints; texts of any length are
+read whole; an empty table gives an empty one; columns besides id and text are ignored. For ``neighbours`` ids are
+whole numbers or cast to them (others raise): null ids come first, equal ids are ordered by a hash of the text, and
+of several documents with the first id of a range one follows the range before.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ A page is read into blocks of text, each under a path of block-level tags from t
 distinct path the text length and the punctuation of its blocks are added up and divided by the
 number of blocks; link text counts against it. The two ratios are smoothed along the page with a small
 Gaussian, fused by their product and weighed up inside an article or main element; paths above a share
-of the page's mean are content, wherever they lie, and bring in the headings beside them.
+of the page's mean are content, wherever they lie, and bring in the headings beside them, in an article also
+those that stand in an element of their own beside them.
 
 Excluded parts never count: scripts, styles, heads, menus, headers and footers of the page, sidebars,
 forms, and elements whose class, id or role names a notice, advert, menu, sidebar or comments.
@@ -13,7 +14,8 @@ Reading is one linear scan of the whole html. Unclosed paragraphs and list items
 begins, unclosed pages at their end, and markup that isn't closed is text.
 
 Defined results: null or empty html gives an empty text; ids and urls may be null or repeat, each
-input row gives one output row.
+input row gives one output row; an empty table gives an empty one; html of any length and depth is read whole;
+columns besides html and those kept are free.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 #: What stands inside a line of text and ends no block.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark noscript object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-RAW = frozenset("script style noscript template iframe textarea title svg math canvas object noembed noframes xmp".split())
+RAW = frozenset("script style template iframe textarea title noembed noframes".split())
+#: Drawings and formulas stand inside a line; of these only their own text counts.
+DRAWN = {"svg": re.compile(r"<text\b[^>]*>(.*?)</text\s*>", re.S | re.I), "math": re.compile(r"<(?:mi|mn|mo|ms|mtext)\b[^>]*>(.*?)</", re.S | re.I)}
 SKIPPED = frozenset("head nav header footer aside form button select menu dialog fieldset".split())
 #: A start tag of the first ends an open one of the second.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -47,7 +51,11 @@ P_ENDERS = frozenset("address article aside blockquote div dl fieldset figure fo
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that mark a part as not content.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice paywall popup promo promoted promotion related replies respond search share sharing shoutbox sidebar signup social sponsor sponsored subscribe subscription toc toolbar widget".split())
-SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Of these a class or id holds only, or with one other word; inside an article the last stands for its heading.
+WEAK = frozenset("banner footer masthead promo promotion related replies respond search share sharing social toolbar widget header".split())
+SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"\shidden(?=[\s/>=])", re.I)
 
 
 @dataclass
@@ -58,6 +66,7 @@ class Block:
     text: str
     link: int
     article: bool
+    over: int = 0
 
 
 @dataclass
@@ -68,14 +77,26 @@ class Open:
     path: int
 
 
+def named_boilerplate(value: str, in_article: bool) -> bool:
+    """Whether one of the names in a class, id or role is that of a part that is not content."""
+    for name in value.split():
+        words = [w.lower() for w in SPLIT.split(name) if w]
+        for w in words:
+            if w in BOILERPLATE and (w not in WEAK or len(words) <= 2 and not (w == "header" and in_article)):
+                return True
+    return False
+
+
 def excluded(name: str, tag: str, in_article: bool) -> bool:
     if name in SKIPPED and not (name == "header" and in_article):
         return True
+    if "hidden" in tag.lower() and HIDDEN.search(QUOTED.sub('""', tag)):
+        return True
     if "=" not in tag or name in ("html", "body", "article", "main"):
-        return "hidden" in tag and re.search(r"\shidden[\s>]", tag) is not None
+        return False
     for m in ATTRIBUTE.finditer(tag):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id", "role") and any(w.lower() in BOILERPLATE for w in SPLIT.split(value)):
+        if key in ("class", "id", "role") and named_boilerplate(value, in_article):
             return True
         if key == "style" and "display:none" in value.replace(" ", "").lower() or key == "aria-hidden" and value == "true":
             return True
@@ -103,7 +124,7 @@ def read(page: str) -> list[Block]:
         text = SPACE.sub(" ", entities.unescape("".join(words))).strip()
         if text:
             top, above = stack[-1] if stack else None, stack[-2].path if len(stack) > 1 else 0
-            out.append(Block(top.path if top else 0, above, top is not None and top.name[:2] in HEADINGS, text, min(link, len(text)), top is not None and top.article))
+            out.append(Block(top.path if top else 0, above, top is not None and top.name[:2] in HEADINGS, text, min(link, len(text)), top is not None and top.article, stack[-3].path if len(stack) > 2 else 0))
         words.clear()
         link = 0
 
@@ -148,6 +169,12 @@ def read(page: str) -> list[Block]:
                 done = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = done.end() if done else len(page) if name in ("script", "style", "title", "textarea") else at
             continue
+        if name in DRAWN:
+            if not tag.endswith("/>"):
+                done = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                add(" ".join(DRAWN[name].findall(page, at, done.start() if done else len(page))))
+                at = done.end() if done else len(page)
+            continue
         if name in INLINE:
             if name == "br":
                 add(" ")
@@ -213,7 +240,7 @@ def content(blocks: list[Block], threshold: float = 0.35) -> list[Block]:
     mean = sum(fused[b.path] for b in blocks) / len(blocks)
     keep = {p for p in paths if fused[p] > 0 and fused[p] >= min(threshold * mean, max(fused.values()))}
     tops = {b.above for b in blocks if b.path in keep}
-    return [b for b in blocks if b.path in keep or b.heading and b.above in tops]
+    return [b for b in blocks if b.path in keep or b.heading and (b.above in tops or b.article and b.over in tops)]
 
 
 def main_text(page: str) -> str:

@@ -9,7 +9,9 @@ All labelled documents given to ``train`` are used. What comes back to the drive
 each language: ``max_languages`` x ``dim`` numbers at most, checked before it is collected.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; ties go to the
-language first in order; null languages are not learned; with nothing learned every text is ``und``.
+language first in order; null languages are not learned; with nothing learned every text is ``und``; texts of
+any length are read whole; ids may be null or repeat, each input row gives one output row; an empty table gives an
+empty one; extra columns are ignored, or with ``keep`` given back under their names.
 """
 
 from __future__ import annotations
@@ -121,7 +123,7 @@ def profiles(dim: int, seed: int) -> Profiles:
     return _PROFILES[dim, seed]
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM, seed: int = SEED, max_languages: int = 10_000) -> dict:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM, seed: int = SEED, max_languages: int = 1000) -> dict:
     """Prototypes {language: unit vector} from all rows of labelled that have a language and letters."""
 
     def run(batches):
@@ -140,12 +142,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     parts = rows.mapInArrow(run, "lang string, v array<long>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    found = summed.orderBy("lang", "i").limit(max_languages * dim + 1).collect()
-    if len(found) > max_languages * dim:
+    vectors = summed.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    found = vectors.limit(max_languages + 1).toArrow()
+    if len(found) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    out: dict[str, np.ndarray] = {}
-    for lang, i, x in found:
-        out.setdefault(lang, np.zeros(dim))[i] = x
+    out = {lang: np.array(v.values.to_numpy(), np.float64) for lang, v in zip(found["lang"].to_pylist(), found["v"], strict=True)}
     return {lang: v / np.linalg.norm(v) for lang, v in sorted(out.items()) if v.any()}
 
 

@@ -133,9 +133,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 """
 
 
+#: Links by counting common shingles, and whom each document reaches over links.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT DISTINCT r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3) UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) IN (1, 2)),
+n AS (SELECT r, count(*) AS n FROM x GROUP BY r),
+h AS (SELECT r, md5_number(t) AS h FROM x),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM h a JOIN h b USING (h) WHERE a.r <> b.r GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n u ON u.r = a JOIN n v ON v.r = b WHERE 100 * i >= 85 * (u.n + v.n - i)),
+c AS (SELECT r, r AS m FROM d UNION SELECT c.r, e.b FROM c JOIN e ON e.a = c.m),
+k AS (SELECT c.r, min(d.doc_id) AS least FROM c JOIN d ON d.r = c.m GROUP BY c.r)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least AS component_id, doc_id = least AS kept FROM d JOIN k USING (r) LEFT JOIN n USING (r)
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_bpe, op4_html, op5_langid, op6_token_counts, op7_near_dedup, op8_line_dedup, op9_pii, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_token_counts": OP6_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_token_counts": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
