@@ -1,7 +1,12 @@
 """From raw documents to token ids: each stage's decisions take effect on the next.
 
 Stages take (spark, docs, sf_dir) and give a DataFrame; all but the last give the columns of documents.
-``run`` writes each stage's result as Parquet in the shared folder and rereads it as the next one's docs.
+``run`` writes each stage's result as Parquet in the shared folder and rereads it as the next one's docs; the
+result before it goes then.
+
+Each stage works on documents with null ids and texts, empty and very long texts, ties, repeated rows, no rows and
+columns of any names besides its own, as the operator that it calls defines: a text that is null, empty or without
+letters goes at the first stage; of repeated rows one stays, as later lines go and with them what has no lines left.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm import bpe, decontaminate, langid, line_dedup, near_dedup
-from veldspar.llm.common import durable, load, prepare
+from veldspar.llm.common import discard, durable, load, prepare
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
