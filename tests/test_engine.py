@@ -1,16 +1,19 @@
 """The engine against golden values, worked examples, and independent computations in plain Python."""
 
+import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from veldspar import config, schema
+from veldspar import config, schema, storage
 from veldspar.functions import distance, quantize, vectorize
 from veldspar.operators import evaluate, index, kmeans, knn, score
 from veldspar.sources import generate, readers, sinks
 
+# The worked payloads and the vectors that the rules give them.
 NO_HISTORY = {
     "id": "a", "transaction": {"amount": 41.12, "installments": 2, "requested_at": "2026-03-11T18:45:53Z"},
     "customer": {"avg_amount": 82.24, "tx_count_24h": 3, "known_merchants": ["MERC-003", "MERC-016"]}, "merchant": {"id": "MERC-016", "mcc": "5411", "avg_amount": 60.25},
@@ -102,6 +105,7 @@ def table(spark, rows, dims=14):
     return spark.createDataFrame([(i, [float(x)] + [0.0] * (dims - 1), label == "fraud") for i, (x, label) in enumerate(rows)], schema.REFERENCE)
 
 
+# The labelled points of the quality guard.
 GUARD = [(i / 100, "legit") for i in range(20)] + [(0.4 + i / 100, "legit") for i in range(10)] + [(0.5 + i / 100, "fraud") for i in range(10)] + [(0.8 + i / 100, "fraud") for i in range(20)]
 
 
@@ -179,19 +183,67 @@ def test_kmeans_keeps_incumbents_and_empty_clusters(spark):
     points = spark.createDataFrame([(0, [0], 1), (1, [10], 1), (2, [5], 1), (3, [5], None)], "ref_id long, vector array<byte>, current int")
     start = [[0], [10], [100]]
     want = {0: 0, 1: 1, 2: 1, 3: 0}
-    assert {r.ref_id: r.cluster_id for r in kmeans.assign(points, kmeans.frame(spark, start), 1).collect()} == want
+    assert {r.ref_id: r.cluster_id for r in kmeans.assign(points, kmeans.frame(spark, start)).collect()} == want
     assert {r.ref_id: r.cluster_id for r in kmeans.assign_fast(points, start).collect()} == want
     new = {r.cluster_id: (r.centroid, r.n) for r in kmeans.update(kmeans.assign_fast(points, start), kmeans.frame(spark, start), 1).collect()}
     assert new == {0: ([3], 2), 1: ([8], 2), 2: ([100], 0)}
     assert kmeans.fit(points, 2, 1, 5) == kmeans.fit(points.repartition(3), 2, 1, 5)
 
 
+def test_search_reads_the_folders_it_needs(spark, tmp_path):
+    refs = generate.references(spark, 2000)
+    built = index.build(refs, 14, "i16", clusters=40, iterations=3)
+    index.write(built.arranged(), str(tmp_path / "index"), shards=10)
+    back = index.read(spark, str(tmp_path / "index"))
+    assert back.size() == 40 and back.per_shard == 4
+    some = back.of_clusters([1, 2, 17])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*shard#\d+ IN \(0,4\)", plan) and re.search(r"PushedFilters: \[[^]]*In\(cluster_id", plan), plan
+    assert len(some.select(F.input_file_name().alias("f")).distinct().collect()) < len(back.records.select(F.input_file_name()).distinct().collect())
+    assert {r.cluster_id for r in some.collect()} <= {1, 2, 17}
+    full = refs.select("ref_id", quantize.quantized(F.col("vector"), 14, "i16").alias("vector"), "is_fraud")
+    q = full.where("ref_id % 50 = 0").select(F.col("ref_id").alias("query_id"), "vector")
+    want = sorted(map(tuple, knn.brute(full, q, 14, "i16").collect()))
+    assert want == sorted(map(tuple, knn.pruned(back, q, nprobe=3).collect()))
+    assert want == sorted(map(tuple, knn.pruned(back, q, nprobe=3, block_bytes=2000).collect()))  # in several blocks
+    assert sorted(map(tuple, knn.ivf(back, q, nprobe=5).collect())) == sorted(map(tuple, knn.ivf(built, q, nprobe=5, block_bytes=2000).collect()))
+
+
+def test_one_cluster_holds_most(spark):
+    refs = spark.createDataFrame([(i, [0.5] * 14 if i % 3 else [i / 3000] * 14, i % 2 == 0) for i in range(3000)], schema.REFERENCE)
+    full = refs.select("ref_id", quantize.quantized(F.col("vector"), 14, "i16").alias("vector"), "is_fraud")
+    q = full.where("ref_id % 100 = 0").select(F.col("ref_id").alias("query_id"), "vector")
+    found = index.build(refs, 14, "i16", clusters=7, iterations=2).arranged()
+    want = sorted(map(tuple, knn.brute(full, q, 14, "i16", 4, kernel="codegen").collect()))
+    assert want == sorted(map(tuple, knn.pruned(found, q, 4, nprobe=1).collect())) == sorted(map(tuple, knn.brute(full, q, 14, "i16", 4).collect()))
+    assert knn.pruned(found, q.limit(0)).count() == 0 and knn.ivf(found, q.limit(0)).count() == 0
+
+
+def test_shared_folder(spark):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_dir(Session())
+    assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
 def test_index_round_trip(spark, tmp_path):
     built = index.build(table(spark, GUARD), 14, "i16", clusters=4, iterations=3)
-    index.write(built, str(tmp_path / "index"), files=2)
+    index.write(built, str(tmp_path / "index"), shards=2)
     back = index.read(spark, str(tmp_path / "index"))
     assert back.ready() and back.warm() == 60 and (back.space, back.dims) == ("i16", 14)
-    assert sorted(map(str, back.records.collect())) == sorted(map(str, built.records.select(*back.records.columns).collect()))
+    assert sorted(map(str, back.records.drop("shard").collect())) == sorted(map(str, built.records.select(*back.records.drop("shard").columns).collect()))
     firsts = back.clusters.orderBy("cluster_id").collect()
     assert [c.first for c in firsts] == [sum(x.n for x in firsts[:i]) for i in range(len(firsts))]
     (tmp_path / "index/meta").joinpath("x").write_text("")
@@ -259,9 +311,34 @@ def test_reference_files(spark, tmp_path):
     with pytest.raises(Exception):
         readers.references(spark, str(tmp_path / "r.json.gz"), strict=True).collect()
     sinks.write_references(readers.references(spark, str(tmp_path / "r.json.gz")), str(tmp_path / "out"))
-    back = spark.read.schema(schema.REFERENCE_JSON).json(str(tmp_path / "out"))
-    assert back.where("label = 'fraud'").count() == 2 and back.count() == 6
-    assert len(readers.checksum(spark, str(tmp_path / "r.json.gz"))) == 64
+    back = readers.references(spark, str(tmp_path / "out"), strict=True)
+    assert back.where("is_fraud").count() == 2 and back.count() == 6
+    assert readers.checksum(spark, str(tmp_path / "r.json.gz")) == hashlib.sha256((tmp_path / "r.json.gz").read_bytes()).hexdigest()
+
+
+def test_files_written_are_read_back(spark, tmp_path):
+    refs = generate.references(spark, 3000, parts=3)
+    sinks.write_references(refs.unionByName(refs.limit(0).coalesce(1)), str(tmp_path / "refs"))
+    back = readers.references(spark, str(tmp_path / "refs"), strict=True)
+    want, got = ([(tuple(round(x, 4) for x in r.vector), r.is_fraud) for r in df.collect()] for df in (refs, back))
+    assert sorted(want) == sorted(got) and len(got) == 3000
+    rows = generate.payloads(spark, 40, random_dates=True)
+    entries = rows.select(F.col("row").alias("position"), F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction").alias("request"), F.col("coin").alias("expected_approved"), F.lit(0.6).alias("expected_fraud_score"))
+    sinks.write_test_set(entries.repartition(4), evaluate.dataset_stats(entries), "ab", str(tmp_path / "set"))
+    back, stats = readers.test_set(spark, str(tmp_path / "set"))
+    assert [(r.position, r.request, r.expected_approved) for r in back.orderBy("position").collect()] == [(r.position, r.request, r.expected_approved) for r in entries.orderBy("position").collect()]
+    assert stats.first().total == 40 and stats.first().edge_case_count == 40 and stats.first().references_checksum_sha256 == "ab"
+    sinks.write_test_set(entries.limit(0), evaluate.dataset_stats(entries.limit(0)), "ab", str(tmp_path / "none"))
+    assert readers.test_set(spark, str(tmp_path / "none"))[0].count() == 0
+
+
+def test_random_dates(spark):
+    rows = generate.payloads(spark, 2000, random_dates=True)
+    days = rows.agg(F.min("transaction.requested_at"), F.max("transaction.requested_at"), F.countDistinct("id")).first()
+    assert "2026-03" <= days[0][:7] < "2026-06" and "2030-09" < days[1][:7] <= "2030-12" and days[2] == 2000
+    gap = F.unix_seconds(F.to_timestamp("transaction.requested_at")) - F.unix_seconds(F.to_timestamp("last_transaction.timestamp"))
+    gaps = rows.where("last_transaction is not null").select(gap.alias("s")).agg(F.min("s"), F.max("s"), F.count_if(F.col("s") % 60 != 0)).first()
+    assert 0 < gaps[0] and 3500 * 86_400 < gaps[1] <= 3650 * 86_400 and gaps[2] > 1000
 
 
 def test_result_files(spark, tmp_path):
@@ -279,13 +356,40 @@ def test_result_files(spark, tmp_path):
     assert got == {("i16", 2048, 2): (1.25, 11.0, 9), ("i8", 256, 4): (2.5, 12.0, 9), ("i8", 512, 4): (3.5, 13.0, 9)}
 
 
+def test_documents_of_runs_are_read_back(spark, tmp_path):
+    runs = spark.createDataFrame([("i16", 2048, 2, 10, 20, 1, 0, 0, 1.5), ("i16", 2048, 2, 12, 20, 1, 0, 0, 2500.0), ("i8", 64, 4, 5, 5, 0, 1, 0, 3.0)], "dtype string, clusters int, nprobe int, tp long, tn long, fp long, fn long, err long, p99 double")
+    scored = evaluate.scored(evaluate.weighted(runs))
+    sinks.write_aggregates(evaluate.aggregate_documents(scored), str(tmp_path / "all"))
+    got = {(r.dtype, r.clusters, r.nprobe): r for r in readers.run_results(spark, str(tmp_path / "all")).collect()}
+    r = got["i16", 2048, 2]
+    assert (r.p99, r.tp, r.tn, r.fp, r.p99_cut, r.detection_cut) == (1250.75, 11, 20, 1, True, False) and set(got) == {("i16", 2048, 2), ("i8", 64, 4)}
+    first = evaluate.result_document(scored.where("dtype = 'i8'")).first()
+    (tmp_path / "one/i8_K64_nprobe4").mkdir(parents=True)
+    (tmp_path / "one/i8_K64_nprobe4/results_run1.json").write_text(first.json)
+    back = readers.run_results(spark, str(tmp_path / "one")).first()
+    assert (back.dtype, back.p99, back.fn) == ("i8", 3.0, 1) and back.final_score == pytest.approx(round(first.final_score, 2)) and back.p99_score == pytest.approx(round(first.p99_score, 2))
+
+
+def test_percentiles_approximate(spark):
+    rows = spark.range(100_000).select((F.col("id") % 7).alias("k"), F.xxhash64("id").cast("double").alias("x"))
+    exact_, near = ({r.k: r for r in evaluate.percentiles(rows, "x", ("k",), exact=e).collect()} for e in (True, False))
+    for k, r in exact_.items():
+        below = rows.where(f"k = {k}").agg(*[F.avg((F.col("x") <= near[k][p]).cast("double")) for p in ("p50", "p95", "p99")]).first()
+        assert all(abs(b - want) < 0.001 for b, want in zip(below, (0.5, 0.95, 0.99), strict=True)) and r.p50 == pytest.approx(near[k].p50, rel=0.2, abs=2e17)
+
+
+def test_grid_is_bounded(spark):
+    with pytest.raises(ValueError, match="combinations"):
+        evaluate.parameter_grid(spark.range(1), spark.range(20).toDF("b"), most=10)
+
+
 def test_json_array_split(spark):
     df = spark.createDataFrame([('[{"a": "x}\\"{"}, {"b": [1, 2]}]',)], "body string")
     assert [json.loads(r.object) for r in readers.split_array(df).orderBy("position").collect()] == [{"a": 'x}"{'}, {"b": [1, 2]}]
 
 
 def test_config():
-    assert config.EngineConfig.from_env({"K_NEIGHBORS": "7", "FRAUD_THRESHOLD": "0.5", "OTHER": "1"}) == config.EngineConfig(k=7, threshold=0.5)
+    assert config.EngineConfig.from_env({"VELDSPAR_K": "7", "VELDSPAR_THRESHOLD": "0.5", "OTHER": "1"}) == config.EngineConfig(k=7, threshold=0.5)
     with pytest.raises(ValueError):
         config.EngineConfig(space="i32")
     assert config.read_numbers('{"a": 1, "a": 2.5}') == {"a": 2.5}

@@ -30,7 +30,7 @@ class EngineConfig:
     space: str = "i16"
     index_path: str = ""
 
-    ENV: ClassVar[dict] = {"k": "K_NEIGHBORS", "threshold": "FRAUD_THRESHOLD", "nprobe": "NPROBE", "index_path": "V2_ARTIFACT_PATH"}
+    ENV: ClassVar[dict] = {"k": "VELDSPAR_K", "threshold": "VELDSPAR_THRESHOLD", "nprobe": "VELDSPAR_NPROBE", "space": "VELDSPAR_SPACE", "index_path": "VELDSPAR_INDEX"}
 
     def __post_init__(self):
         if self.k < 1 or self.nprobe < 1 or self.space not in ("i8", "i16", "f32", "f64"):

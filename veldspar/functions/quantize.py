@@ -48,8 +48,14 @@ def quantize(v: Column, space: str) -> Column:
     return F.round(v.cast("double"), 4) + 0.0 if space == "f64" else v.cast("float")
 
 
+#: With more dimensions, unrolled elements take longer to compile than they save.
+WIDE = 24
+
+
 def quantized(vector: Column, dims: int, space: str) -> Column:
-    """An array column quantised element by element, unrolled so that it compiles."""
+    """An array column quantised element by element, unrolled up to WIDE dimensions."""
+    if dims > WIDE:
+        return F.transform(F.slice(vector, 1, dims), lambda v: quantize(v, space))
     return F.array(*[quantize(vector[i], space) for i in range(dims)])
 
 

@@ -49,12 +49,32 @@ def result_document(scored_runs: DataFrame) -> DataFrame:
     r = lambda c: F.round(c, 2).alias(c)
     breakdown = F.struct(*[F.col(a).alias(b) for a, b in (("fp", "false_positive_detections"), ("fn", "false_negative_detections"), ("tp", "true_positive_detections"), ("tn", "true_negative_detections"), ("err", "http_errors"))])
     raw = F.struct(F.col("p99").alias("p99_ms"), "failure_rate", F.col("epsilon").alias("error_rate_epsilon"), "p99_score", "detection_score", "final_score")
-    body = F.struct(breakdown.alias("breakdown"), F.col("weighted_errors").alias("weighted_errors_E"), F.struct(r("p99_score"), F.col("p99_cut").alias("cut_triggered")).alias("p99_score"), F.struct(r("detection_score"), F.col("detection_cut").alias("cut_triggered")).alias("detection_score"), r("final_score"), raw.alias("raw"))
+    body = F.struct(breakdown.alias("breakdown"), F.col("weighted_errors").alias("weighted_errors_E"), F.struct(F.round("p99_score", 2).alias("value"), F.col("p99_cut").alias("cut_triggered")).alias("p99_score"), F.struct(F.round("detection_score", 2).alias("value"), F.col("detection_cut").alias("cut_triggered")).alias("detection_score"), r("final_score"), raw.alias("raw"))
     return scored_runs.withColumn("json", F.to_json(F.struct(body.alias("scoring"))))
 
 
+def aggregate_documents(runs: DataFrame, keys: tuple[str, ...] = ("dtype", "clusters", "nprobe")) -> DataFrame:
+    """keys and json: one document for each configuration, medians over its runs, as readers.run_results reads it.
+
+    runs: scored runs with tp, tn, fp, fn, p99, failure_rate. Numbers are numbers, rates too.
+    """
+    median = lambda c: F.median(c).alias(c)
+    found = runs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("runs"), F.struct(F.median("p99").alias("median"), F.min("p99").alias("min"), F.max("p99").alias("max"), F.sort_array(F.collect_list("p99")).alias("samples")).alias("p99_ms"),
+        *map(median, ("tp", "tn", "fp", "fn", "failure_rate", "p99_score", "detection_score", "final_score")), F.bool_or("p99_cut").alias("p99_cut"), F.bool_or("detection_cut").alias("detection_cut"))
+    count = lambda c, name: F.round(c).cast("long").alias(name)
+    scoring = F.struct(
+        F.struct(F.col("p99_score").alias("value"), F.col("p99_cut").alias("cut_triggered")).alias("p99_score"), F.struct(F.col("detection_score").alias("value"), F.col("detection_cut").alias("cut_triggered")).alias("detection_score"), "final_score", "failure_rate",
+        F.struct(count("tp", "true_positive_detections"), count("tn", "true_negative_detections"), count("fp", "false_positive_detections"), count("fn", "false_negative_detections")).alias("breakdown"))
+    body = F.struct(*[c for c in ("dtype",) if c in keys], "runs", "p99_ms", F.concat(F.round("p99_ms.median", 1).cast("string"), F.lit("ms")).alias("p99"), scoring.alias("scoring"), F.col("final_score").alias("final_score_median"))
+    return found.select(*keys, F.to_json(body).alias("json"))
+
+
 def percentiles(latencies: DataFrame, column: str, keys: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
-    """p50, p95, p99: exact with linear interpolation, or approximate within 1/10000 in bounded memory."""
+    """p50, p95, p99: exact with linear interpolation, or approximate within 1/10000 in bounded memory.
+
+    The exact form counts each distinct value, so a group with more than some ten million of them wants the other.
+    """
     f = F.percentile if exact else F.percentile_approx
     return latencies.groupBy(*keys).agg(*[f(column, p).cast("double").alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
 
@@ -106,9 +126,12 @@ def dataset_stats(labelled: DataFrame) -> DataFrame:
     return labelled.agg(n.alias("total"), fraud.alias("fraud_count"), legit.alias("legit_count"), rate(fraud).alias("fraud_rate"), rate(legit).alias("legit_rate"), edge.alias("edge_case_count"), rate(edge).alias("edge_case_rate"))
 
 
-def parameter_grid(*tables: DataFrame) -> DataFrame:
-    """Every combination of the rows of small tables."""
-    out = tables[0]
+def parameter_grid(*tables: DataFrame, most: int = 100_000) -> DataFrame:
+    """Every combination of the rows of small tables; all but the first may have ``most`` rows together, which is counted."""
+    out, rows = tables[0], 1
     for t in tables[1:]:
+        rows *= t.limit(most + 1).count()
+        if rows > most:
+            raise ValueError(f"more than {most} combinations of the tables after the first")
         out = out.crossJoin(F.broadcast(t))
     return out

@@ -3,25 +3,53 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantize import quantized, rescale_centroid, space_of
 from . import kmeans
 
-VERSION = 1
+VERSION = 2
+#: Folders of records, about.
+SHARDS = 256
 
 
 @dataclass
 class Index:
-    """records: cluster_id, ref_id, vector, is_fraud; clusters: cluster_id, centroid, n, low, high, first."""
+    """records: cluster_id, ref_id, vector, is_fraud; clusters: cluster_id, centroid, n, low, high, first.
+
+    per_shard: clusters in a folder of the records, where they were read from disk.
+    """
 
     records: DataFrame
     clusters: DataFrame
     space: str
     dims: int
+    per_shard: int = 0
+    _table: list[pa.Table] = field(default_factory=list, repr=False)
+
+    def table(self) -> pa.Table:
+        """The clusters, at most MAX_CLUSTERS, by cluster_id; fetched once."""
+        if not self._table:
+            self._table.append(self.clusters.select("cluster_id", "centroid", "n", "low", "high").toArrow().sort_by("cluster_id").combine_chunks())
+        return self._table[0]
+
+    def size(self) -> int:
+        return len(self.table())
+
+    def of_clusters(self, ids: list[int]) -> DataFrame:
+        """The records of these clusters: only their folders are read, and row groups that may hold them."""
+        if len(ids) >= sum(1 for n in self.table()["n"].to_pylist() if n):
+            return self.records
+        rows = self.records.where(F.col("cluster_id").isin(ids))
+        return rows.where(F.col("shard").isin(sorted({i // self.per_shard for i in ids}))) if self.per_shard else rows
+
+    def arranged(self) -> Index:
+        """The same with each cluster's records next to each other; a large cluster is split."""
+        return replace(self, records=self.records.hint("rebalance", "cluster_id").sortWithinPartitions("cluster_id", "ref_id"))
 
     def ready(self) -> bool:
         """Whether the tables can be read and hold something."""
@@ -63,17 +91,20 @@ def build(refs: DataFrame, dims: int, space: str = "i16", clusters: int | None =
     return Index(assigned, directory(assigned, table, dims), space, dims)
 
 
-def write(index: Index, path: str, files: int = 64, mode: str = "errorifexists") -> None:
-    """Records range-sorted by cluster, so that a cluster's rows lie in few row groups and a filter on cluster_id skips the rest."""
+def write(index: Index, path: str, shards: int = SHARDS, mode: str = "errorifexists") -> None:
+    """Records in a folder for each few clusters, sorted there, so that a search reads the folders and row groups it needs."""
     spark = index.records.sparkSession
-    laid = index.records.repartitionByRange(files, "cluster_id", "ref_id").sortWithinPartitions("cluster_id", "ref_id")
-    laid.write.mode(mode).parquet(f"{path}/records")
+    per = max(1, -(-index.size() // shards))
+    laid = index.records.select("cluster_id", "ref_id", "vector", "is_fraud", (F.col("cluster_id") / per).cast("int").alias("shard"))
+    laid.hint("rebalance", "shard").sortWithinPartitions("shard", "cluster_id", "ref_id").write.mode(mode).partitionBy("shard").parquet(f"{path}/records")
     index.clusters.coalesce(1).write.mode(mode).parquet(f"{path}/clusters")
-    spark.createDataFrame([(VERSION, index.space, index.dims)], "version int, space string, dims int").coalesce(1).write.mode(mode).json(f"{path}/meta")
+    spark.createDataFrame([(VERSION, index.space, index.dims, per)], "version int, space string, dims int, per_shard int").coalesce(1).write.mode(mode).json(f"{path}/meta")
 
 
 def read(spark: SparkSession, path: str) -> Index:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     if meta.get("version") != VERSION or meta.get("space") not in ("i8", "i16"):
         raise ValueError(f"no index of this version at {path}: {meta}")
-    return Index(spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/clusters"), meta["space"], meta["dims"])
+    kind = {"i8": "tinyint", "i16": "smallint"}[meta["space"]]
+    records = spark.read.schema(f"cluster_id int, ref_id long, vector array<{kind}>, is_fraud boolean, shard int").parquet(f"{path}/records")
+    return Index(records, spark.read.parquet(f"{path}/clusters"), meta["space"], meta["dims"], meta["per_shard"])

@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.distance import squared_l2
 from .knn_kernel import matrix, squared
 
 MAX_CLUSTERS = 65_536
@@ -29,17 +28,16 @@ def frame(spark: SparkSession, centroids: list[list[int]]) -> DataFrame:
     return spark.createDataFrame([(i, c) for i, c in enumerate(centroids)], "cluster_id int, centroid array<int>")
 
 
-def assign(points: DataFrame, centroids: DataFrame, dims: int, space: str = "i8") -> DataFrame:
-    """points with cluster_id, as a plan of built-in functions. points may have current, a cluster that wins ties."""
-    current = F.col("current") if "current" in points.columns else F.lit(None).cast("int")
-    both = points.withColumn("__current", current).crossJoin(F.broadcast(centroids))  # at most MAX_CLUSTERS rows
-    dist = squared_l2(F.col("vector"), F.col("centroid"), dims, space)
-    best = F.min(F.struct(dist.alias("dist"), F.coalesce(F.col("cluster_id") != F.col("__current"), F.lit(True)).alias("other"), "cluster_id"))
-    return both.groupBy("ref_id").agg(best.alias("b")).join(points, "ref_id").select(*points.columns, F.col("b.cluster_id").alias("cluster_id"))
+def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
+    """points with cluster_id. points may have current, a cluster that wins ties; centroids: at most MAX_CLUSTERS rows."""
+    table = centroids.select("cluster_id", "centroid").toArrow().sort_by("cluster_id")
+    if table["cluster_id"].to_pylist() != list(range(len(table))):
+        raise ValueError("clusters are numbered from 0")
+    return assign_fast(points, table["centroid"].to_pylist())
 
 
 def assign_fast(points: DataFrame, centroids: list[list[int]]) -> DataFrame:
-    """The same over Arrow batches, without a shuffle."""
+    """points with cluster_id, over Arrow batches, without a shuffle."""
     c = np.array(centroids, np.int64)
     has_current = "current" in points.columns
 
@@ -91,9 +89,9 @@ def moved(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("a") != F.col("b")).alias("moved"))
 
 
-def fit(points: DataFrame, k: int, dims: int, iterations: int = 20, seed: int = 0) -> list[list[int]]:
-    """Centroids after up to so many rounds, fewer once nothing changes. Each round is one job of k rows of sums."""
-    centroids = initial(points, k, seed)
+def fit(points: DataFrame, k: int, dims: int, iterations: int = 20, seed: int = 0, start: list[list[int]] | None = None) -> list[list[int]]:
+    """Centroids after up to so many rounds, fewer once nothing changes. Each round is one job of k rows of sums. start: instead of ``initial``."""
+    centroids = initial(points, k, seed) if start is None else start
     if not centroids:
         return []
     spark = points.sparkSession
@@ -108,10 +106,3 @@ def fit(points: DataFrame, k: int, dims: int, iterations: int = 20, seed: int =
     finally:
         points.unpersist()
     return centroids
-
-
-def nearest_first(points: DataFrame, centroids: DataFrame, dims: int, space: str) -> DataFrame:
-    """ref_id, cluster_id, dist, rn: all clusters of each point in order."""
-    dist = squared_l2(F.col("vector"), F.col("centroid"), dims, space)
-    order = Window.partitionBy("ref_id").orderBy("dist", "cluster_id")
-    return points.crossJoin(F.broadcast(centroids)).select("ref_id", "cluster_id", dist.alias("dist")).withColumn("rn", F.row_number().over(order))

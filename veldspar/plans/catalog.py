@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import DIMS, MCC_RISK
 from ..functions.vectorize import NAMES, vectorize
 from ..operators import evaluate, index, kmeans, knn, score
-from ..sources import generate
+from ..sources import generate, readers, sinks
+from ..storage import shared_folder, written
 from . import mappings as m
 
 K, THRESHOLD, CLUSTERS, NPROBE = 5, 0.6, 16, 4
@@ -188,7 +189,11 @@ for _metric, _sql in (("l1", " + ".join(f"abs(CAST(r.v[{i}] AS BIGINT) - q.w[{i}
     register(f"WITH {_vectors('emb', 'i16')}, q AS (SELECT ref_id AS query_id, v AS w FROM r WHERE ref_id % 20 = 0), p AS (SELECT query_id, ref_id, {_sql} AS dist FROM r, q) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, ref_id) AS INT) AS rank, ref_id, dist FROM p QUALIFY rank <= {K}", f"knn_{_metric}")(_knn_metric)
 
 
-@register()
+def _dot(a: str, b: str) -> str:
+    return " + ".join(f"CAST({a}[{i}] AS DOUBLE) * {b}[{i}]" for i in range(1, E + 1))
+
+
+@register(f"WITH {_vectors('emb', 'f64')}, q AS (SELECT ref_id AS query_id, v AS w FROM r WHERE ref_id % 20 = 0), p AS (SELECT query_id, ref_id, CASE WHEN ({_dot('v', 'v')}) * ({_dot('w', 'w')}) > 0 THEN 1 - ({_dot('v', 'w')}) / sqrt(({_dot('v', 'v')}) * ({_dot('w', 'w')})) ELSE 1 END AS dist FROM r, q) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, ref_id) AS INT) AS rank, ref_id FROM p QUALIFY rank <= {K}")
 def knn_cosine(spark, sf_dir):
     return _searched(spark, sf_dir, "emb", "f64", metric="cosine").select("query_id", "rank", "ref_id")
 
@@ -196,34 +201,36 @@ def knn_cosine(spark, sf_dir):
 @register(f"WITH {_knn('tx', 'i16')} SELECT query_id, rank, ref_id, dist, is_fraud FROM n")
 def knn_arrow_i16(spark, sf_dir):
     """Transactions, with the NumPy kernel."""
-    return _searched(spark, sf_dir, "tx", "i16", kernel="arrow")
+    return _searched(spark, sf_dir, "tx", "i16")
 
 
 @register(f"WITH {_knn('tx', 'i8')} SELECT query_id, rank, ref_id, dist, is_fraud FROM n")
 def knn_ties_i8(spark, sf_dir):
     """A coarse space, where many distances are equal."""
-    return _searched(spark, sf_dir, "tx", "i8", kernel="arrow")
+    return _searched(spark, sf_dir, "tx", "i8")
 
 
 def _tx_index(spark, sf_dir) -> tuple[index.Index, DataFrame]:
-    rows = m.transaction_vectors(spark, sf_dir).persist()
-    return index.build(rows, DIMS, "i16", iterations=8), m.queries_of(m.in_space(rows, DIMS, "i16"))
+    rows = written(m.transaction_vectors(spark, sf_dir), "vectors")
+    found = index.build(rows, DIMS, "i16", iterations=8)
+    path = shared_folder(spark, "index")
+    index.write(found, path)
+    return index.read(spark, path), m.queries_of(m.in_space(rows, DIMS, "i16"))
 
 
 @register(f"WITH {_knn('tx', 'i16')} SELECT query_id, rank, ref_id, dist, is_fraud FROM n")
 def knn_pruned_i16(spark, sf_dir):
     """Exact search through boxes; the SQL is brute force."""
     found, queries = _tx_index(spark, sf_dir)
-    found.records = found.records.persist()
     return knn.pruned(found, queries, K, NPROBE)
 
 
 @register(f"WITH {_scores('tx', 'i16')} SELECT query_id, fraud_count, fraud_score, approved FROM d")
 def fraud_score(spark, sf_dir):
     """The flagship: transactions to vectors to neighbours to a decision."""
-    rows = m.in_space(m.transaction_vectors(spark, sf_dir), DIMS, "i16").persist()
+    rows = written(m.in_space(m.transaction_vectors(spark, sf_dir), DIMS, "i16"), "vectors")
     queries = m.queries_of(rows)
-    return score.decide(score.vote(knn.brute(rows, queries, DIMS, "i16", K, kernel="arrow"), queries, K), THRESHOLD)
+    return score.decide(score.vote(knn.brute(rows, queries, DIMS, "i16", K), queries, K), THRESHOLD)
 
 
 @register(f"WITH {_scores('emb', 'i16')} SELECT query_id, fraud_count, fraud_score, approved FROM d")
@@ -270,21 +277,19 @@ _R8 = _vectors("emb", "i8")
 
 @register(f"WITH {_R8}, {_C0}, {_assign(0)} SELECT ref_id, CAST(b[2] AS INT) AS cluster_id FROM a0")
 def kmeans_assign(spark, sf_dir):
-    return kmeans.assign(_points(spark, sf_dir).select("ref_id", "vector"), kmeans.frame(spark, _start(spark, sf_dir)), E).select("ref_id", "cluster_id")
+    return kmeans.assign(_points(spark, sf_dir).select("ref_id", "vector"), kmeans.frame(spark, _start(spark, sf_dir))).select("ref_id", "cluster_id")
 
 
 @register(f"WITH {_R8}, {_C0}, {_assign(0)}, {_update(0)} SELECT cluster_id, n, CAST(i - 1 AS INT) AS i, c[i] AS x FROM (SELECT cluster_id, n, c, unnest(generate_series(1, {E})) AS i FROM c1)")
 def kmeans_update(spark, sf_dir):
     start = kmeans.frame(spark, _start(spark, sf_dir))
-    new = kmeans.update(kmeans.assign(_points(spark, sf_dir).select("ref_id", "vector"), start, E), start, E)
+    new = kmeans.update(kmeans.assign(_points(spark, sf_dir).select("ref_id", "vector"), start), start, E)
     return new.select("cluster_id", "n", F.posexplode("centroid").alias("i", "x"))
 
 
 @register(f"WITH {_R8}, {_C0}, {_assign(0)}, {_update(0)}, {_assign(1)}, {_update(1)}, {_assign(2)}, {_update(2)} SELECT cluster_id, CAST(i - 1 AS INT) AS i, c[i] AS x FROM (SELECT cluster_id, c, unnest(generate_series(1, {E})) AS i FROM c3)")
 def kmeans_fit_3(spark, sf_dir):
-    points, now = _points(spark, sf_dir).select("ref_id", "vector"), _start(spark, sf_dir)
-    for _ in range(3):
-        now = [list(r[1]) for r in sorted(kmeans.update(kmeans.assign_fast(points, now), kmeans.frame(spark, now), E).collect())]
+    now = kmeans.fit(_points(spark, sf_dir), CLUSTERS, E, 3, start=_start(spark, sf_dir))
     return kmeans.frame(spark, now).select("cluster_id", F.posexplode("centroid").alias("i", "x"))
 
 
@@ -292,8 +297,8 @@ def kmeans_fit_3(spark, sf_dir):
 def kmeans_moved(spark, sf_dir):
     points = _points(spark, sf_dir).select("ref_id", "vector")
     start = kmeans.frame(spark, _start(spark, sf_dir))
-    first = kmeans.assign(points, start, E)
-    second = kmeans.assign(first.withColumnRenamed("cluster_id", "current"), kmeans.update(first, start, E).select("cluster_id", "centroid"), E)
+    first = kmeans.assign(points, start)
+    second = kmeans.assign(first.withColumnRenamed("cluster_id", "current"), kmeans.update(first, start, E).select("cluster_id", "centroid"))
     return kmeans.moved(first, second)
 
 
@@ -338,11 +343,20 @@ def knn_ivf_i8(spark, sf_dir):
 def knn_ivf_fitted_i8(spark, sf_dir):
     """Over clusters that k-means has found, as many as the measured recall of RECALL needs. knn_ivf_i8 has no such aim: its SQL fixes clusters and probes."""
     found, queries = index.build(m.embedding_vectors(spark, sf_dir), E, "i8"), _embedding_queries(spark, sf_dir)
-    found.records = found.records.persist()
+    found.records = written(found.records, "records")
     nprobe, _ = knn.probes_for(found, queries, K, RECALL)
     return knn.ivf(found, queries, K, nprobe).select("query_id", "ref_id", "dist", "rank")
 
 
+@register("SELECT count(*) AS queries, CAST(true AS BOOLEAN) AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def ivf_recall(spark, sf_dir):
+    """Whether the fitted search finds RECALL of what brute force over the same space finds."""
+    refs = m.in_space(m.embedding_vectors(spark, sf_dir), E, "i8")
+    true = knn.brute(refs, m.queries_of(refs), E, "i8", K).select("query_id", "ref_id", F.lit(True).alias("true"))
+    both = true.join(knn_ivf_fitted_i8(spark, sf_dir).select("query_id", "ref_id", F.lit(True).alias("found")), ["query_id", "ref_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), (F.count("found") >= RECALL * F.count("true")).alias("reached"))
+
+
 # ---- evaluation ----------------------------------------------------------------------------------
 
 def _decisions(spark, sf_dir) -> DataFrame:
@@ -454,7 +468,44 @@ def parameter_grid(spark, sf_dir):
 def json_array_split(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     lists = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "props"))).alias("l")).select("user_id", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["props"]), ","), F.lit("]")).alias("body"))
-    return lists.select("user_id", F.posexplode(F.from_json("body", "array<variant>")).alias("position", "v")).select("user_id", "position", F.get_json_object(F.to_json("v"), "$.k").alias("k"))
+    return readers.split_array(lists, keep=("user_id",)).select("user_id", "position", F.get_json_object("object", "$.k").alias("k"))
+
+
+# ---- files ---------------------------------------------------------------------------------------
+
+_BODY = "'{\"approved\":' || CASE WHEN approved THEN 'true' ELSE 'false' END || ',\"fraud_score\":' || CAST(fraud_score AS VARCHAR) || '}'"
+
+
+@register(f"WITH {_vectors('tx', 'f64')} SELECT is_fraud, count(*) AS n, CAST(sum({' + '.join(f'CAST(round(v[{i}] * 10000) AS BIGINT) * {i}' for i in range(1, DIMS + 1))}) AS BIGINT) AS total FROM r GROUP BY is_fraud")
+def references_roundtrip(spark, sf_dir):
+    """Labelled vectors as JSON arrays and back: how many, and a sum over all their features."""
+    path = shared_folder(spark, "references")
+    sinks.write_references(m.in_space(m.transaction_vectors(spark, sf_dir), DIMS, "f64"), path)
+    total = sum((F.round(F.col("vector")[i].cast("double") * 10000).cast("long") * (i + 1) for i in range(DIMS)), F.lit(0))
+    return readers.references(spark, path).groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("total"))
+
+
+@register(f"WITH {TX} SELECT CAST(tx % 20 AS INT) AS part, count(*) AS n, count(*) FILTER (is_fraud) AS denied, CAST(sum(installments) AS BIGINT) AS installments, (SELECT count(*) FROM tx) AS total FROM tx GROUP BY 1")
+def test_set_roundtrip(spark, sf_dir):
+    """All transactions as one labelled document and back; the label stands for the expected decision."""
+    path, p = shared_folder(spark, "test-set"), m.payloads(m.transactions(spark, sf_dir))
+    score_ = F.when(F.col("is_fraud"), 1.0).otherwise(0.0)
+    entries = p.select(F.col("tx").alias("position"), F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction").alias("request"), (~F.col("is_fraud")).alias("expected_approved"), score_.alias("expected_fraud_score"))
+    sinks.write_test_set(entries, evaluate.dataset_stats(entries), "0" * 64, path)
+    back, stats = readers.test_set(spark, path)
+    part = F.substring_index("request.id", "-", -1).cast("long") % 20
+    found = back.groupBy(part.cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("expected_approved")).alias("denied"), F.sum("request.transaction.installments").alias("installments"))
+    return found.crossJoin(F.broadcast(stats.select("total")))  # one row
+
+
+@register(f"WITH {_RUNS} SELECT event_type AS dtype, 2048 AS clusters, 2 AS nprobe, round(median(p99), 6) AS p99, CAST(round(median(tp)) AS BIGINT) AS tp, CAST(round(median(fn)) AS BIGINT) AS fn, round(median(final_score), 6) AS final_score, bool_or(p99_cut) AS p99_cut, bool_or(detection_cut) AS detection_cut FROM t GROUP BY 1")
+def aggregate_roundtrip(spark, sf_dir):
+    """A document for each configuration written and read back."""
+    path = shared_folder(spark, "aggregates")
+    runs = _scored_runs(spark, sf_dir).select("*", F.col("event_type").alias("dtype"), F.lit(2048).alias("clusters"), F.lit(2).alias("nprobe"))
+    sinks.write_aggregates(evaluate.aggregate_documents(runs), path)
+    r = lambda c: F.round(c, 6).alias(c)
+    return readers.run_results(spark, path).select("dtype", "clusters", "nprobe", r("p99"), "tp", "fn", r("final_score"), "p99_cut", "detection_cut")
 
 
 # ---- rows only -----------------------------------------------------------------------------------
@@ -465,41 +516,40 @@ def generate_references(spark, sf_dir):
     return generate.references(spark, n)
 
 
+@register("SELECT count(*) AS n, CAST(true AS BOOLEAN) AS in_range, CAST(true AS BOOLEAN) AS labelled, CAST(true AS BOOLEAN) AS sentinels FROM orders")
+def generated_profiles(spark, sf_dir):
+    """Stated ranges and shares of the generated references: features, labels (0.9 r + 0.05 r), vectors without history."""
+    refs = generate_references(spark, sf_dir)
+    inside = F.forall(F.transform("vector", lambda v, i: v.between(0, 1) | (v == -1) & i.isin(5, 6)), lambda x: x)
+    none = F.col("vector")[5] == -1
+    near = lambda c, share: F.abs(F.avg(c.cast("double")) - share) < 0.05
+    return refs.agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside).alias("in_range"), near(F.col("is_fraud"), 0.285).alias("labelled"), (F.bool_and(none == (F.col("vector")[6] == -1)) & near(none, 0.2)).alias("sentinels"))
+
+
 @register()
 def generate_labelled(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
     return generate.labelled(generate.references(spark, n), generate.payloads(spark, n, 0.47, 4141))
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    """A new path that all executors share; it goes when the driver's JVM ends."""
-    import uuid
-
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{root}/veldspar-{label}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 @register(f"WITH {_vectors('tx', 'i16')} SELECT ref_id, is_fraud FROM r")
 def index_roundtrip(spark, sf_dir):
     """Build, write, read: every record comes back."""
-    path = _folder(spark, "index")
-    built = index.build(m.transaction_vectors(spark, sf_dir).persist(), DIMS, "i16", iterations=3)
-    index.write(built, path, files=8)
+    path = shared_folder(spark, "index")
+    built = index.build(written(m.transaction_vectors(spark, sf_dir), "vectors"), DIMS, "i16", iterations=3)
+    index.write(built, path)
     return index.read(spark, path).records.select("ref_id", "is_fraud")
 
 
-@register()
+@register(f"WITH {_scores('tx', 'i16')} SELECT 'tx-' || query_id AS id, CAST(NULL AS VARCHAR) AS reject, fraud_count, fraud_score, approved, {_BODY} AS body FROM d")
 def stream_score(spark, sf_dir):
     """Transactions as JSON files through the streaming scorer."""
     from ..streaming import scorer
 
-    path = _folder(spark, "stream")
+    path = shared_folder(spark, "stream")
     tx = m.payloads(m.transactions(spark, sf_dir)).where("tx % 20 = 0")
     tx.select(F.to_json(F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction")).alias("value")).repartition(2).write.text(f"{path}/in")
-    built = index.build(m.transaction_vectors(spark, sf_dir).persist(), DIMS, "i16", iterations=3)
-    built.records = built.records.persist()
+    built = index.build(written(m.transaction_vectors(spark, sf_dir), "vectors"), DIMS, "i16", iterations=3)
+    built.records = written(built.records, "records")
     scorer.start(scorer.text_source(spark, f"{path}/in", 8), built, f"{path}/out", f"{path}/state", once=True).awaitTermination()
     return spark.read.parquet(f"{path}/out").select("id", "reject", "fraud_count", "fraud_score", "approved", "body")

@@ -23,6 +23,7 @@ RANGES = {
 }
 LEGIT_MCC, FRAUD_MCC = ("5411", "5812", "5912", "5311"), ("7995", "7801", "7802")
 FIRST_DAY, DAYS, NO_HISTORY = "2026-03-10", 18, 0.2
+RANDOM_DATES, RANDOM_BACK = ("2026-03-01", "2030-12-28"), 3650
 
 
 def uniform(field: str, seed: int) -> Column:
@@ -30,8 +31,11 @@ def uniform(field: str, seed: int) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(field)), F.lit(1 << 52)) / float(1 << 52)
 
 
-def payloads(spark: SparkSession, n: int, fraud_ratio: float = 0.3, seed: int = 42, parts: int | None = None) -> DataFrame:
-    """row, profile (0 legit, 1 fraud, 2 borderline), coin and the payload's columns."""
+def payloads(spark: SparkSession, n: int, fraud_ratio: float = 0.3, seed: int = 42, parts: int | None = None, random_dates: bool = False) -> DataFrame:
+    """row, profile (0 legit, 1 fraud, 2 borderline), coin and the payload's columns.
+
+    random_dates: payloads fall on any day of RANDOM_DATES, and a last transaction lies up to RANDOM_BACK days back, to the second.
+    """
     u = lambda f: uniform(f, seed)
     by = lambda values: F.when(F.col("profile") == 0, values[0]).when(F.col("profile") == 1, values[1]).otherwise(values[2])
     real = lambda f: F.round(by([a + (b - a) * u(f) for a, b in RANGES[f]]), 2)
@@ -42,13 +46,15 @@ def payloads(spark: SparkSession, n: int, fraud_ratio: float = 0.3, seed: int =
     rows = rows.withColumn("profile", F.when(u("profile") < 1 - fraud_ratio, 0).when(u("profile") < 1 - 0.1 * fraud_ratio, 1).otherwise(2)).withColumn("coin", u("coin") < 0.5)
     rows = rows.withColumn("amount", real("amount")).withColumn("known", F.slice(F.array(*[shop(1, 20, f"known{i}") for i in range(5)]), 1, F.floor(2 + 4 * u("n_known")).cast("int")))
     known = F.element_at("known", F.floor(u("merchant") * F.size("known")).cast("int") + 1)
-    rows = rows.withColumn("at", F.expr(f"timestamp'{FIRST_DAY} 00:00:00'") + F.make_dt_interval(F.floor(DAYS * u("day")).cast("int"), whole("hour"), F.floor(60 * u("minute")).cast("int"), F.floor(60 * u("second"))))
+    first, days = (RANDOM_DATES[0], F.datediff(F.lit(RANDOM_DATES[1]).cast("date"), F.lit(RANDOM_DATES[0]).cast("date")) + 1) if random_dates else (FIRST_DAY, F.lit(DAYS))
+    rows = rows.withColumn("at", F.expr(f"timestamp'{first} 00:00:00'") + F.make_dt_interval(F.floor(days * u("day")).cast("int"), whole("hour"), F.floor(60 * u("minute")).cast("int"), F.floor(60 * u("second"))))
     rows = rows.withColumn("online", u("online") < by(RANGES["online"]))
-    last = F.col("at") - F.make_dt_interval(F.lit(0), F.lit(0), whole("minutes"))
+    back = F.make_dt_interval(F.lit(0), F.lit(0), whole("minutes"))
+    last = F.col("at") - (F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.floor(1 + RANDOM_BACK * 86_400 * u("back"))) if random_dates else back)
     stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     average = F.round(F.when(F.col("profile") == 0, 2 * F.col("amount")).otherwise(by([F.lit(0.0)] + [a + (b - a) * u("average") for a, b in RANGES["average"][1:]])), 2)
     return rows.select(
-        F.col("id").alias("row"), "profile", "coin", F.concat(F.lit("tx-"), F.abs(F.hash("id", F.lit(seed))).cast("string")).alias("id"),
+        F.col("id").alias("row"), "profile", "coin", F.concat(F.lit("tx-"), F.lit(f"{seed}-"), F.col("id").cast("string")).alias("id"),
         F.struct("amount", whole("installments").alias("installments"), stamp(F.col("at")).alias("requested_at")).alias("transaction"),
         F.struct(average.alias("avg_amount"), whole("tx_count").alias("tx_count_24h"), F.col("known").alias("known_merchants")).alias("customer"),
         F.struct(
@@ -69,5 +75,5 @@ def labelled(refs: DataFrame, rows: DataFrame, dims: int = 14, space: str = "f64
     """row, expected_fraud_score, expected_approved of payloads, by exact search among refs."""
     r = refs.select("ref_id", quantized(F.col("vector"), dims, space).alias("vector"), "is_fraud")
     q = vectorize(rows, ("row",)).select(F.col("row").alias("query_id"), quantized(F.col("vector"), dims, space).alias("vector"))
-    found = score.decide(score.vote(knn.brute(r, q, dims, space, k, kernel="arrow"), q, k), threshold)
+    found = score.decide(score.vote(knn.brute(r, q, dims, space, k), q, k), threshold)
     return found.select(F.col("query_id").alias("row"), F.col("fraud_score").alias("expected_fraud_score"), F.col("approved").alias("expected_approved"))

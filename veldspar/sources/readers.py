@@ -35,10 +35,10 @@ def bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "body")
 
 
-def split_array(texts: DataFrame, column: str = "body") -> DataFrame:
-    """The objects of texts that are JSON arrays, each as a text of its own, in order: position, object."""
+def split_array(texts: DataFrame, column: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The objects of texts that are JSON arrays, each as a text of its own, in order: kept columns, position, object."""
     objects = F.from_json(column, "array<variant>")
-    return texts.select(F.posexplode(objects).alias("position", "__v")).select("position", F.to_json("__v").alias("object"))
+    return texts.select(*keep, F.posexplode(objects).alias("position", "__v")).select(*keep, "position", F.to_json("__v").alias("object"))
 
 
 def test_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -69,5 +69,11 @@ def run_results(spark: SparkSession, root: str) -> DataFrame:
 
 
 def checksum(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a file, read by Spark."""
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    """SHA-256 of a file of any size, read as a stream through the file system that path is on."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()

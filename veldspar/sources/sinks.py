@@ -2,20 +2,60 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_references(refs: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON lines of {vector, label}, gzipped, in order of ref_id within files."""
+    """Files that each hold one JSON array of {vector, label}, gzipped, in order of ref_id; readers.references reads them."""
     label = F.when(F.col("is_fraud"), "fraud").otherwise("legit").alias("label")
-    refs.sortWithinPartitions("ref_id").select("vector", label).write.mode(mode).option("compression", "gzip").json(path)
+    rows = refs.sortWithinPartitions("ref_id").select(F.to_json(F.struct("vector", label)).alias("value"))
+
+    def array(batches):
+        """Lines of one array: a task writes one file."""
+        before = "["
+        for b in batches:
+            lines = []
+            for text in b.column(0).to_pylist():
+                lines.append(before + text)
+                before = ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": pa.array(["[]" if before == "[" else "]"])})
+
+    rows.mapInArrow(array, "value string").write.mode(mode).option("compression", "gzip").text(path)
 
 
 def write_test_set(entries: DataFrame, stats: DataFrame, checksum: str, path: str, mode: str = "errorifexists") -> None:
-    """Entries as JSON lines, whatever their number, and statistics with the references' checksum as one line."""
-    entries.select("request", "expected_approved", "expected_fraud_score").write.mode(mode).json(f"{path}/entries")
-    stats.select(F.lit(checksum).alias("references_checksum_sha256"), F.struct(*stats.columns).alias("stats")).coalesce(1).write.mode(mode).json(f"{path}/stats")
+    """One JSON document of checksum, statistics and entries, as readers.test_set reads it. entries: request,
+    expected_approved, expected_fraud_score, and position where their order matters; stats: one row.
+
+    As it is one document, one task writes it, line by line; nothing is gathered in memory but a sort that spills.
+    """
+    order = [F.lit(1).alias("part"), *([F.col("position").cast("long").alias("at")] if "position" in entries.columns else [F.monotonically_increasing_id().alias("at")])]
+    body = entries.select(*order, F.to_json(F.struct("request", "expected_approved", "expected_fraud_score"), {"ignoreNullFields": "false"}).alias("value"))
+    head = stats.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), F.to_json(F.struct(*stats.columns)).alias("value"))
+
+    def document(batches):
+        opened = entered = False
+        for b in batches:
+            lines = []
+            for part, text in zip(b.column("part").to_pylist(), b.column("value").to_pylist(), strict=True):
+                if part == 0:
+                    opened = True
+                    lines.append(f'{{"references_checksum_sha256": {json.dumps(checksum)}, "stats": {text}, "entries": [')
+                else:
+                    lines.append(f",{text}" if entered else text)
+                    entered = True
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        if not opened:
+            raise ValueError("the statistics have no row")
+        yield pa.RecordBatch.from_pydict({"value": pa.array(["]}"])})
+
+    rows = head.unionByName(body).repartition(1).sortWithinPartitions("part", "at")
+    rows.mapInArrow(document, "value string").write.mode(mode).text(path)
 
 
 def write_results(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -23,5 +63,21 @@ def write_results(documents: DataFrame, path: str, mode: str = "errorifexists")
     documents.select("json").write.mode(mode).text(path)
 
 
+def write_aggregates(documents: DataFrame, root: str) -> None:
+    """dtype, clusters, nprobe, json (of evaluate.aggregate_documents) as <dtype>_K<clusters>_nprobe<n>/aggregate.json.
+
+    A configuration is one row and one file, written through the file system that root is on.
+    """
+    spark = documents.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for r in documents.select("dtype", "clusters", "nprobe", "json").toLocalIterator():
+        at = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{r.dtype}_K{r.clusters}_nprobe{r.nprobe}/aggregate.json")
+        out = at.getFileSystem(conf).create(at, True)
+        try:
+            out.write(bytearray(r.json.encode()))
+        finally:
+            out.close()
+
+
 def write_responses(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
     table.coalesce(1).orderBy("fraud_count").write.mode(mode).json(path)  # k + 1 rows

@@ -21,7 +21,7 @@ from ..operators.index import Index
 def score_bodies(bodies: DataFrame, index: Index, config: EngineConfig | None = None) -> DataFrame:
     """request, id, reject, fraud_count, fraud_score, approved, body of a batch: request and body (JSON)."""
     config = config or EngineConfig()
-    parsed = parse(bodies.select("request", "body")).persist()
+    parsed = parse(bodies.select("request", "body"))
     good = vectorize(parsed.where("reject is null"), ("request",))
     queries = good.select(F.col("request").alias("query_id"), quantized(F.col("vector"), index.dims, index.space).alias("vector"))
     answers = score.response(score.decide(score.vote(knn.pruned(index, queries, config.k, config.nprobe), queries, config.k), config.threshold))
@@ -41,8 +41,10 @@ def start(bodies: DataFrame, index: Index, out: str, checkpoint: str, config: En
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("request", F.monotonically_increasing_id()).persist()
-        score_bodies(rows, index, config).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        rows.unpersist()
+        try:
+            score_bodies(rows, index, config).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            rows.unpersist()
 
     writer = bodies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
