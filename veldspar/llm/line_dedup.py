@@ -39,6 +39,8 @@ from .common import durable, enter, mix64, row_key, scratch, unused
 MIN_CHARS, MIN_WORDS, SEGMENTS = 20, 12, 8
 #: The two kinds of symbols.
 POINTS, WORDS = 0, 1
+#: Keys that a task holds before it sends them on.
+HELD = 200_000
 #: Repeated rows are numbered over so many partitions for each.
 SALTS = 64
 
@@ -47,8 +49,7 @@ def trimmed(line: str) -> str:
     return line.strip(" \t\r\n\x0b\x0c")
 
 
-def digest(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+_hash = xxhash.xxh3_64_intdigest
 
 
 def words(line: str) -> list[bytes]:
@@ -57,7 +58,7 @@ def words(line: str) -> list[bytes]:
 
 def symbols(line: str, unit: int) -> np.ndarray:
     if unit == WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(w) for w in words(line)], np.uint64)
+        return np.array([_hash(w) for w in words(line)], np.uint64)
     return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
@@ -67,14 +68,22 @@ def units(line: str, min_chars: int, min_words: int) -> list[int]:
 
 
 def halves(line: str, min_chars: int, min_words: int) -> set[int]:
-    """Hashes of which two different lines within one edit share one. Each line counts as the shorter and as the longer of a pair."""
-    out = set()
-    if (n := len(line)) >= min_chars:
+    """Hashes of which two different lines within one edit share one, the last bit telling the kind of symbols.
+
+    Each line counts as the shorter and as the longer of a pair.
+    """
+    out: set[int] = set()
+    n, data = len(line), line.encode("utf-8", "surrogatepass")
+    if n >= min_chars:
         a, b = n // 2, (n - 1) // 2
-        out |= {digest("<" + line[:a]), digest("<" + line[:b]), digest(">" + line[a:]), digest(">" + line[b + 1 :])}
-    if n >= 2 * min_words - 1 and (n := len(w := words(line))) >= min_words:
+        if len(data) == n:
+            parts = data[:a], data[:b], data[a:], data[b + 1 :]
+        else:
+            parts = tuple(x.encode("utf-8", "surrogatepass") for x in (line[:a], line[:b], line[a:], line[b + 1 :]))
+        out |= {(_hash(x, k >> 1) >> 1 << 1) - (1 << 63) for k, x in enumerate(parts)}
+    if n >= 2 * min_words - 1 and (n := len(w := data.split())) >= min_words:
         a, b = n // 2, (n - 1) // 2
-        out |= {xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in (b"[ " + b" ".join(w[:a]), b"[ " + b" ".join(w[:b]), b"] " + b" ".join(w[a:]), b"] " + b" ".join(w[b + 1 :]))}
+        out |= {(_hash(b" ".join(x), 2 + (k >> 1)) | 1) - (1 << 63) for k, x in enumerate((w[:a], w[:b], w[a:], w[b + 1 :]))}
     return out
 
 
@@ -170,7 +179,7 @@ def _same_row(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """row, id, line, text of the wanted (row, id, lines)."""
+    """place, text, unit of the wanted (row, id, lines); lines: twice a line's number, and 1 more for words."""
 
     def run(batches):
         enter("line_dedup")
@@ -178,47 +187,55 @@ def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
             out = []
             for row, i, text, lines in zip(*(b.column(c).to_pylist() for c in ("row", "id", "text", "lines")), strict=True):
                 own = text.split("\n")
-                out += [(row, i, n, trimmed(own[n])) for n in lines]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], b.schema.field("id").type), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.string())], ["row", "id", "line", "text"])
+                out += [(row, i, n >> 1, trimmed(own[n >> 1]), n & 1) for n in lines]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), b.schema.field("id").type, pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["row", "id", "line", "text", "unit"])
 
-    return _same_row(src, wanted).select("row", "id", "text", "lines").mapInArrow(run, f"row long, id {src.schema['id'].dataType.simpleString()}, line int, text string")
+    found = _same_row(src, wanted).select("row", "id", "text", "lines").mapInArrow(run, f"row long, id {src.schema['id'].dataType.simpleString()}, line int, text string, unit int")
+    return found.select(F.struct("id", "row", "line").alias("place"), "text", "unit").dropDuplicates(["place", "unit"])
 
 
-def _masks(lines: DataFrame, min_chars: int, min_words: int) -> DataFrame:
-    """place, k (unit, and index into ``segments``), mask."""
+def _masks(lines: DataFrame) -> DataFrame:
+    """place, unit, k (index into ``segments``), mask."""
 
     def run(batches):
         enter("line_dedup")
         for b in batches:
-            own, ks, found = [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                for unit in units(text, min_chars, min_words):
-                    own.append(np.full(2 * SEGMENTS, i))
-                    ks.append(np.arange(2 * SEGMENTS, dtype=np.int32) + unit * 2 * SEGMENTS)
-                    found.append(mix64(masks(symbols(text, unit)) + np.uint64(unit)))
-            if own:
-                yield pa.RecordBatch.from_arrays([b.column("place").take(pa.array(np.concatenate(own))), pa.array(np.concatenate(ks)), pa.array(np.concatenate(found).view(np.int64))], ["place", "k", "mask"])
+            if len(b):
+                unit = np.array(b.column("unit").to_pylist(), np.int32)
+                found = np.concatenate([mix64(masks(symbols(t, u)) + np.uint64(u)) for t, u in zip(b.column("text").to_pylist(), unit.tolist(), strict=True)])
+                own = np.repeat(np.arange(len(b)), 2 * SEGMENTS)
+                k = np.tile(np.arange(2 * SEGMENTS, dtype=np.int32), len(b))
+                yield pa.RecordBatch.from_arrays([b.column("place").take(pa.array(own)), pa.array(unit[own]), pa.array(k), pa.array(found.view(np.int64))], ["place", "unit", "k", "mask"])
 
-    return lines.select("place", "text").mapInArrow(run, f"place {lines.schema['place'].dataType.simpleString()}, k int, mask long")
+    return lines.select("place", "text", "unit").mapInArrow(run, f"place {lines.schema['place'].dataType.simpleString()}, unit int, k int, mask long")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """place, kind (of a unit 0: deletion with its place, 1: deletion, 2: the line itself), key. lines have shared."""
+    """place, kind (of a unit 0: deletion with its place, 1: deletion, 2: the line itself), key. lines have unit and shared."""
 
     def run(batches):
         enter("line_dedup")
         for b in batches:
-            for i, (text, shared) in enumerate(zip(b.column("text").to_pylist(), b.column("shared").to_pylist(), strict=True)):
-                for unit in (POINTS, WORDS):
-                    own = [k % (2 * SEGMENTS) for k in shared if k // (2 * SEGMENTS) == unit]
-                    if own:
-                        parts = variants(symbols(text, unit), own)
-                        keys = mix64(np.concatenate(parts) + np.uint64(unit))
-                        kind = np.repeat(np.array([0, 1, 2], np.int8), [len(p) for p in parts])
-                        yield pa.RecordBatch.from_arrays([b.column("place").take(pa.array(np.full(len(keys), i))), pa.array(kind), pa.array(keys.view(np.int64))], ["place", "kind", "key"])
+            held, n = [], 0
+
+            def flush():
+                at, kinds, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+                return pa.RecordBatch.from_arrays([b.column("place").take(pa.array(at)), pa.array(kinds), pa.array(keys.view(np.int64))], ["place", "kind", "key"])  # noqa: B023
+
+            for i, (text, unit, shared) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "unit", "shared")), strict=True)):
+                parts = variants(symbols(text, unit), shared)
+                keys = mix64(np.concatenate(parts) + np.uint64(unit))
+                held.append((np.full(len(keys), i), np.repeat(np.array([0, 1, 2], np.int8), [len(p) for p in parts]), keys))
+                n += len(keys)
+                if n > HELD:
+                    yield flush()
+                    held, n = [], 0
+            if held:
+                yield flush()
 
-    return lines.select("place", "text", "shared").mapInArrow(run, f"place {lines.schema['place'].dataType.simpleString()}, kind byte, key long")
+    return lines.select("place", "text", "unit", "shared").mapInArrow(run, f"place {lines.schema['place'].dataType.simpleString()}, kind byte, key long")
 
 
 def _verified(pairs: DataFrame, min_chars: int, min_words: int) -> DataFrame:
@@ -241,24 +258,23 @@ def _verified(pairs: DataFrame, min_chars: int, min_words: int) -> DataFrame:
 
 def _near(src: DataFrame, firsts: DataFrame, min_chars: int, min_words: int, small: int) -> DataFrame:
     """Places (row, id, line) of first lines that have an earlier different line within one edit."""
-    place = F.struct("id", "row", "line").alias("place")
     each = firsts.select("h1", "row", "id", "line", F.explode("half").alias("half"))
     shared = each.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b")
-    meeting = each.join(shared, "half", "left_semi").select("row", "id", "line")
+    meeting = each.join(shared, "half", "left_semi").select("row", "id", (2 * F.col("line") + F.col("half").bitwiseAND(F.lit(1)).cast("int")).alias("line"))
     wanted = durable(meeting.groupBy("row", "id").agg(F.collect_set("line").alias("lines")), "lines-wanted")
     n = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
     wanted = F.broadcast(wanted) if 64 * n[0] + 4 * n[1] <= small else wanted
-    lines = durable(_texts(src, wanted).select(place, "text").dropDuplicates(["place"]), "lines-text")
-    each = _masks(lines, min_chars, min_words)
+    lines = durable(_texts(src, wanted), "lines-text")
+    each = durable(_masks(lines), "line-masks")
     shared = each.groupBy("mask").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("mask")
-    shared = each.join(shared, "mask", "left_semi").groupBy("place").agg(F.collect_set("k").alias("shared"))
-    lines = durable(lines.join(shared, "place"), "lines-close")
+    shared = each.join(shared, "mask", "left_semi").groupBy("place", "unit").agg(F.collect_set("k").alias("shared"))
+    lines = durable(lines.join(shared, ["place", "unit"]), "lines-close")
     keys = durable(_variants(lines), "line-variants")
     least = lambda k: F.min(F.when(F.col("kind") == k, F.col("place"))).alias(f"m{k}")
     met = keys.groupBy("key").agg(least(0), least(1), least(2), F.count(F.lit(1)).alias("n")).where("n > 1")
     partner = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
     pairs = keys.join(met, "key").select("place", partner.alias("partner")).where("partner < place").distinct()
-    text = lines.select("place", "text")
+    text = lines.select("place", "text").dropDuplicates(["place"])
     both = pairs.join(text, "place").join(text.select(F.col("place").alias("partner"), F.col("text").alias("other")), "partner")
     return _verified(both, min_chars, min_words).select("place.row", "place.id", "place.line").distinct()
 
