@@ -13,8 +13,8 @@ from ..functions.quantize import quantized, rescale_centroid, space_of
 from . import kmeans
 
 VERSION = 2
-#: Folders of records, about.
-SHARDS = 256
+#: Rows that the fit takes for each cluster, and rows for each folder of records.
+PER_CLUSTER, PER_SHARD = 64, 100_000
 
 
 @dataclass
@@ -34,7 +34,7 @@ class Index:
     def table(self) -> pa.Table:
         """The clusters, at most MAX_CLUSTERS, by cluster_id; fetched once."""
         if not self._table:
-            self._table.append(self.clusters.select("cluster_id", "centroid", "n", "low", "high").toArrow().sort_by("cluster_id").combine_chunks())
+            self._table.append(self.clusters.select("cluster_id", "centroid", "n", "low", "high", "first").toArrow().sort_by("cluster_id").combine_chunks())
         return self._table[0]
 
     def size(self) -> int:
@@ -76,13 +76,22 @@ def default_clusters(n: int) -> int:
     return max(1, min(round(n**0.5), n, kmeans.MAX_CLUSTERS))
 
 
-def build(refs: DataFrame, dims: int, space: str = "i16", clusters: int | None = None, iterations: int = 20, seed: int = 0, centroids: list[list[int]] | None = None) -> Index:
-    """Index of refs (ref_id, vector array<float>, is_fraud). Clusters are found on the i8 scale, whatever the space; given centroids are used as they are."""
+def build(refs: DataFrame, dims: int, space: str = "i16", clusters: int | None = None, iterations: int = 20, seed: int = 0, centroids: list[list[int]] | None = None, per_cluster: int = PER_CLUSTER) -> Index:
+    """Index of refs (ref_id, vector array<float>, is_fraud): every row is in it.
+
+    Clusters are found on the i8 scale, whatever the space, and fitted to a sample by hash of about per_cluster rows for
+    each cluster (all rows where they are fewer), as where they lie changes the work of a search and not what is right;
+    given centroids are used as they are.
+    """
     if not space_of(space).integer:
         raise ValueError("an index is kept in i8 or i16")
     if centroids is None:
         small = refs.select("ref_id", quantized(F.col("vector"), dims, "i8").alias("vector"))
-        centroids = kmeans.fit(small, clusters or default_clusters(refs.count()), dims, iterations, seed)
+        n = refs.count()
+        k = clusters or default_clusters(n)
+        if n > k * per_cluster:
+            small = small.where(F.pmod(F.xxhash64("ref_id", F.lit(seed), F.lit("fit")), F.lit(n)) < k * per_cluster)
+        centroids = kmeans.fit(small, k, dims, iterations, seed)
     full = refs.select("ref_id", quantized(F.col("vector"), dims, "i8").alias("vector"), quantized(F.col("vector"), dims, space).alias("own"), "is_fraud")
     assigned = kmeans.assign_fast(full, centroids).select("cluster_id", "ref_id", F.col("own").alias("vector"), "is_fraud")
     table = kmeans.frame(refs.sparkSession, centroids)
@@ -91,13 +100,17 @@ def build(refs: DataFrame, dims: int, space: str = "i16", clusters: int | None =
     return Index(assigned, directory(assigned, table, dims), space, dims)
 
 
-def write(index: Index, path: str, shards: int = SHARDS, mode: str = "errorifexists") -> None:
-    """Records in a folder for each few clusters, sorted there, so that a search reads the folders and row groups it needs."""
+def write(index: Index, path: str, shards: int | None = None, mode: str = "errorifexists") -> None:
+    """Records in a folder for each few clusters, sorted there, so that a search reads the folders and row groups it needs.
+
+    shards: folders, about; by default one for each PER_SHARD rows, 16 to 4,096.
+    """
     spark = index.records.sparkSession
+    shards = shards or max(16, min(4096, sum(index.table()["n"].to_pylist()) // PER_SHARD))
     per = max(1, -(-index.size() // shards))
     laid = index.records.select("cluster_id", "ref_id", "vector", "is_fraud", (F.col("cluster_id") / per).cast("int").alias("shard"))
     laid.hint("rebalance", "shard").sortWithinPartitions("shard", "cluster_id", "ref_id").write.mode(mode).partitionBy("shard").parquet(f"{path}/records")
-    index.clusters.coalesce(1).write.mode(mode).parquet(f"{path}/clusters")
+    spark.createDataFrame(index.table(), index.clusters.schema.simpleString()[7:-1]).coalesce(1).write.mode(mode).parquet(f"{path}/clusters")
     spark.createDataFrame([(VERSION, index.space, index.dims, per)], "version int, space string, dims int, per_shard int").coalesce(1).write.mode(mode).json(f"{path}/meta")
 
 

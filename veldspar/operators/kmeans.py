@@ -89,17 +89,41 @@ def moved(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("a") != F.col("b")).alias("moved"))
 
 
-def fit(points: DataFrame, k: int, dims: int, iterations: int = 20, seed: int = 0, start: list[list[int]] | None = None) -> list[list[int]]:
-    """Centroids after up to so many rounds, fewer once nothing changes. Each round is one job of k rows of sums. start: instead of ``initial``."""
-    centroids = initial(points, k, seed) if start is None else start
+def _sums(points: DataFrame, centroids: list[list[int]], dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cluster_id, n and [cluster, dimension] totals of the clusters that have points: a row for each cluster leaves a task."""
+    k = len(centroids)
+
+    def run(batches):
+        n, total = np.zeros(k, np.int64), np.zeros((k, dims))
+        for b in batches:
+            own, x = b.column("cluster_id").to_numpy(zero_copy_only=False), matrix(b.column("vector"))
+            n += np.bincount(own, minlength=k)
+            for d in range(dims if len(x) else 0):
+                total[:, d] += np.bincount(own, weights=x[:, d], minlength=k)  # whole numbers under 2**53
+        at = np.flatnonzero(n)
+        cut = pa.array(np.arange(len(at) + 1, dtype=np.int32) * dims)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.ListArray.from_arrays(cut, pa.array(total[at].astype(np.int64).ravel()))], ["cluster_id", "n", "total"])
+
+    parts = assign_fast(points, centroids).select("cluster_id", "vector").mapInArrow(run, "cluster_id int, n long, total array<long>")
+    each = parts.select("cluster_id", "n", F.posexplode("total").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).toArrow()  # k rows for each dimension
+    found, at = np.unique(each["cluster_id"].to_numpy(), return_inverse=True)
+    n, total = np.zeros(len(found), np.int64), np.zeros((len(found), dims), np.int64)
+    n[at], total[at, each["i"].to_numpy()] = each["n"].to_numpy(), each["x"].to_numpy()
+    return found, n, total
+
+
+def fit(points: DataFrame, k: int, dims: int, iterations: int = 20, seed: int = 0, start: list[list[int]] | None = None, top: int = 127) -> list[list[int]]:
+    """Centroids after up to so many rounds of ``update``, fewer once nothing changes. Each round is one job. start: instead of ``initial``."""
+    centroids = initial(points, k, seed) if start is None else [list(c) for c in start]
     if not centroids:
         return []
-    spark = points.sparkSession
     points = points.select("ref_id", "vector").persist()
     try:
         for _ in range(iterations):
-            table = frame(spark, centroids)
-            new = [list(r[1]) for r in sorted(update(assign_fast(points, centroids), table, dims).collect())]
+            found, n, total = _sums(points, centroids, dims)
+            new = [list(c) for c in centroids]
+            for c, mean in zip(found.tolist(), np.clip(np.floor(total / n[:, None] + 0.5), -top, top).astype(int).tolist(), strict=True):
+                new[c] = mean
             if new == centroids:
                 break
             centroids = new

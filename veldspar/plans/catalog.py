@@ -212,7 +212,7 @@ def knn_ties_i8(spark, sf_dir):
 
 def _tx_index(spark, sf_dir) -> tuple[index.Index, DataFrame]:
     rows = written(m.transaction_vectors(spark, sf_dir), "vectors")
-    found = index.build(rows, DIMS, "i16", iterations=8)
+    found = index.build(rows, DIMS, "i16", iterations=4)
     path = shared_folder(spark, "index")
     index.write(found, path)
     return index.read(spark, path), m.queries_of(m.in_space(rows, DIMS, "i16"))
