@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -666,6 +667,20 @@ def test_fingerprints_equal_plain_parsing(spark, tmp_path):
         assert (rows[i].near_edited, rows[i].near_next) == (plain_likeness(one, two), plain_likeness(one, three))
 
 
+def test_documents_that_share_an_id_are_in_order_of_their_hash(spark):
+    r = random.Random(12)
+    rows = [(r.choice((None, None, 7, 7, 7, *range(40))), sentence(r, r.randrange(3, 9)) if r.random() < 0.9 else None) for _ in range(300)]
+    order = sorted(set(rows), key=lambda x: (-(1 << 63) if x[0] is None else x[0], xxhash.xxh64_intdigest((x[1] or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((x[1] or "").encode(), 42) >> 63) if x[1] is not None else 42))
+    df = docs(spark, [t for _, t in order], [i for i, _ in order]).withColumns({c: F.lit(c) for c in ("k", "h", "range", "tail", "fingerprint")})
+    got = Counter((x.doc_id, x.n_chars, x.edited_sha256) for x in fingerprint.compare_with_next(df).collect())
+    want = Counter()
+    for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        want[i, len(t or ""), hashlib.sha256(fingerprint.edited(t or "", after or "").encode()).hexdigest()] += 1
+    assert got == want
+    ids, steps = fingerprint.range_cuts([1, 5, 5, 5, 9])
+    assert ids.tolist() == [1, 5, 5, 5, 9] and fingerprint.range_of((ids, steps), np.array([0, 1, 2, 5, 5, 5, 6, 9, 10]), np.array([0, 9, 0, -(1 << 63), 0, (1 << 63) - 1, 0, 0, 0])).tolist() == [0, 0, 1, 1, 2, 3, 4, 4, 5]
+
+
 def test_fingerprints(spark, tmp_path):
     texts = corpus(5, 30)
     rows = {x.doc_id: x for x in queries.op10_fingerprint(spark, table_dir(tmp_path, spark, texts)).collect()}

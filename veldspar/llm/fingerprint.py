@@ -15,8 +15,7 @@ from their ``keep`` smallest.
 Defined results: null text is empty; an empty text has an empty fingerprint; two empty fingerprints
 are alike (1.0), an empty and another not (0.0); equal texts have equal fingerprints; texts of any length are
 read whole; an empty table gives an empty one; columns besides id and text are ignored. For ``neighbours`` ids are
-whole numbers or cast to them (others raise): null ids come first, equal ids are ordered by a hash of the text, and
-of several documents with the first id of a range one follows the range before.
+whole numbers or cast to them (others raise): null ids come first, equal ids are ordered by a hash of the text.
 """
 
 from __future__ import annotations
@@ -154,37 +153,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 LOWEST = -(1 << 63)  # the place of null ids in the order
 
 
+def range_cuts(found: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts by id and, within an id that several of the found quantiles name, by even steps of a hash."""
+    ids, times = np.unique(np.array(found, np.int64), return_counts=True)
+    steps = [(-(1 << 63)) + (1 << 64) * (j + 1) // m - 1 for m in times.tolist() for j in range(m)]
+    return np.repeat(ids, times), np.array(steps, np.int64)
+
+
+def range_of(cuts: tuple[np.ndarray, np.ndarray], k: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How many cuts stand before each (id, hash)."""
+    ids, steps = cuts
+    out = np.searchsorted(ids, k, "left")
+    same = np.flatnonzero(np.searchsorted(ids, k, "right") > out)
+    for a in np.unique(out[same]).tolist():
+        own = same[out[same] == a]
+        b = np.searchsorted(ids, ids[a], "right")
+        out[own] = a + np.searchsorted(steps[a:b], h[own], "left")
+    return out
+
+
 def neighbours(docs: DataFrame, run, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Give run(batches) all documents by ascending id, each range of ids with the document that follows it.
+    """Give run(batches) all documents by ascending id (and hash of the text), each range of them with the document that follows it.
 
     The batches have range, tail, doc_id, text, by range, then tail, then id; a row with tail = 1 is the
     document after the range's last (after the very last range, the very first document) and belongs to
-    another range. Texts are shuffled once: the ranges' bounds and first ids come from the ids alone.
+    another range. Texts are shuffled once: the ranges' bounds and first documents come from ids and hashes alone.
+    An id that many documents share, or null, is cut into several ranges.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    ids = docs.select(key.alias("k"))
-    cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
+    key, name = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("k"), F.xxhash64(F.col(text_col)).alias("h")
+    ids = docs.select(key, name)
+    cuts = range_cuts(ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or [])
 
     @F.pandas_udf("int")
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(np.int64), "left").astype(np.int32))
+    def at(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(range_of(cuts, k.to_numpy(np.int64), h.to_numpy(np.int64)).astype(np.int32))
 
-    firsts = {r: k for r, k in ids.groupBy(range_of("k").alias("r")).agg(F.min("k").alias("k")).collect()}  # n rows at most
+    firsts = {r: tuple(x) for r, x in ids.groupBy(at("k", "h").alias("r")).agg(F.min(F.struct("k", "h"))).collect()}  # n rows at most
     order = sorted(firsts)
     follows = {firsts[r]: order[i - 1] for i, r in enumerate(order)}
 
     @F.pandas_udf("array<struct<range:int,tail:int>>")
-    def targets(k: pd.Series) -> pd.Series:
-        ranges = np.searchsorted(cuts, k.to_numpy(np.int64), "left")
-        return pd.Series([[{"range": int(r), "tail": 0}] + ([{"range": follows[x], "tail": 1}] if x in follows else []) for x, r in zip(k.tolist(), ranges, strict=True)])
+    def targets(k: pd.Series, h: pd.Series) -> pd.Series:
+        ranges = range_of(cuts, k.to_numpy(np.int64), h.to_numpy(np.int64)).tolist()
+        return pd.Series([[{"range": r, "tail": 0}] + ([{"range": follows[x], "tail": 1}] if x in follows else []) for x, r in zip(zip(k.tolist(), h.tolist(), strict=True), ranges, strict=True)])
 
-    rows = docs.select(key.alias("k"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.select(F.explode(targets("k")).alias("t"), "*").select("t.range", "t.tail", "k", "doc_id", "text")
+    rows = docs.select(key, name, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    dealt = rows.select(F.explode(targets("k", "h")).alias("t"), "*").select("t.range", "t.tail", "k", "h", "doc_id", "text")
     dealt = dealt.repartitionById(max(1, len(order) and order[-1] + 1), F.col("range"))
-    return dealt.sortWithinPartitions("range", "tail", "k", F.xxhash64("text")).drop("k").mapInArrow(run, schema)
+    return dealt.sortWithinPartitions("range", "tail", "k", "h").drop("k", "h").mapInArrow(run, schema)
 
 
 def edited(text: str, after: str) -> str:
