@@ -175,9 +175,9 @@ def identify(docs: DataFrame, prototypes: dict, id_col: str = "doc_id", text_col
     return src.mapInArrow(run, f"{fields}, lang_pred string, score double, letters long")
 
 
-#: Letters from which a score tells anything, and (letters, least score) between which the least score grows. Of the
-#: 10,000 documents of a corpus in learned languages those held out scored 0.10 and more from 20 letters on and 0.23 from
-#: 200 on; long texts of other languages of the same script some 0.05 to 0.14.
+#: Letters from which a score tells anything, and (letters, least score) between which the least score grows. 10,000
+#: documents in learned languages scored 0.10 and more from 20 letters on and 0.23 from 200 on; long texts of other
+#: languages of the same script some 0.05 to 0.14.
 TOO_SHORT, LEAST = 20, ((50, 0.05), (200, 0.15))
 
 
