@@ -101,6 +101,8 @@ def _source(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, i
 def _searched(spark: SparkSession, sf_dir: str, source: str, space: str, **settings) -> DataFrame:
     rows, dims = _source(spark, sf_dir, source)
     refs = m.in_space(rows, dims, space)
+    if source == "tx":  # derived by joins and windows: once for the queries and the references
+        refs = written(refs, "vectors")
     return knn.brute(refs, m.queries_of(refs), dims, space, K, **settings)
 
 
