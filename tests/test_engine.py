@@ -427,3 +427,33 @@ def test_random_top_k(spark):
         for x in knn.brute(refs, q, 3, "i8", 7, kernel=kernel).orderBy("query_id", "rank").collect():
             got.setdefault(x.query_id, []).append(x.ref_id)
         assert got == {i: exact(rows, v, 7) for i, v in enumerate(qs)}
+
+
+@pytest.mark.parametrize("space", ["i8", "i16", "f32", "f64"])
+def test_cells_equal_brute(spark, space, monkeypatch):
+    from veldspar.operators import knn_cells
+
+    monkeypatch.setattr(knn_cells, "CELL", 100)  # 15 cells
+    refs = generate.references(spark, 1500)
+    full = refs.select("ref_id", quantize.quantized(F.col("vector"), 14, space).alias("vector"), "is_fraud").repartition(3).persist()
+    q = generate.references(spark, 200, 0.47, 9).select(F.col("ref_id").alias("query_id"), quantize.quantized(F.col("vector"), 14, space).alias("vector")).persist()
+    want = sorted(map(tuple, knn.brute(full, q, 14, space).collect()))
+    assert len(want) == 1000 and want == sorted(map(tuple, knn.cells(full, q, 14, space).collect()))
+    few = full.where("ref_id < 3")
+    assert sorted(map(tuple, knn.brute(few, q, 14, space).collect())) == sorted(map(tuple, knn.search(few, q, "cells", dims=14, space=space).collect()))
+    assert knn.cells(full, q.limit(0), 14, space).count() == 0 and knn.cells(full.limit(0), q, 14, space).count() == 0
+
+
+def test_cells_meet_few_references(monkeypatch):
+    import numpy as np
+
+    from veldspar.operators import knn_cells
+
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.integers(0, 10_000, (20_000, 4)), 10_000 * r.integers(0, 2, (20_000, 10))], axis=1).astype(np.int16)
+    cell, pairs, distances = knn_cells.Cell(x, np.arange(len(x)), np.zeros(len(x), bool), True), [], knn_cells.Cell._distances
+    monkeypatch.setattr(knn_cells.Cell, "_distances", lambda self, q, leaf: pairs.append(out := distances(self, q, leaf)) or out)
+    query, dist, ref, _ = cell.search(x[:500], 5).settle()
+    assert sum(p.size for p in pairs) < 0.1 * 500 * len(x) and len(query) == 2500
+    true = np.sort(((x[:500, None].astype(np.int64) - x[None]) ** 2).sum(axis=2), axis=1)[:, :5]
+    assert (dist.reshape(500, 5) == true).all() and (ref.reshape(500, 5)[:, 0] == np.arange(500)).all()
