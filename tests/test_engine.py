@@ -5,6 +5,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -445,8 +446,6 @@ def test_cells_equal_brute(spark, space, monkeypatch):
 
 
 def test_cells_meet_few_references(monkeypatch):
-    import numpy as np
-
     from veldspar.operators import knn_cells
 
     r = np.random.default_rng(5)
@@ -457,3 +456,17 @@ def test_cells_meet_few_references(monkeypatch):
     assert sum(p.size for p in pairs) < 0.1 * 500 * len(x) and len(query) == 2500
     true = np.sort(((x[:500, None].astype(np.int64) - x[None]) ** 2).sum(axis=2), axis=1)[:, :5]
     assert (dist.reshape(500, 5) == true).all() and (ref.reshape(500, 5)[:, 0] == np.arange(500)).all()
+
+
+def test_cells_keep_the_lowest_ids_of_ties(spark, monkeypatch):
+    from veldspar.operators import knn_cells
+
+    monkeypatch.setattr(knn_cells, "CELL", 50)
+    r = random.Random(8)
+    rows = [[r.randrange(-2, 3) for _ in range(2)] for _ in range(900)] + [[0, 0]] * 600  # 25 vectors, one of them most often
+    refs = spark.createDataFrame([(i, v, i % 3 == 0) for i, v in enumerate(rows)], "ref_id long, vector array<byte>, is_fraud boolean").repartition(5)
+    q = spark.createDataFrame([(i, [r.randrange(-3, 4) for _ in range(2)]) for i in range(60)], "query_id long, vector array<byte>")
+    for k in (1, 5, 40):
+        assert sorted(map(tuple, knn.cells(refs, q, 2, "i8", k).collect())) == sorted(map(tuple, knn.brute(refs, q, 2, "i8", k).collect()))
+    x, ref, _ = knn_cells._lowest(np.array(rows, np.int8), np.arange(1500)[::-1], np.zeros(1500, bool), 5)
+    assert len(x) == 125 and sorted(ref[(x == 0).all(axis=1)].tolist()) == [0, 1, 2, 3, 4]
