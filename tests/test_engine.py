@@ -470,3 +470,19 @@ def test_cells_keep_the_lowest_ids_of_ties(spark, monkeypatch):
         assert sorted(map(tuple, knn.cells(refs, q, 2, "i8", k).collect())) == sorted(map(tuple, knn.brute(refs, q, 2, "i8", k).collect()))
     x, ref, _ = knn_cells._lowest(np.array(rows, np.int8), np.arange(1500)[::-1], np.zeros(1500, bool), 5)
     assert len(x) == 125 and sorted(ref[(x == 0).all(axis=1)].tolist()) == [0, 1, 2, 3, 4]
+
+
+def test_decisions_over_transactions_need_no_brute_force(spark, monkeypatch):
+    from veldspar.plans import catalog
+
+    monkeypatch.setattr(knn, "brute", lambda *a, **b: pytest.fail("every query against every reference"))
+    assert catalog.fraud_score(spark, "/root/testdata/sf0.001").count() == 74
+
+
+def test_labels_need_no_brute_force(spark, monkeypatch):
+    refs, rows = generate.references(spark, 300), generate.payloads(spark, 60, 0.47, 4141)
+    r = refs.select("ref_id", quantize.quantized(F.col("vector"), 14, "f64").alias("vector"), "is_fraud")
+    q = vectorize.vectorize(rows, ("row",)).select(F.col("row").alias("query_id"), quantize.quantized(F.col("vector"), 14, "f64").alias("vector"))
+    want = {x.query_id: (x.fraud_score, x.approved) for x in score.decide(score.vote(knn.brute(r, q, 14, "f64"), q)).collect()}
+    monkeypatch.setattr(knn, "brute", lambda *a, **b: pytest.fail("every query against every reference"))
+    assert want == {x.row: (x.expected_fraud_score, x.expected_approved) for x in generate.labelled(refs, rows).collect()}
