@@ -486,3 +486,15 @@ def test_labels_need_no_brute_force(spark, monkeypatch):
     want = {x.query_id: (x.fraud_score, x.approved) for x in score.decide(score.vote(knn.brute(r, q, 14, "f64"), q)).collect()}
     monkeypatch.setattr(knn, "brute", lambda *a, **b: pytest.fail("every query against every reference"))
     assert want == {x.row: (x.expected_fraud_score, x.expected_approved) for x in generate.labelled(refs, rows).collect()}
+
+
+def test_probes_of_a_sample_reach_the_recall_of_all(spark):
+    r = random.Random(6)
+    refs = spark.createDataFrame([(i, [r.uniform(-1, 1) for _ in range(6)], False) for i in range(2000)], "ref_id long, vector array<float>, is_fraud boolean")
+    found = index.build(refs, 6, "i8", clusters=40)
+    found.records = found.records.persist()
+    q = found.records.select(F.col("ref_id").alias("query_id"), "vector")
+    true = {(x.query_id, x.ref_id) for x in knn.brute(found.records, q, 6, "i8").collect()}
+    for sample in (10, 60):
+        nprobe, said = knn.probes_for(found, q, 5, 0.9, sample)
+        assert said >= 0.9 and sum((x.query_id, x.ref_id) in true for x in knn.ivf(found, q, 5, nprobe).collect()) >= 0.9 * len(true)
