@@ -498,3 +498,27 @@ def test_probes_of_a_sample_reach_the_recall_of_all(spark):
     for sample in (10, 60):
         nprobe, said = knn.probes_for(found, q, 5, 0.9, sample)
         assert said >= 0.9 and sum((x.query_id, x.ref_id) in true for x in knn.ivf(found, q, 5, nprobe).collect()) >= 0.9 * len(true)
+
+
+def test_test_sets_are_written_and_read_in_parallel(spark, tmp_path):
+    rows = generate.payloads(spark, 3000, parts=5, random_dates=True)
+    entries = rows.select((2999 - F.col("row")).alias("position"), F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction").alias("request"), F.col("coin").alias("expected_approved"), F.when(F.col("row") % 7 > 0, 0.6).alias("expected_fraud_score"))
+    path, before = str(tmp_path / "set"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    sinks.write_test_set(entries, evaluate.dataset_stats(entries), 'a"b', path)
+    (file,) = (tmp_path / "set").glob("[!._]*")
+    doc = json.loads(file.read_text())
+    assert len(doc["entries"]) == 3000 == doc["stats"]["total"] and [e["request"]["id"] for e in doc["entries"]] == [f"tx-42-{2999 - i}" for i in range(3000)]
+    want = [tuple(r) for r in entries.orderBy("position").collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        back, stats = readers.test_set(spark, path)
+        assert back.drop("position").rdd.getNumPartitions() > 1 and [tuple(r) for r in back.orderBy("position").collect()] == want
+        assert stats.first().references_checksum_sha256 == 'a"b'
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, text in (("plain", json.dumps(doc)), ("wide", json.dumps(doc, indent=1)), ("pairs", file.read_text().replace("\n,", ",", 1))):  # laid out otherwise
+        (tmp_path / name).write_text(text)
+        back, stats = readers.test_set(spark, str(tmp_path / name))
+        assert [tuple(r) for r in back.orderBy("position").collect()] == want and stats.first().total == 3000
+    with pytest.raises(FileExistsError):
+        sinks.write_test_set(entries, evaluate.dataset_stats(entries), "", path)

@@ -42,12 +42,44 @@ def split_array(texts: DataFrame, column: str = "body", keep: tuple[str, ...] =
 
 
 def test_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries: position, request, expected_approved, expected_fraud_score; stats: one row)."""
+    """(entries: position, request, expected_approved, expected_fraud_score; stats: one row).
+
+    A document with one entry a line, as sinks.write_test_set writes it, is read in parallel; any other whole.
+    """
+    laid = _lines_of_test_set(spark, path)
+    if laid:
+        return laid
     doc = spark.read.schema(TEST_SET).option("multiLine", True).json(path)
     entries = doc.select(F.posexplode("entries").alias("position", "e")).select("position", "e.*")
     return entries, doc.select("references_checksum_sha256", "stats.*")
 
 
+def _lines_of_test_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """The same of a document whose first line ends where its entries begin, with one entry on each line up to the last; None of any other."""
+    value, opening = F.col("value"), '{"request":'
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    head = F.startswith(value, F.lit('{"references_checksum_sha256": ')) & F.endswith(value, F.lit('"entries": ['))
+    entry = F.startswith(value, F.lit(opening)) | F.startswith(value, F.lit("," + opening))
+    one = entry & (F.locate(opening, value, 3) == 0) & F.endswith(value, F.lit("}"))  # in texts quotes are escaped
+    end = value == "]}"
+    blocks = lines.groupBy("file", "block").agg(F.count_if(one).alias("n"), F.count_if(head).alias("heads"), F.count_if(end).alias("ends"), F.count_if(~(one | head | end)).alias("others"), F.max(F.when(head, value)).alias("head")).collect()  # a row for each part of the input
+    if sum(b.heads for b in blocks) != 1 or sum(b.ends for b in blocks) != 1 or any(b.others for b in blocks):
+        return None
+    first, before = [], 0
+    for b in sorted(blocks, key=lambda b: (b.file, b.block)):
+        first.append((b.file, b.block, before))
+        before += b.n
+    kind = TEST_SET[TEST_SET.index("array<") + len("array<") : -1]
+    read = F.from_json(F.ltrim(value, F.lit(",")), kind, {"mode": "FAILFAST"})
+    rows = lines.where(entry).withColumn("line", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("line")) - 1
+    rows = rows.join(F.broadcast(spark.createDataFrame(first, "file string, block long, before long")), ["file", "block"])
+    entries = rows.select((F.col("before") + place).alias("position"), read.alias("e")).select("position", "e.*")
+    whole = next(b.head for b in blocks if b.head) + "]}"
+    doc = spark.createDataFrame([(whole,)], "value string").select(F.from_json("value", TEST_SET).alias("d"))
+    return entries, doc.select("d.references_checksum_sha256", "d.stats.*")
+
+
 def run_results(spark: SparkSession, root: str) -> DataFrame:
     """One row for each configuration folder <dtype>_K<clusters>_nprobe<n>: its aggregate if it has scores, else its first run, else results.json."""
     doc = spark.read.schema(RUN_RESULT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)

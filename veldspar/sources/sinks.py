@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 
 def write_references(refs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Files that each hold one JSON array of {vector, label}, gzipped, in order of ref_id; readers.references reads them."""
@@ -32,30 +34,49 @@ def write_test_set(entries: DataFrame, stats: DataFrame, checksum: str, path: st
     """One JSON document of checksum, statistics and entries, as readers.test_set reads it. entries: request,
     expected_approved, expected_fraud_score, and position where their order matters; stats: one row.
 
-    As it is one document, one task writes it, line by line; nothing is gathered in memory but a sort that spills.
+    Tasks write the entries in ranges of their order, a line each; the ranges are then joined to one file as streams,
+    each removed once it is copied. entries are read more than once.
     """
-    order = [F.lit(1).alias("part"), *([F.col("position").cast("long").alias("at")] if "position" in entries.columns else [F.monotonically_increasing_id().alias("at")])]
-    body = entries.select(*order, F.to_json(F.struct("request", "expected_approved", "expected_fraud_score"), {"ignoreNullFields": "false"}).alias("value"))
-    head = stats.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), F.to_json(F.struct(*stats.columns)).alias("value"))
-
-    def document(batches):
-        opened = entered = False
-        for b in batches:
-            lines = []
-            for part, text in zip(b.column("part").to_pylist(), b.column("value").to_pylist(), strict=True):
-                if part == 0:
-                    opened = True
-                    lines.append(f'{{"references_checksum_sha256": {json.dumps(checksum)}, "stats": {text}, "entries": [')
-                else:
-                    lines.append(f",{text}" if entered else text)
-                    entered = True
-            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
-        if not opened:
-            raise ValueError("the statistics have no row")
-        yield pa.RecordBatch.from_pydict({"value": pa.array(["]}"])})
-
-    rows = head.unionByName(body).repartition(1).sortWithinPartitions("part", "at")
-    rows.mapInArrow(document, "value string").write.mode(mode).text(path)
+    if mode not in ("errorifexists", "error", "overwrite", "ignore"):
+        raise ValueError(f"unknown mode {mode!r}; one of errorifexists, overwrite, ignore")
+    spark = entries.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if fs.exists(at):
+        if mode == "ignore":
+            return
+        if mode != "overwrite":
+            raise FileExistsError(path)
+    head = stats.select(F.to_json(F.struct(*stats.columns)).alias("value")).first()
+    if head is None:
+        raise ValueError("the statistics have no row")
+    order = F.col("position").cast("long") if "position" in entries.columns else F.monotonically_increasing_id()
+    body = entries.select(order.alias("at"), F.concat(F.lit(","), F.to_json(F.struct("request", "expected_approved", "expected_fraud_score"), {"ignoreNullFields": "false"})).alias("value"))
+    parts = shared_folder(spark, "test-set")
+    body.repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(parts)
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    own = folder.getFileSystem(conf)
+    ranges = sorted((f.getPath() for f in own.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getName())
+    if mode == "overwrite":
+        fs.delete(at, True)
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(at, "_document"), True)  # read by nobody before it is whole
+    try:
+        out.write(bytearray(f'{{"references_checksum_sha256": {json.dumps(checksum)}, "stats": {head.value}, "entries": [\n'.encode()))
+        for i, f in enumerate(ranges):
+            lines = own.open(f)
+            try:
+                if i == 0:
+                    lines.read()  # no comma before the first entry
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(lines, out, 1 << 20, False)
+            finally:
+                lines.close()
+            own.delete(f, False)
+        out.write(bytearray(b"]}\n"))
+    finally:
+        out.close()
+    own.delete(folder, True)
+    fs.rename(jvm.org.apache.hadoop.fs.Path(at, "_document"), jvm.org.apache.hadoop.fs.Path(at, "document.json"))
 
 
 def write_results(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:
