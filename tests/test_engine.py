@@ -522,3 +522,22 @@ def test_test_sets_are_written_and_read_in_parallel(spark, tmp_path):
         assert [tuple(r) for r in back.orderBy("position").collect()] == want and stats.first().total == 3000
     with pytest.raises(FileExistsError):
         sinks.write_test_set(entries, evaluate.dataset_stats(entries), "", path)
+
+
+def test_large_batches_are_scored_by_cells(spark, monkeypatch):
+    from veldspar.streaming import scorer
+
+    built = index.build(generate.references(spark, 400), 14, "i16", clusters=8, iterations=3)
+    rows = generate.payloads(spark, 60, 0.47, 4141).select(F.col("row").alias("request"), F.to_json(F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction")).alias("body"))
+    rows = rows.unionByName(spark.createDataFrame([(99, "broken")], "request long, body string"))
+    want = sorted(map(str, scorer.score_bodies(rows, built).collect()))
+    monkeypatch.setattr(knn, "pruned", lambda *a, **b: pytest.fail("passes over all references for each block"))
+    assert len(want) == 61 and want == sorted(map(str, scorer.score_bodies(rows, built, block_bytes=1000).collect()))
+
+
+def test_rows_of_an_index_are_assigned_once(spark, monkeypatch):
+    calls, fast = spark.sparkContext.accumulator(0), kmeans.assign_fast
+    counted = F.udf(lambda c: (calls.add(1), c)[1], "int")
+    monkeypatch.setattr(kmeans, "assign_fast", lambda points, centroids: fast(points, centroids).withColumn("cluster_id", counted.asNondeterministic()("cluster_id")))
+    built = index.build(table(spark, GUARD), 14, "i16", centroids=[[0] * 14, [100] + [0] * 13])
+    assert built.ready() and built.size() == 2 and built.records.count() == 60 and calls.value == 60
