@@ -472,6 +472,36 @@ def test_cells_keep_the_lowest_ids_of_ties(spark, monkeypatch):
     assert len(x) == 125 and sorted(ref[(x == 0).all(axis=1)].tolist()) == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("space", ["i8", "i16"])
+def test_batches_quantise_as_the_projection(spark, space):
+    r, top = random.Random(3), quantize.space_of(space).scale
+    halves = [(i + 0.5) / top for i in range(-top, top, max(1, top // 500))]
+    values = [None, -1.0, 0.0, -0.0, 1.0, 2.0, -2.0, 1e9, 3e38, -3e38, float("nan"), float("inf"), float("-inf"), *halves, *[r.uniform(-1.1, 1.1) for _ in range(2000)]]
+    rows = spark.createDataFrame([(i, values[i : i + 3], None if i % 3 == 0 else i % 3 == 1) for i in range(0, len(values) - 2, 3)], "ref_id long, vector array<float>, is_fraud boolean")
+    got = quantize.in_batches(rows, 3, space)
+    want = rows.select("ref_id", quantize.quantized(F.col("vector"), 3, space).alias("vector"), "is_fraud")
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert quantize.in_batches(rows.limit(0), 3, space).count() == 0
+    with pytest.raises(Exception, match="4 components"):
+        quantize.in_batches(rows, 4, space).count()
+
+
+@pytest.mark.parametrize("name", ["knn_ties_i8", "knn_arrow_i16"])
+def test_searched_transactions_are_derived_in_compiled_methods(spark, name, monkeypatch):
+    from veldspar.plans import catalog
+
+    derived = []
+    monkeypatch.setattr(catalog, "written", lambda df, label: derived.append(df) or storage.written(df, label))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = derived[0].select("*")._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert len(sizes) > 5 and max(sizes) < 8000  # beyond that the JVM interprets a method
+
+
 def test_decisions_over_transactions_need_no_brute_force(spark, monkeypatch):
     from veldspar.plans import catalog
 
