@@ -472,6 +472,36 @@ def test_cells_keep_the_lowest_ids_of_ties(spark, monkeypatch):
     assert len(x) == 125 and sorted(ref[(x == 0).all(axis=1)].tolist()) == [0, 1, 2, 3, 4]
 
 
+def test_cells_are_built_once_and_no_task_is_without_one(spark, monkeypatch, tmp_path):
+    from veldspar.operators import knn_cells
+
+    monkeypatch.setattr(knn_cells, "CELL", 100)
+    first = []
+    monkeypatch.setattr(knn_cells, "written", lambda df, label: first.append(df) or storage.written(df, label))
+    generate.references(spark, 1500).select("ref_id", quantize.quantized(F.col("vector"), 14, "i8").alias("vector"), F.when(F.col("ref_id") % 7 > 0, F.col("is_fraud")).alias("is_fraud")).write.parquet(str(tmp_path / "refs"))
+    refs = spark.read.parquet(str(tmp_path / "refs"))
+    q = refs.where("ref_id % 10 = 0").select(F.col("ref_id").alias("query_id"), "vector")
+    found = knn_cells.search(refs, q, 14, "i8")
+    assert not [f for f in found.inputFiles() if f"{tmp_path}/refs" in f]  # the second round reads what the first has built
+    rows = first[0].groupBy(F.spark_partition_id().alias("part")).agg(F.countDistinct("cell").alias("cells")).collect()
+    assert len(rows) == first[0].rdd.getNumPartitions() > 10 and {x.cells for x in rows} == {1}
+    columns = ["query_id", "rank", "ref_id", "dist"]
+    assert sorted(map(tuple, knn.top_k(found, 5).select(columns).collect())) == sorted(map(tuple, knn.brute(refs.fillna(False), q, 14, "i8").select(columns).collect()))
+
+
+def test_bounds_do_not_depend_on_how_many_are_computed_at_once(monkeypatch):
+    from veldspar.operators import knn_cells
+
+    r = np.random.default_rng(4)
+    low, q = r.normal(size=(30, 5)), r.normal(size=(200, 5))
+    high = low + r.random((30, 5))
+    want = sum(np.maximum(np.maximum(low[None, :, d] - q[:, d, None], q[:, d, None] - high[None, :, d]), 0) ** 2 for d in range(5))
+    for near in (1, 70, 1 << 15):
+        monkeypatch.setattr(knn_cells, "NEAR", near)
+        assert (knn_cells.lower_bounds(q, low, high) == want).all()
+    assert knn_cells.lower_bounds(q[:0], low, high).shape == (0, 30) and knn_cells.lower_bounds(q, low[:0], high[:0]).shape == (200, 0)
+
+
 @pytest.mark.parametrize("space", ["i8", "i16"])
 def test_batches_quantise_as_the_projection(spark, space):
     r, top = random.Random(3), quantize.space_of(space).scale
